@@ -79,13 +79,10 @@ def extract_links(pages: DataFrame, key: str = "page_id", base: str = "site") ->
     """(key, base, pos, href, link): every `a[href]` with text in it, resolved against the
     `base` column — the site root by default, not the page. Links that do not resolve
     are dropped; fragments stay."""
-    source = pages.withColumn("carry_base", F.col(base))
-    elements = html_elements(source, key, "links", ("carry_base",))
-    # The document row carries the base; links take it from the page they stand on.
-    links = elements.filter(F.col("tag") == "a").select(
-        key, F.col("elem_id").alias("pos"), F.col("attrs")["href"].alias("href")
+    elements = html_elements(pages, key, "links", (base,), carry_on="all")
+    rows = elements.filter(F.col("tag") == "a").select(
+        key, base, F.col("elem_id").alias("pos"), F.col("attrs")["href"].alias("href")
     )
-    rows = links.join(pages.select(key, base), key)
     return U.with_resolved_url(rows, "href", base, "link").filter(F.col("link").isNotNull())
 
 

@@ -325,12 +325,16 @@ def elements_of(source: str, keep: str) -> list[dict]:
 
 
 def html_elements(
-    pages: DataFrame, key: str = "page_id", keep: str = "marked", carry: Sequence[str] = ()
+    pages: DataFrame,
+    key: str = "page_id",
+    keep: str = "marked",
+    carry: Sequence[str] = (),
+    carry_on: str = "document",
 ) -> DataFrame:
     """Element rows of `pages(key, html)`.
 
-    Every page also gives one row with tag `#document`, which alone holds the `carry`
-    columns, so pages without elements stay in the table and need no later join. With
+    Every page also gives one row with tag `#document`. It holds the `carry` columns
+    (with `carry_on="all"` every row of the page does), so pages without elements stay in the table and need no later join. With
     `keep="marked"` a page without any trace of structured data is not handed to the
     parser. Each row says where it stands in the tree: its parent among kept elements,
     the last element inside it, its nearest `itemscope`, the `vocab` in force, and the
@@ -353,6 +357,7 @@ def html_elements(
     )
     arrow_fields = [(f.name, to_arrow_type(f.dataType)) for f in schema]
     names = [f.name for f in ELEMENT_FIELDS]
+    everywhere = carry_on == "all"
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -374,7 +379,7 @@ def html_elements(
                     for name in names:
                         columns[name].append(row.get(name))
                     for c in carry:
-                        columns[c].append(given[c][i] if row is document else None)
+                        columns[c].append(given[c][i] if everywhere or row is document else None)
                     held += len(row.get("raw") or "") + len(row.get("text") or "") + 100
                 if held > 4_000_000:
                     yield flush()

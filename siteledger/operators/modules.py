@@ -53,10 +53,13 @@ def site_readiness(index: DataFrame) -> DataFrame:
     )
 
 
-def explode_modules(parsed: DataFrame) -> DataFrame:
+def explode_modules(parsed: DataFrame, keep_unresolved: bool = False) -> DataFrame:
     """(site, pos, path, module_url) per module. Paths that do not resolve against the
-    site root are dropped inside the row, so positions have no gaps."""
-    paths = F.filter("modules", lambda m: U.is_resolvable(m, F.col("site")))
+    site root are dropped inside the row, so positions have no gaps; the trust check
+    keeps them, with a NULL URL, as modules that cannot be read."""
+    paths = F.col("modules")
+    if not keep_unresolved:
+        paths = F.filter(paths, lambda m: U.is_resolvable(m, F.col("site")))
     rows = parsed.select("site", F.posexplode(paths).alias("pos", "path"))
     return U.with_resolved_url(rows, "path", "site", "module_url")
 
@@ -203,6 +206,12 @@ def locate_modules(index: DataFrame, modules: DataFrame) -> DataFrame:
     return listed.join(modules.select("site", "module_url", "raw"), ["site", "module_url"], "left")
 
 
+def locate_listed(parsed: DataFrame, modules: DataFrame) -> DataFrame:
+    """Every listed path of the parsed indexes with its captured text, for the trust check."""
+    listed = explode_modules(parsed.filter(F.size("modules") > 0), keep_unresolved=True)
+    return listed.join(modules.select("site", "module_url", "raw"), ["site", "module_url"], "left")
+
+
 # --- trust check -------------------------------------------------------------------------
 
 
@@ -299,10 +308,7 @@ def site_trust_report(index: DataFrame, modules: DataFrame) -> DataFrame:
     """The trust check as one table: per site a row per module and a closing row, in
     `pos` order (the closing row has pos NULL and comes last)."""
     parsed = parse_index(index)
-    located = explode_modules(parsed.filter(F.size("modules") > 0)).join(
-        modules.select("site", "module_url", "raw"), ["site", "module_url"], "left"
-    )
-    validated = validate_modules(located)
+    validated = validate_modules(locate_listed(parsed, modules))
     rows = validated.select(
         "site", "pos", "path", "checksum", "calculated_checksum", "checksum_valid", "module",
         "detail",
