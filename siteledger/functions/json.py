@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siteledger.functions.leaf import as_item, kind_of, load, value_text
+from siteledger.functions.plan import settled
 
 ITEM_TYPE = T.StructType().add("canon", "string").add("keys", T.ArrayType(T.StringType()))
 ITEMS_TYPE = T.StructType().add("kind", "string").add("items", T.ArrayType(ITEM_TYPE))
@@ -156,7 +157,7 @@ def with_json_items(df: DataFrame, text: str, out: str, keys: bool = True) -> Da
     )
     native = F.when(F.col("_doc").isNotNull(), F.struct(kind.alias("kind"), items.alias("items")))
     df = df.withColumn(out, F.coalesce(native, F.when(F.col("_exact.kind").isNotNull(), F.col("_exact"))))
-    return df.drop("_pair", "_doc", "_exact", "_canons", "_names")
+    return settled(df.drop("_pair", "_doc", "_exact", "_canons", "_names"), out)
 
 
 def enumeration_order(keys: Column) -> Column:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siteledger.functions.plan import settled
+
 # Characters stripped around a URL, schemes with an authority, and the
 # percent-encode sets of path, query and fragment.
 C0_AND_SPACE = "".join(map(chr, range(0x21)))
@@ -255,11 +257,11 @@ def with_resolved_url(df: DataFrame, reference: str, base: str, out: str) -> Dat
     opaque = F.concat(F.col("_scheme"), F.lit(":"), F.col("_rest"))
     special = F.col("_out_scheme").isin(*HOST_SCHEMES, "file")
     df = df.withColumn(out, F.when(F.col("_ok"), F.when(special, with_host).otherwise(opaque)))
-    return df.drop(*[c for c in df.columns if c in _WORK_COLUMNS])
+    return settled(df.drop(*_WORK_COLUMNS), out)
 
 
-_WORK_COLUMNS = {
+_WORK_COLUMNS = (
     "_s", "_b", "_scheme", "_base_scheme", "_rest", "_base_rest", "_ok", "_relative",
     "_fragment", "_query", "_path", "_base_authority", "_base_path", "_base_query",
     "_out_scheme", "_authority", "_raw_path", "_raw_query",
-}
+)

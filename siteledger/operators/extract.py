@@ -368,7 +368,10 @@ def objects_from_elements(
     carried = [c for c in elements.columns if c.startswith("carry_")]
     document = _only(F.col("tag") == "#document", F.array(_candidate(DOCUMENT, 0, 0, 0)))
     parts = ([document] if carried else []) + [METHODS[m]() for m in methods]
-    rows = elements.select(key, *carried, F.inline(F.concat(*parts)))
+    # The outer form: the plain one makes Spark test the candidates' number first, and so
+    # compute them twice.
+    rows = elements.select(key, *carried, F.inline_outer(F.concat(*parts)))
+    rows = rows.filter(F.col("method").isNotNull())
     rows = _kept(_parsed(rows), known_only)
     rows = rows.repartition(key)
     return _assembled(rows, key)

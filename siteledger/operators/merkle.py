@@ -56,12 +56,14 @@ def _column(i: int) -> Column:
 
 
 def _dense(df: DataFrame, by: list[str], pos: str, leaves: list[str], block: int) -> DataFrame:
-    """Renumber positions without gaps. Block sizes and blocks come from one exchange:
+    """Renumber positions without gaps, rows with no leaf left out. Block sizes and blocks come from one exchange:
     the sizes are taken from the gathered arrays, so Spark reuses the shuffle."""
+    known = F.col(leaves[0]).isNotNull()
+    row = F.struct(F.col(pos).alias("p"), *leaves)
     gathered = (
         df.withColumn("_block", F.floor(F.col(pos) / block))
         .groupBy(*by, "_block")
-        .agg(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), *leaves))).alias("_rows"))
+        .agg(F.sort_array(F.collect_list(F.when(known, row))).alias("_rows"))
     )
     sizes = gathered.select(*by, "_block", F.size("_rows").cast("bigint").alias("_n"))
     before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -86,7 +88,8 @@ def merkle_roots(
 ) -> DataFrame:
     """Roots per `by`, one output column per entry of `leaves` (output name -> column).
 
-    `pos` orders the leaves, from 0. With `dense=False` it may have gaps. `folds` names
+    `pos` orders the leaves, from 0. With `dense=False` it may have gaps, and rows whose
+    first leaf column is NULL are skipped. `folds` names
     further aggregates taken in the same passes: output -> (first aggregate, the SQL
     aggregate that merges its values, such as `sum` or `bool_and`).
     """

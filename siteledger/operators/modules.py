@@ -197,18 +197,18 @@ def verify_checksum(
 
 
 def locate_modules(index: DataFrame, modules: DataFrame) -> DataFrame:
-    """Modules of the ready sites with their captured text, NULL where not captured.
+    """Modules of the ready sites with their captured text, NULL where not captured. Sites
+    that are not ready list no modules and so drop out by themselves.
 
     `modules(site, module_url, raw)` joins on the module URL as well as the site, so a
     site with most of the modules still spreads over all partitions."""
-    ready = site_readiness(index).filter(F.col("error").isNull())
-    listed = explode_modules(ready)
+    listed = explode_modules(parse_index(index))
     return listed.join(modules.select("site", "module_url", "raw"), ["site", "module_url"], "left")
 
 
 def locate_listed(parsed: DataFrame, modules: DataFrame) -> DataFrame:
     """Every listed path of the parsed indexes with its captured text, for the trust check."""
-    listed = explode_modules(parsed.filter(F.size("modules") > 0), keep_unresolved=True)
+    listed = explode_modules(parsed, keep_unresolved=True)
     return listed.join(modules.select("site", "module_url", "raw"), ["site", "module_url"], "left")
 
 
@@ -259,8 +259,8 @@ def validate_modules(located: DataFrame) -> DataFrame:
 
 def merkle_over_declared(validated: DataFrame) -> DataFrame:
     """Root per site over the declared checksums of the modules that could be used."""
-    usable = validated.filter("fetched").select("site", "pos", "checksum")
-    return merkle_roots(usable, ["site"], "pos", {"calculated_root": "checksum"}, dense=False)
+    leaves = validated.select("site", "pos", "checksum")
+    return merkle_roots(leaves, ["site"], "pos", {"calculated_root": "checksum"}, dense=False)
 
 
 def site_trust_summary(index: DataFrame, validated: DataFrame) -> DataFrame:

@@ -524,8 +524,7 @@ def site_readiness(spark, sf):
 
 @query
 def explode_modules(spark, sf):
-    ready = MOD.site_readiness(B.site_index(spark, sf)).filter(F.col("error").isNull())
-    return MOD.explode_modules(ready).withColumn("pos", F.col("pos").cast("bigint"))
+    return MOD.explode_modules(MOD.parse_index(B.site_index(spark, sf))).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query
