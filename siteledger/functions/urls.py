@@ -61,7 +61,7 @@ def is_absolute_valid(url: Column) -> Column:
     """Whether a cleaned URL stands on its own."""
     scheme = scheme_of(url)
     return (
-        F.when(scheme == "", False)
+        F.when(url.isNull() | (scheme == ""), False)
         .when(scheme.isin(*HOST_SCHEMES), authority_is_valid(_authority_of(_after_scheme(url))))
         .otherwise(True)
     )

@@ -37,7 +37,7 @@ SPARK = Dialect(
 DUCKDB = Dialect(
     sha=lambda x: f"sha256({x})",
     array=lambda *xs: f"CAST([{', '.join(xs)}] AS VARCHAR[])",
-    epoch_ms=lambda x: f"epoch_ms({x})",
+    epoch_ms=lambda x: f"(epoch_us({x}) // 1000)",
     member=lambda x, k: f"json_extract_string({x}, '$.{k}')",
 )
 

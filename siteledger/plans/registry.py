@@ -740,15 +740,19 @@ def _amounts(spark, sf):
     )
 
 
+def _four(x: Column) -> Column:
+    return F.when(x.isNotNull(), F.format_string("%.4f", F.round(x, 4)))
+
+
 @query
 def percent_diff(spark, sf):
-    text = M.or_na(F.format_string("%.4f", F.round(M.percent_diff(F.col("x"), F.col("b")), 4)))
+    text = M.or_na(_four(M.percent_diff(F.col("x"), F.col("b"))))
     return _amounts(spark, sf).select("event_id", text.alias("percent"))
 
 
 @query
 def ratio(spark, sf):
-    text = M.or_na(F.format_string("%.4f", F.round(M.ratio(F.col("b"), F.col("x")), 4)))
+    text = M.or_na(_four(M.ratio(F.col("b"), F.col("x"))))
     return _amounts(spark, sf).select("event_id", text.alias("ratio"))
 
 
