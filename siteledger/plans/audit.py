@@ -11,6 +11,7 @@ from siteledger.operators import compare as C
 from siteledger.operators import extract as X
 from siteledger.operators import metrics as H
 from siteledger.operators import modules as MOD
+from siteledger.session import stored
 
 
 class Audit(NamedTuple):
@@ -40,22 +41,36 @@ def run_audit(
     max_pages: int | None = None,
 ) -> Audit:
     """Audit every site of `index(site, raw)`. With `max_pages`, only the first modules
-    of each site take part; the default is all of them."""
+    of each site take part; the default is all of them.
+
+    The page rows are written to the shared folder once: the summary, the report and
+    the result files all read them, and none extracts the pages again."""
     readiness = MOD.site_readiness(index)
     pages = page_comparison(index, modules, captures)
     if max_pages is not None:
         pages = pages.filter(F.col("pos") < max_pages)
+    pages = stored(pages, "audit-pages")
     metrics = None
     if log is not None:
-        metrics = H.metrics_summary(log, errors, samples)
+        metrics = stored(H.metrics_summary(log, errors, samples), "audit-metrics")
     failed = readiness.filter(F.col("error").isNotNull()).select("site", "error")
-    return Audit(failed, pages, C.site_summary(readiness, pages), metrics)
+    summary = stored(C.site_summary(readiness, pages), "audit-summary")
+    return Audit(failed, pages, summary, metrics)
 
 
 def run_crawl(urls: DataFrame, captures: DataFrame, strict: bool = False) -> DataFrame:
     """(site, ord, url, objects, checksum, …) for discovered `urls(site, ord, url)`; a URL
     without a capture keeps its place as a page that could not be read."""
-    listed = urls.join(captures.select("url", "html"), "url", "left")
-    places = urls.withColumnRenamed("ord", "_ord")
-    pages = X.extract_page(listed.dropDuplicates(["url"]), key="url", strict=strict)
-    return places.join(pages, "url").withColumnRenamed("_ord", "ord")
+    wanted = captures.select("url", "html").join(urls.select("url"), "url", "left_semi")
+    pages = X.extract_page(wanted, key="url", strict=strict)
+    found = urls.join(pages, "url", "left")
+    none = F.array().cast("array<string>")
+    return found.withColumns(
+        {
+            "objects": F.coalesce("objects", none),
+            "checksum": F.coalesce("checksum", F.sha2(F.lit(C.EMPTY_CHECKSUM_INPUT), 256)),
+            "bytes_downloaded": F.coalesce("bytes_downloaded", F.lit(0)),
+            "details": F.coalesce("details", F.lit(X.PAGE_UNREADABLE)),
+            "extracted_ok": F.coalesce("extracted_ok", F.lit(False)),
+        }
+    )

@@ -199,6 +199,11 @@ def grouped(x: str, digits: int) -> str:
     return f"format('{{:,.{digits}f}}', CAST(round(CAST({text} AS DECIMAL(38, 12)), {digits}) AS DOUBLE))"
 
 
+def four(x: str) -> str:
+    text = f"CAST(CAST({x} AS DOUBLE) AS VARCHAR)"
+    return f"printf('%.4f', CAST(round(CAST({text} AS DECIMAL(38, 18)), 4) AS DOUBLE))"
+
+
 def short(x: str) -> str:
     return f"regexp_replace(regexp_replace({grouped(x, 2)}, '0+$', ''), '\\.$', '')"
 
@@ -474,8 +479,8 @@ SELECT sm.*, side, dur AS duration_ms, n AS requests, errs AS errors, coalesce(m
     "metrics_summary": _sql("""
 SELECT site, side, dur AS duration_ms, cu AS cpu_user_micros, cs AS cpu_system_micros, peak_rss, n AS requests, codes AS status_codes, round(avg_ms, 4) AS avg_request_ms,
   round(rps, 6) AS rps, down AS bytes_downloaded, up AS bytes_uploaded, errs AS errors, disk AS disk_bytes, coalesce(mc, 0) AS max_concurrency FROM ms"""),
-    "percent_diff": f"SELECT event_id, CASE WHEN b = 0 THEN 'N/A' ELSE {fixed('round((b - x) / b * 100.0, 4)', 4)} END AS percent FROM {AMOUNTS}",
-    "ratio": f"SELECT event_id, CASE WHEN b = 0 THEN 'N/A' ELSE {fixed('round(x / b, 4)', 4)} END AS ratio FROM {AMOUNTS}",
+    "percent_diff": f"SELECT event_id, CASE WHEN b = 0 THEN 'N/A' ELSE {four('(b - x) / b * 100.0')} END AS percent FROM {AMOUNTS}",
+    "ratio": f"SELECT event_id, CASE WHEN b = 0 THEN 'N/A' ELSE {four('x / b')} END AS ratio FROM {AMOUNTS}",
     "fmt_comparisons": f"SELECT event_id, {less('(x - 50)', ' data')} AS percent, {faster('(x - 50)', '')} AS faster, {times('x', ' per request')} AS times FROM {AMOUNTS}",
     "fmt_number": f"SELECT event_id, {grouped('amount', 0)} AS whole, CASE WHEN b = 0 THEN 'N/A' ELSE {grouped('x', 1)} END AS one FROM {AMOUNTS}",
     "fmt_rps": f"SELECT event_id, CASE WHEN b = 0 THEN 'N/A' ELSE {grouped('x * 100', 2)} END AS rps FROM {AMOUNTS}",

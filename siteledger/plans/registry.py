@@ -564,10 +564,14 @@ def _audit_pages(spark, sf):
     return A.page_comparison(B.site_index(spark, sf), B.modules(spark, sf), B.audit_pages(spark, sf).select("url", "html"))
 
 
+def _audit(spark, sf, with_logs=True):
+    logs = (B.request_log(spark, sf), B.error_log(spark, sf), B.samples(spark, sf)) if with_logs else ()
+    captures = B.audit_pages(spark, sf).select("url", "html")
+    return A.run_audit(B.site_index(spark, sf), B.modules(spark, sf), captures, *logs)
+
+
 def _summary(spark, sf):
-    index = B.site_index(spark, sf)
-    pages = A.page_comparison(index, B.modules(spark, sf), B.audit_pages(spark, sf).select("url", "html"))
-    return C.site_summary(MOD.site_readiness(index), pages)
+    return _audit(spark, sf, with_logs=False).summary
 
 
 def _metrics(spark, sf):
@@ -634,11 +638,7 @@ def method_compare(spark, sf):
 @query
 def run_audit(spark, sf):
     """Summary and metrics of the whole audit, flattened, one row per site and side."""
-    index = B.site_index(spark, sf)
-    result = A.run_audit(
-        index, B.modules(spark, sf), B.audit_pages(spark, sf).select("url", "html"),
-        B.request_log(spark, sf), B.error_log(spark, sf), B.samples(spark, sf),
-    )
+    result = _audit(spark, sf)
     joined = result.summary.join(result.metrics, "site", "left")
     return joined.select(
         *result.summary.columns, "side", F.col("timing.duration_ms").alias("duration_ms"),
@@ -819,7 +819,8 @@ def metrics_formatted(spark, sf):
 
 @query
 def summary_table(spark, sf):
-    table = R.summary_table(R.sides_of(_metrics(spark, sf)), _summary(spark, sf))
+    result = _audit(spark, sf)
+    table = R.summary_table(R.sides_of(result.metrics), result.summary)
     return table.withColumn("line", F.col("line").cast("bigint"))
 
 
@@ -834,10 +835,8 @@ def merkle_block(spark, sf):
 
 
 def _report(spark, sf):
-    index = B.site_index(spark, sf)
-    pages = A.page_comparison(index, B.modules(spark, sf), B.audit_pages(spark, sf).select("url", "html"))
-    summary = C.site_summary(MOD.site_readiness(index), pages)
-    return R.report_lines(R.sides_of(_metrics(spark, sf)), summary, pages)
+    result = _audit(spark, sf)
+    return R.report_lines(R.sides_of(result.metrics), result.summary, result.pages)
 
 
 @query
