@@ -112,72 +112,56 @@ def with_json_items(df: DataFrame, text: str, out: str, keys: bool = True) -> Da
     element of an array closed by a hash of the text; more or fewer than two elements
     means that something follows the value.
     """
-    mark = F.xxhash64(F.col(text)).cast("string")
-    pair = F.try_parse_json(F.concat(F.lit("["), F.col(text), F.lit(","), mark, F.lit("]")))
-    df = df.withColumn("_pair", pair.cast("array<variant>"))
+    mark = f"cast(xxhash64({text}) AS string)"
+    pair = f"try_parse_json(concat('[', {text}, ',', {mark}, ']'))"
     plain = (
-        (F.size("_pair") == 2)
-        & (F.to_json(F.get("_pair", F.lit(1))) == mark)
-        & ~F.col(text).rlike(NEEDS_EXACT)
+        f"size(_pair) = 2 AND to_json(get(_pair, 1)) = {mark} AND NOT ({text} RLIKE r'{NEEDS_EXACT}')"
     )
-    plain = F.coalesce(plain, F.lit(False))
-    df = df.withColumn("_doc", F.when(plain, F.get("_pair", F.lit(0))))
-    df = df.withColumn(
-        "_exact", exact_items(F.when(F.col("_doc").isNull() & F.col(text).isNotNull(), F.col(text)))
+    df = df.selectExpr("*", f"cast({pair} AS array<variant>) AS _pair")
+    df = df.selectExpr("*", f"CASE WHEN {plain} THEN get(_pair, 0) END AS _doc")
+    df = df.withColumn("_exact", exact_items(F.expr(f"CASE WHEN _doc IS NULL THEN {text} END")))
+    first = f"left(ltrim('{JSON_SPACE}', {text}), 1)"
+    names = "cast(NULL AS array<array<string>>)"
+    if keys:
+        names = (
+            f"CASE WHEN {first} = '[' THEN transform(from_json({text}, 'array<string>'),"
+            f" e -> json_object_keys(e)) ELSE array(json_object_keys({text})) END"
+        )
+    df = df.selectExpr(
+        "*",
+        f"CASE WHEN _doc IS NULL THEN NULL"
+        f" WHEN {first} = '[' THEN transform(cast(_doc AS array<variant>), v -> to_json(v))"
+        f" ELSE array(to_json(_doc)) END AS _canons",
+        f"CASE WHEN _doc IS NOT NULL THEN {names} END AS _names",
+        f"CASE {first} WHEN '{{' THEN 'object' WHEN '[' THEN 'array' WHEN '\"' THEN 'string'"
+        f" WHEN 't' THEN 'boolean' WHEN 'f' THEN 'boolean' WHEN 'n' THEN 'null'"
+        f" ELSE 'number' END AS _kind",
     )
-    first = F.substring(F.ltrim(F.col(text), F.lit(JSON_SPACE)), 1, 1)
-    kind = (
-        F.when(first == "{", "object")
-        .when(first == "[", "array")
-        .when(first == '"', "string")
-        .when(first.isin("t", "f"), "boolean")
-        .when(first == "n", "null")
-        .otherwise("number")
+    item = (
+        "named_struct('canon', c, 'keys', CASE WHEN startswith(c, '{') THEN "
+        + enumeration_order("get(_names, i)")
+        + " END)"
     )
-    canons = F.when(
-        first == "[",
-        F.transform(F.col("_doc").cast("array<variant>"), lambda v: F.to_json(v)),
-    ).otherwise(F.array(F.to_json(F.col("_doc"))))
-    if keys:
-        names = F.when(
-            first == "[",
-            F.transform(
-                F.from_json(F.col(text), "array<string>"), lambda e: F.json_object_keys(e)
-            ),
-        ).otherwise(F.array(F.json_object_keys(F.col(text))))
-    else:
-        names = F.lit(None).cast("array<array<string>>")
-    df = df.withColumns({"_canons": F.when(F.col("_doc").isNotNull(), canons), "_names": names})
-    items = F.transform(
-        F.col("_canons"),
-        lambda c, i: F.struct(
-            c.alias("canon"),
-            F.when(c.startswith("{"), enumeration_order(F.get(F.col("_names"), i))).alias("keys"),
-        ),
+    df = df.selectExpr(
+        "*",
+        f"CASE WHEN _doc IS NOT NULL"
+        f" THEN named_struct('kind', _kind, 'items', transform(_canons, (c, i) -> {item}))"
+        f" WHEN _exact.kind IS NOT NULL THEN _exact END AS {out}",
+    )
+    return settled(df.drop("_pair", "_doc", "_exact", "_canons", "_names", "_kind"), out)
+
+
+def enumeration_order(keys: str) -> str:
+    """SQL for source-order names with array indexes moved to the front."""
+    index = "r'^(?:0|[1-9][0-9]{0,9})$'"
+    first = (
+        f"transform(array_sort(transform(filter({keys}, k -> k RLIKE {index}),"
+        f" k -> struct(cast(k AS bigint) AS n, k AS k))), s -> s.k)"
+    )
+    return (
+        f"CASE WHEN exists({keys}, k -> k RLIKE {index})"
+        f" THEN concat({first}, filter({keys}, k -> NOT k RLIKE {index})) ELSE {keys} END"
     )
-    native = F.when(F.col("_doc").isNotNull(), F.struct(kind.alias("kind"), items.alias("items")))
-    df = df.withColumn(out, F.coalesce(native, F.when(F.col("_exact.kind").isNotNull(), F.col("_exact"))))
-    return settled(df.drop("_pair", "_doc", "_exact", "_canons", "_names"), out)
-
-
-def enumeration_order(keys: Column) -> Column:
-    """Source-order names with array indexes moved to the front."""
-    index = r"^(?:0|[1-9][0-9]{0,9})$"
-    return F.when(
-        F.exists(keys, lambda k: k.rlike(index)),
-        F.concat(
-            F.transform(
-                F.array_sort(
-                    F.transform(
-                        F.filter(keys, lambda k: k.rlike(index)),
-                        lambda k: F.struct(k.cast("bigint").alias("n"), k.alias("k")),
-                    )
-                ),
-                lambda s: s["k"],
-            ),
-            F.filter(keys, lambda k: ~k.rlike(index)),
-        ),
-    ).otherwise(keys)
 
 
 def array_text(canons: Column) -> Column:
@@ -202,39 +186,34 @@ def json_bytes(canonical: Column) -> Column:
     return F.octet_length(canonical).cast("bigint")
 
 
-def checksum_of(canons: Column) -> Column:
+def checksum_of(canons: Column | str) -> Column:
     """SHA-256 over the elements viewed as an object with keys "0", "1", ….
 
-    Keys sort as text, so "10" comes before "2". No elements hash as `{}`.
-    """
-    keyed = F.transform(
-        canons, lambda c, i: F.struct(i.cast("string").alias("k"), c.alias("c"))
-    )
+    Keys sort as text, so "10" comes before "2". No elements hash as `{}`."""
+    if isinstance(canons, str):
+        keyed = f"transform({canons}, (c, i) -> struct(cast(i AS string) AS k, c AS c))"
+        members = f"transform(array_sort({keyed}), s -> concat('\"', s.k, '\":', s.c))"
+        return F.expr(f"sha2(concat('{{', array_join({members}, ','), '}}'), 256)")
+    keyed = F.transform(canons, lambda c, i: F.struct(i.cast("string").alias("k"), c.alias("c")))
     members = F.transform(
         F.array_sort(keyed), lambda s: F.concat(F.lit('"'), s["k"], F.lit('":'), s["c"])
     )
     return F.sha2(F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}")), 256)
 
 
-def context_text_is(context: Column, vocabulary: str) -> Column:
-    """Case-insensitive substring test on a context variant taken as text.
+def context_text_is(context: str, vocabulary: str) -> Column:
+    """Case-insensitive substring test on a context (SQL for a variant) taken as text.
 
     An array reads as its elements joined by commas (two levels are looked at), an
-    object as a fixed text that never matches.
-    """
-
-    def has(text: Column) -> Column:
-        return F.coalesce(F.lower(text).contains(vocabulary), F.lit(False))
+    object as a fixed text that never matches."""
 
-    def scalar(value: Column) -> Column:
-        text = F.to_json(value)
-        return F.coalesce(text.startswith('"'), F.lit(False)) & has(
-            F.try_variant_get(value, "$", "string")
-        )
+    def scalar(v: str) -> str:
+        text = f"lower(try_variant_get({v}, '$', 'string'))"
+        return f"coalesce(startswith(to_json({v}), '\"') AND contains({text}, '{vocabulary}'), false)"
 
-    def element(value: Column) -> Column:
-        inner = F.try_variant_get(value, "$", "array<variant>")
-        return scalar(value) | F.coalesce(F.exists(inner, scalar), F.lit(False))
+    def some(v: str, name: str, test: str) -> str:
+        inner = f"try_variant_get({v}, '$', 'array<variant>')"
+        return f"coalesce(exists({inner}, {name} -> {test}), false)"
 
-    outer = F.try_variant_get(context, "$", "array<variant>")
-    return scalar(context) | F.coalesce(F.exists(outer, element), F.lit(False))
+    element = f"{scalar('e')} OR {some('e', 'x', scalar('x'))}"
+    return F.expr(f"{scalar(context)} OR {some(context, 'e', element)}")

@@ -46,154 +46,127 @@ INLINE_OBJECT = (
 )
 
 
-def _attr(name: str) -> Column:
-    return F.col("attrs")[name]
+def _attr(name: str) -> str:
+    return f"attrs['{name}']"
 
 
-def _has(name: str) -> Column:
-    return F.coalesce(F.map_contains_key("attrs", F.lit(name)), F.lit(False))
+def _has(name: str) -> str:
+    return f"coalesce(map_contains_key(attrs, '{name}'), false)"
 
 
-def _filled(value: Column) -> Column:
-    return F.coalesce(value != "", F.lit(False))
+def _filled(value: str) -> str:
+    return f"coalesce({value} <> '', false)"
 
 
-def _candidate(method, root, sub, elem, name=None, value=None, text=None) -> Column:
-    def column(x, kind):
-        return (x if isinstance(x, Column) else F.lit(x)).cast(kind)
-
-    return F.struct(
-        column(method, "int").alias("method"),
-        column(root, "int").alias("root"),
-        column(sub, "int").alias("sub"),
-        column(elem, "int").alias("elem"),
-        column(name, "string").alias("name"),
-        column(value, "string").alias("value"),
-        column(text, "string").alias("text"),
-    )
+def _trimmed(value: str) -> str:
+    return f"btrim({value}, '{J.TRIM_SPACE}')"
 
 
-def _only(condition: Column, candidates: Column) -> Column:
-    return F.when(condition, candidates).otherwise(F.array().cast(CANDIDATES))
+def _candidate(method, root, sub, elem, name="NULL", value="NULL", text="NULL") -> str:
+    return (
+        f"named_struct('method', cast({method} AS int), 'root', cast({root} AS int),"
+        f" 'sub', cast({sub} AS int), 'elem', cast({elem} AS int), 'name', cast({name} AS string),"
+        f" 'value', cast({value} AS string), 'text', cast({text} AS string))"
+    )
 
 
-def _is_script() -> Column:
-    return F.col("tag") == "script"
+def _only(condition: str, candidates: str) -> str:
+    return f"CASE WHEN {condition} THEN {candidates} ELSE cast(array() AS {CANDIDATES}) END"
 
 
-def _has_text() -> Column:
-    return _filled(F.btrim("raw", F.lit(J.TRIM_SPACE)))
+IS_SCRIPT = "tag = 'script'"
+IS_JSONLD = f"({IS_SCRIPT} AND coalesce(lower({_attr('type')}) = '{JSONLD_TYPE}', false))"
+# The literal tests are cheap and spare the search in ordinary scripts.
+INLINE_MATCHES = (
+    """CASE WHEN coalesce(contains(lower(raw), '"@context"') AND contains(lower(raw), '://schema.org"'), false)"""
+    f" THEN regexp_extract_all(raw, r'{INLINE_OBJECT}', 1) ELSE cast(array() AS array<string>) END"
+)
 
 
-def _elem() -> Column:
-    return F.col("elem_id")
+def jsonld_candidates() -> str:
+    block = _candidate(JSONLD, "elem_id", 0, "elem_id", text="raw")
+    return _only(f"{IS_JSONLD} AND {_filled(_trimmed('raw'))}", f"array({block})")
 
 
-def is_jsonld() -> Column:
-    return _is_script() & F.coalesce(F.lower(_attr("type")) == JSONLD_TYPE, F.lit(False))
+def inline_candidates() -> str:
+    plain = (
+        f"NOT coalesce({_attr('type')} = '{JSONLD_TYPE}', false) AND NOT {_filled(_attr('src'))}"
+    )
+    match = _candidate(INLINE, "elem_id", "i", "elem_id", text="m")
+    return _only(f"{IS_SCRIPT} AND {plain}", f"transform({INLINE_MATCHES}, (m, i) -> {match})")
 
 
-def jsonld_candidates() -> Column:
-    return _only(
-        is_jsonld() & _has_text(),
-        F.array(_candidate(JSONLD, _elem(), 0, _elem(), text=F.col("raw"))),
+def microdata_value() -> str:
+    """Property value: link target, image source, `content`, else trimmed text."""
+    return (
+        f"CASE WHEN tag IN ('a', 'link') AND {_filled(_attr('href'))} THEN {_attr('href')}"
+        f" WHEN tag = 'img' AND {_filled(_attr('src'))} THEN {_attr('src')}"
+        f" WHEN {_filled(_attr('content'))} THEN {_attr('content')}"
+        f" ELSE {_trimmed(TEXT)} END"
     )
 
 
-def _inline_matches() -> Column:
-    # The literal tests are cheap and spare the search in ordinary scripts.
-    lowered = F.lower("raw")
-    likely = lowered.contains('"@context"') & lowered.contains('://schema.org"')
-    return F.when(
-        F.coalesce(likely, F.lit(False)), F.regexp_extract_all("raw", F.lit(INLINE_OBJECT), 1)
-    ).otherwise(F.array().cast("array<string>"))
+TEXT = "coalesce(text, '')"
 
 
-def inline_candidates() -> Column:
-    plain = ~F.coalesce(_attr("type") == JSONLD_TYPE, F.lit(False)) & ~_filled(_attr("src"))
-    return _only(
-        _is_script() & plain,
-        F.transform(
-            _inline_matches(), lambda m, i: _candidate(INLINE, _elem(), i, _elem(), text=m)
-        ),
+def microdata_candidates() -> str:
+    root = f"{_has('itemscope')} AND NOT {_has('itemprop')}"
+    typed = f"coalesce({_attr('itemtype')} RLIKE r'{X.SCHEMA_URL}', false)"
+    type_name = f"nullif(regexp_extract({_attr('itemtype')}, r'{X.SCHEMA_TYPE_URL}', 2), '')"
+    marker = _candidate(MICRODATA, "elem_id", 0, "elem_id", value=type_name)
+    prop = _candidate(
+        MICRODATA, "scope_id", 0, "elem_id", name=_attr("itemprop"), value=microdata_value()
     )
-
-
-def microdata_value() -> Column:
-    """Property value: link target, image source, `content`, else trimmed text."""
     return (
-        F.when(F.col("tag").isin("a", "link") & _filled(_attr("href")), _attr("href"))
-        .when((F.col("tag") == "img") & _filled(_attr("src")), _attr("src"))
-        .when(_filled(_attr("content")), _attr("content"))
-        .otherwise(F.btrim(F.coalesce("text", F.lit("")), F.lit(J.TRIM_SPACE)))
+        f"concat({_only(f'{root} AND {typed}', f'array({marker})')}, "
+        + _only(f"{_has('itemprop')} AND scope_id IS NOT NULL", f"array({prop})")
+        + ")"
     )
 
 
-def microdata_candidates() -> Column:
-    root = _has("itemscope") & ~_has("itemprop")
-    typed = F.coalesce(_attr("itemtype").rlike(X.SCHEMA_URL), F.lit(False))
-    marker = _candidate(
-        MICRODATA, _elem(), 0, _elem(), value=X.type_from_itemtype(_attr("itemtype"))
-    )
-    prop = _candidate(
-        MICRODATA, F.col("scope_id"), 0, _elem(), name=_attr("itemprop"), value=microdata_value()
-    )
-    return F.concat(
-        _only(root & typed, F.array(marker)),
-        _only(_has("itemprop") & F.col("scope_id").isNotNull(), F.array(prop)),
-    )
+def rdfa_value() -> str:
+    content = _attr("content")
+    return f"CASE WHEN {_filled(content)} THEN {content} ELSE {_trimmed(TEXT)} END"
 
 
-def rdfa_value() -> Column:
-    return F.when(_filled(_attr("content")), _attr("content")).otherwise(
-        F.btrim(F.coalesce("text", F.lit("")), F.lit(J.TRIM_SPACE))
-    )
+def rdfa_candidates() -> str:
+    def mentions(value: str) -> str:
+        return f"coalesce(contains(lower({value}), '{SCHEMA_VOCABULARY}'), false)"
 
+    def local(value: str) -> str:
+        return f"substring_index({value}, ':', -1)"
 
-def rdfa_candidates() -> Column:
-    def mentions(value: Column) -> Column:
-        return F.coalesce(F.lower(value).contains(SCHEMA_VOCABULARY), F.lit(False))
-
-    typed = _has("typeof") & (mentions(_attr("typeof")) | mentions(F.col("vocab")))
-    name = X.local_name(_attr("property"))
-    marker = _candidate(RDFA, _elem(), 0, _elem(), value=X.local_name(_attr("typeof")))
-    own = _candidate(RDFA, _elem(), 0, _elem(), name=name, value=rdfa_value())
-    return F.concat(
-        _only(typed, F.array(marker)),
-        _only(typed & _filled(_attr("property")), F.array(own)),
-        _only(
-            _has("property"),
-            F.transform(
-                F.coalesce("typed_ids", F.array().cast("array<int>")),
-                lambda t: _candidate(RDFA, t, 0, _elem(), name=name, value=rdfa_value()),
-            ),
-        ),
-    )
+    typed = f"{_has('typeof')} AND ({mentions(_attr('typeof'))} OR {mentions('vocab')})"
+    name, value = local(_attr("property")), rdfa_value()
+    marker = _candidate(RDFA, "elem_id", 0, "elem_id", value=local(_attr("typeof")))
+    own = _candidate(RDFA, "elem_id", 0, "elem_id", name=name, value=value)
+    inside = _candidate(RDFA, "t", 0, "elem_id", name=name, value=value)
+    owners = "coalesce(typed_ids, cast(array() AS array<int>))"
+    parts = [
+        _only(typed, f"array({marker})"),
+        _only(f"{typed} AND {_filled(_attr('property'))}", f"array({own})"),
+        _only(_has("property"), f"transform({owners}, t -> {inside})"),
+    ]
+    return f"concat({', '.join(parts)})"
 
 
-def next_data_candidates() -> Column:
-    content = F.coalesce(F.col("raw"), F.col("text"))
-    first = F.coalesce(_attr("id") == NEXT_DATA_ID, F.lit(False)) & F.col("id_first")
-    return _only(
-        first & _filled(content),
-        F.array(_candidate(NEXT_DATA, _elem(), 0, _elem(), text=content)),
-    )
+def next_data_candidates() -> str:
+    first = f"coalesce({_attr('id')} = '{NEXT_DATA_ID}', false) AND id_first"
+    content = "coalesce(raw, text)"
+    document = _candidate(NEXT_DATA, "elem_id", 0, "elem_id", text=content)
+    return _only(f"{first} AND {_filled(content)}", f"array({document})")
 
 
-def react_attr_candidates() -> Column:
+def react_attr_candidates() -> str:
     value = _attr("dangerouslysetinnerhtml")
-    return _only(
-        _is_script() & ~_has("src") & _filled(value),
-        F.array(_candidate(REACT, _elem(), 0, _elem(), text=value)),
-    )
+    candidate = _candidate(REACT, "elem_id", 0, "elem_id", text=value)
+    return _only(f"{IS_SCRIPT} AND NOT {_has('src')} AND {_filled(value)}", f"array({candidate})")
 
 
-def react_inline_candidates() -> Column:
+def react_inline_candidates() -> str:
+    match = _candidate(REACT, "elem_id", "i + 1", "elem_id", text="m")
     return _only(
-        _is_script() & ~_has("src"),
-        F.transform(
-            _inline_matches(), lambda m, i: _candidate(REACT, _elem(), i + 1, _elem(), text=m)
-        ),
+        f"{IS_SCRIPT} AND NOT {_has('src')}", f"transform({INLINE_MATCHES}, (m, i) -> {match})"
     )
 
 
@@ -240,9 +213,10 @@ def _parsed(rows: DataFrame) -> DataFrame:
 def _kept(rows: DataFrame, known_only: bool) -> DataFrame:
     """Apply each method's own test and, with `known_only`, the vocabulary test."""
     rows = rows.withColumn("_v", F.when(F.col("canon").isNotNull(), F.try_parse_json("canon")))
-    context = J.member(F.col("_v"), "@context")
+    context_sql = "try_variant_get(_v, '$[\\'@context\\']', 'variant')"
+    context = F.expr(context_sql)
     typed = J.is_truthy(J.member(F.col("_v"), "@type"))
-    schema = J.context_text_is(context, SCHEMA_VOCABULARY)
+    schema = J.context_text_is(context_sql, SCHEMA_VOCABULARY)
     test = (
         F.when(F.col("canon").isNull(), True)
         .when(F.col("method") == INLINE, schema)
@@ -251,7 +225,7 @@ def _kept(rows: DataFrame, known_only: bool) -> DataFrame:
         .otherwise(True)
     )
     if known_only:
-        known = schema | J.context_text_is(context, OPEN_GRAPH_VOCABULARY)
+        known = schema | J.context_text_is(context_sql, OPEN_GRAPH_VOCABULARY)
         test = test & F.when(F.col("canon").isNull(), True).otherwise(known)
     return rows.filter(test).drop("_v")
 
@@ -366,11 +340,11 @@ def objects_from_elements(
     known_only: bool = True,
 ) -> DataFrame:
     carried = [c for c in elements.columns if c.startswith("carry_")]
-    document = _only(F.col("tag") == "#document", F.array(_candidate(DOCUMENT, 0, 0, 0)))
+    document = _only("tag = '#document'", f"array({_candidate(DOCUMENT, 0, 0, 0)})")
     parts = ([document] if carried else []) + [METHODS[m]() for m in methods]
     # The outer form: the plain one makes Spark test the candidates' number first, and so
     # compute them twice.
-    rows = elements.select(key, *carried, F.inline_outer(F.concat(*parts)))
+    rows = elements.selectExpr(key, *carried, f"inline_outer(concat({', '.join(parts)}))")
     rows = rows.filter(F.col("method").isNotNull())
     rows = _kept(_parsed(rows), known_only)
     rows = rows.repartition(key)
@@ -462,7 +436,7 @@ def raw_jsonld_blocks(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """Verbatim ld+json text, one row per block, in page order."""
     return (
         html_elements(pages, key, "scripts")
-        .filter(is_jsonld())
+        .filter(IS_JSONLD)
         .select(key, F.col("elem_id").alias("pos"), F.coalesce("raw", F.lit("")).alias("raw"))
     )
 

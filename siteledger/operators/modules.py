@@ -185,7 +185,7 @@ def read_modules(modules: DataFrame) -> DataFrame:
             "declared_checksum": F.when(usable, F.col("declared_checksum")),
         }
     )
-    df = df.withColumn("checksum", J.checksum_of(F.col("objects")))
+    df = df.withColumn("checksum", J.checksum_of("objects"))
     return df.withColumn("checksum_valid", verify_checksum()).drop("_located", "_kept", "_first_url", "elements")
 
 

@@ -195,7 +195,7 @@ def context_is(spark, sf):
         F.lit("null"), F.lit('[["https://schema.org"]]'), F.lit('["a",{"b":"schema.org"}]'),
         F.concat(F.lit('"'), name, F.lit('"')),
     )
-    context = F.try_parse_json("v")
+    context = "try_parse_json(v)"
     return rows.select(
         "p_partkey", F.col("variant").cast("bigint").alias("variant"),
         J.context_text_is(context, E.SCHEMA_VOCABULARY).alias("is_schema"),
@@ -313,7 +313,7 @@ def microdata_items(spark, sf):
 
 def _property_rows(spark, sf, candidates):
     elements = html_elements(B.captures(spark, sf))
-    return elements.select("page_id", F.inline(candidates())).filter(F.col("name").isNotNull())
+    return elements.select("page_id", F.expr(f"inline({candidates()})")).filter(F.col("name").isNotNull())
 
 
 @query
