@@ -61,6 +61,8 @@ def explode_modules(parsed: DataFrame, keep_unresolved: bool = False) -> DataFra
     if not keep_unresolved:
         paths = F.filter(paths, lambda m: U.is_resolvable(m, F.col("site")))
     rows = parsed.select("site", F.posexplode(paths).alias("pos", "path"))
+    # One index document can list most of all modules; its rows leave its task here.
+    rows = rows.repartition("site", "pos")
     return U.with_resolved_url(rows, "path", "site", "module_url")
 
 

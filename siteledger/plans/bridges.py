@@ -242,7 +242,13 @@ def built(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     def once(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, sf_dir, fn.__name__)
         if key not in _BUILT:
-            _BUILT[key] = stored(fn(spark, sf_dir), fn.__name__)
+            df = fn(spark, sf_dir)
+            # Input of fewer parts than cores (one row group, say) would leave all later
+            # work to as few tasks; input of any size has more and is not moved.
+            cores = spark.sparkContext.defaultParallelism
+            if table(spark, sf_dir, "pages").rdd.getNumPartitions() < cores:
+                df = df.repartition(cores)
+            _BUILT[key] = stored(df, fn.__name__)
         return _BUILT[key]
 
     return once
