@@ -175,6 +175,19 @@ def canonical_of(items: Column) -> Column:
     return F.when(items["kind"] == "array", array_text(canons)).otherwise(F.get(canons, F.lit(0)))
 
 
+def canonical_flat(text: Column) -> Column:
+    """Canonical text of an object known to hold only strings and arrays of strings.
+
+    Nothing but the hex digits of escaped control characters has to be adjusted, so no
+    Python is needed and the partitioning of the rows survives."""
+    canon = F.to_json(F.try_parse_json(text))
+    fixed = canon
+    for code in [f"000{d}" for d in "BEF"] + [f"001{d}" for d in "ABCDEF"]:
+        pattern = rf"(?<!\\)((?:\\\\)*)\\u{code}"
+        fixed = F.regexp_replace(fixed, pattern, rf"$1\\u{code.lower()}")
+    return F.when(canon.contains("\\u00"), fixed).otherwise(canon)
+
+
 def with_canonical_json(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add `out`: `text` with keys sorted at every level and no white space."""
     df = with_json_items(df, text, "_items", keys=False)

@@ -230,6 +230,20 @@ def _kept(rows: DataFrame, known_only: bool) -> DataFrame:
     return rows.filter(test).drop("_v")
 
 
+def _with_derived_texts(rows: DataFrame) -> DataFrame:
+    """Add `allowed`, the object's text limited at every level to the names of its top
+    level, and `clean`, its text without a top-level `checksum`. Objects without nested
+    objects, or without that member, are not handed to Python and keep NULL."""
+    nested = F.expr("contains(substring(canon, 2), '{')")
+    holds = F.array_contains("keys", "checksum")
+    return rows.withColumns(
+        {
+            "allowed": J.allow_list_text(F.when(nested, F.col("canon"))),
+            "clean": J.without_checksum_text(F.when(holds, F.col("canon"))),
+        }
+    )
+
+
 def collect_values(values: Column) -> Column:
     """JSON for the values of one name, in document order.
 
@@ -244,14 +258,16 @@ def collect_values(values: Column) -> Column:
     )
 
 
+TEXTS = ("canon", "keys", "allowed", "clean")
+
+
 def _assembled(rows: DataFrame, key: str) -> DataFrame:
     """Gather item properties; JSON objects are groups of one row."""
     place = [key, "method", "root", "sub", "idx"]
     named = rows.groupBy(*place, "name").agg(
         F.sort_array(F.collect_list(F.struct("elem", "value"))).alias("_values"),
         F.min("elem").alias("_at"),
-        F.first("canon").alias("canon"),
-        F.first("keys").alias("keys"),
+        *[F.first(c).alias(c) for c in TEXTS],
         *[F.first(c).alias(c) for c in rows.columns if c.startswith("carry_")],
     )
     values = F.transform("_values", lambda s: s["value"])
@@ -267,8 +283,7 @@ def _assembled(rows: DataFrame, key: str) -> DataFrame:
                 )
             )
         ).alias("_props"),
-        F.first("canon", ignorenulls=True).alias("canon"),
-        F.first("keys", ignorenulls=True).alias("keys"),
+        *[F.first(c, ignorenulls=True).alias(c) for c in TEXTS],
         *[F.first(c, ignorenulls=True).alias(c) for c in rows.columns if c.startswith("carry_")],
     )
     is_item = F.col("method").isin(*ITEM_METHODS)
@@ -288,17 +303,25 @@ def _assembled(rows: DataFrame, key: str) -> DataFrame:
     others = F.filter("_props", lambda p: ~p["name"].isin("@type", "@context"))
     names = F.transform(others, lambda p: p["name"])
     context_name, type_name = F.array(F.lit("@context")), F.array(F.lit("@type"))
-    members = F.concat(
-        F.array(F.concat(F.lit(f'"@context":{chr(34)}{SCHEMA_CONTEXT}{chr(34)},"@type":'), F.col("_type_json"))),
-        F.transform(others, lambda p: F.concat(J.quoted(p["name"]), F.lit(":"), p["json"])),
-    )
+    head = F.concat(F.lit(f'"@context":"{SCHEMA_CONTEXT}","@type":'), F.col("_type_json"))
+
+    def object_of(props: Column) -> Column:
+        members = F.transform(props, lambda p: F.concat(J.quoted(p["name"]), F.lit(":"), p["json"]))
+        text = F.array_join(F.concat(F.array(head), members), ",")
+        return F.when(is_item, J.canonical_flat(F.concat(F.lit("{"), text, F.lit("}"))))
+
     items = items.withColumn("_type_json", F.when(is_item, type_json))
     typed = F.coalesce(~F.col("_type_json").isin('""', "null"), F.lit(False))
     items = items.filter(~is_item | (F.col("_has_root") & typed))
     items = items.withColumns(
         {
-            "_item": F.when(
-                is_item, F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
+            "canon": F.coalesce("canon", object_of(others)),
+            "clean": F.coalesce(
+                "clean",
+                F.when(
+                    F.array_contains(names, "checksum"),
+                    object_of(F.filter(others, lambda p: p["name"] != "checksum")),
+                ),
             ),
             "keys": F.when(
                 is_item,
@@ -308,11 +331,8 @@ def _assembled(rows: DataFrame, key: str) -> DataFrame:
             ).otherwise(F.col("keys")),
         }
     )
-    items = J.with_canonical_json(items, "_item", "_item_canon")
     carried = [c for c in rows.columns if c.startswith("carry_")]
-    return items.select(
-        *place, F.coalesce("canon", "_item_canon").alias("canon"), "keys", *carried
-    )
+    return items.select(*place, *TEXTS, *carried)
 
 
 def extract_objects(
@@ -324,7 +344,8 @@ def extract_objects(
 ) -> DataFrame:
     """Objects of each page by the chosen methods, partitioned by `key`.
 
-    Columns: key, method, root, sub, idx (together the order), canon, keys. With
+    Columns: key, method, root, sub, idx (together the order), canon, keys, and the texts
+    for comparing (`allowed`) and handing out (`clean`) where they differ from canon. With
     `carry`, each page keeps a row of method -1 holding those columns, prefixed `carry_`.
     """
     named = {f"carry_{c}": F.col(c) for c in carry}
@@ -346,32 +367,20 @@ def objects_from_elements(
     # compute them twice.
     rows = elements.selectExpr(key, *carried, f"inline_outer(concat({', '.join(parts)}))")
     rows = rows.filter(F.col("method").isNotNull())
-    rows = _kept(_parsed(rows), known_only)
-    rows = rows.repartition(key)
-    return _assembled(rows, key)
+    # What needs Python is done before the shuffle: a Python stage forgets how the rows
+    # are partitioned, and everything below relies on it.
+    rows = _with_derived_texts(_kept(_parsed(rows), known_only))
+    return _assembled(rows.repartition(key), key)
 
 
 PLACE = ("method", "root", "sub", "idx")
 
 
-def allow_list_key(df: DataFrame, key: str, strict: bool = False) -> DataFrame:
-    """Add `dedupe_key`: the object's text limited, at every level, to the names of its
-    top level. Only a nested object among objects with the same names needs the walk;
-    for all others the canonical text serves. `strict` compares full texts."""
-    nested = F.substring("canon", F.lit(2), F.length("canon")).contains("{")
-    names = F.array_join(F.array_sort("keys"), "\u0001")
-    rivals = F.count(F.lit(1)).over(Window.partitionBy(key, "_names"))
-    df = df.withColumn("_names", names)
-    if strict:
-        return df.withColumn("dedupe_key", F.col("canon")).drop("_names")
-    df = df.withColumn("_rivals", rivals)
-    walked = J.allow_list_text(F.when(nested & (F.col("_rivals") > 1), F.col("canon")))
-    return df.withColumn("dedupe_key", F.coalesce(walked, F.col("canon"))).drop("_names", "_rivals")
-
-
 def dedupe_objects(df: DataFrame, key: str = "page_id", strict: bool = False) -> DataFrame:
-    """Keep the first object of each key on a page."""
-    df = allow_list_key(df, key, strict)
+    """Keep the first object of each key on a page: its text limited to the names of its
+    top level, or with `strict` its whole text."""
+    whole = F.col("canon") if strict else F.coalesce("allowed", "canon")
+    df = df.withColumn("dedupe_key", whole)
     first = Window.partitionBy(key, "dedupe_key").orderBy(*PLACE)
     is_object = F.col("canon").isNotNull()
     return (
@@ -383,12 +392,9 @@ def dedupe_objects(df: DataFrame, key: str = "page_id", strict: bool = False) ->
 
 def drop_checksum_field(df: DataFrame) -> DataFrame:
     """Remove a top-level `checksum` member from each object."""
-    holds = F.coalesce(F.array_contains("keys", "checksum"), F.lit(False))
     return df.withColumns(
         {
-            "canon": F.coalesce(
-                J.without_checksum_text(F.when(holds, F.col("canon"))), F.col("canon")
-            ),
+            "canon": F.coalesce("clean", "canon"),
             "keys": F.array_remove("keys", F.lit("checksum")),
         }
     )
