@@ -2,11 +2,26 @@
 
 from __future__ import annotations
 
-from siteledger.llm import jaccard
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siteledger.llm import jaccard, phrases
 from siteledger.llm.common import table
 
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    sha = F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+    return phrases.remove_repeats(docs).select("doc_id", "n_words", "n_removed", sha)
+
+
 QUERIES = {
-    "op8_ngram_jaccard_join": lambda spark, sf: jaccard.jaccard_components(table(spark, sf, "documents")),
+    "op3_substring_dedup": op3,
+    "op8_ngram_jaccard_join": lambda spark, sf: jaccard.jaccard_components(_documents(spark, sf)),
 }
 
 ORACLES: dict[str, str] = {}
