@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteledger.llm import jaccard, phrases
+from siteledger.llm import jaccard, licenses, mixing, phrases, rules, sketch
 from siteledger.llm.common import table
 
 
@@ -13,6 +13,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.entropy_mix(_documents(spark, sf_dir), F.size(sketch.word_array(F.col("text"))))
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     sha = F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
@@ -20,8 +24,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1,
     "op3_substring_dedup": op3,
+    "op4_license_scans": lambda spark, sf: licenses.license_scan(_documents(spark, sf)),
+    "op5_quality_rules": lambda spark, sf: rules.quality_rules(_documents(spark, sf), table(spark, sf, "labels")),
     "op8_ngram_jaccard_join": lambda spark, sf: jaccard.jaccard_components(_documents(spark, sf)),
+    "op10_fingerprints": lambda spark, sf: sketch.edited_fingerprints(_documents(spark, sf)),
 }
 
 ORACLES: dict[str, str] = {}
