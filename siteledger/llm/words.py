@@ -55,12 +55,21 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 
+class Ranges:
+    """64-bit hashes of stretches of `values`, equal for equal contents."""
+
+    def __init__(self, values: np.ndarray):
+        up, self.down = _POWERS.get(len(values) + 1)
+        self.total = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.cumsum(values * up[: len(values)], out=self.total[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.total[end] - self.total[start]) * self.down[start] + (end - start).astype(np.uint64))
+
+
 def range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each `values[start:end]`, equal for equal contents."""
-    up, down = _POWERS.get(len(values) + 1)
-    total = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    """A hash of each `values[start:end]`."""
+    return Ranges(values).of(start, end)
 
 
 @dataclass
@@ -81,7 +90,10 @@ class Piece:
     words: np.ndarray
 
     def word_hashes(self) -> np.ndarray:
-        return range_hashes(_BYTE_CODES[self.data], self.start, self.end)
+        return self.byte_ranges().of(self.start, self.end)
+
+    def byte_ranges(self) -> Ranges:
+        return Ranges(_BYTE_CODES[self.data])
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
