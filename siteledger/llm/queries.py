@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteledger.llm import jaccard, licenses, mixing, phrases, rules, sketch
+from siteledger.llm import jaccard, langid, licenses, mil, mixing, phrases, pieces, rules, sketch, toxic
 from siteledger.llm.common import table
 
+#: The SentencePiece model that op6 and the pipeline encode with.
+PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
@@ -23,13 +28,34 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.remove_repeats(docs).select("doc_id", "n_words", "n_removed", sha)
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    both = pieces.decode_pieces(pieces.encode_pieces(docs, PIECE_MODEL), PIECE_MODEL)
+    sha = F.sha2(F.col("decoded").cast("binary"), 256)
+    return both.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", sha.alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless")
+    )
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The pipeline imports this module for the place of the piece model.
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_mixing": op1,
+    "op2_quality_classifier": lambda spark, sf: mil.classify_quality(_documents(spark, sf), table(spark, sf, "labels")),
     "op3_substring_dedup": op3,
     "op4_license_scans": lambda spark, sf: licenses.license_scan(_documents(spark, sf)),
     "op5_quality_rules": lambda spark, sf: rules.quality_rules(_documents(spark, sf), table(spark, sf, "labels")),
+    "op6_sentencepiece": op6,
+    "op7_language_id": lambda spark, sf: langid.identify_language(_documents(spark, sf)),
     "op8_ngram_jaccard_join": lambda spark, sf: jaccard.jaccard_components(_documents(spark, sf)),
+    "op9_toxicity": lambda spark, sf: toxic.score_toxicity(_documents(spark, sf), table(spark, sf, "labels")),
     "op10_fingerprints": lambda spark, sf: sketch.edited_fingerprints(_documents(spark, sf)),
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {}
