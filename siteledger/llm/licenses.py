@@ -97,14 +97,12 @@ def license_scan(
     phrases = PHRASES if phrases is None else phrases
     spark = docs.sparkSession
     text = lowered(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    rows = docs.select(
-        F.col("doc_id"), text.alias("_low"), spaced(text).alias("_spaced")
-    )
+    rows = docs.select("doc_id", text.alias("_low"))
     wanted = _template_words(spark, templates)
     # The templates are the caller's own short list; their words are its vocabulary.
     given = wanted.collect()
     vocabulary = sorted({w for t in given for w in t["words"]})
-    held = F.array_intersect(_word_array(F.col("_spaced")), F.array(*map(F.lit, vocabulary)))
+    held = F.array_intersect(_word_array(spaced(F.col("_low"))), F.array(*map(F.lit, vocabulary)))
     counts = (
         rows.select(F.explode(held).alias("word"))
         .groupBy("word")
@@ -139,55 +137,46 @@ def license_scan(
 
 
 def _base(rows: DataFrame, phrases: dict[str, str]) -> DataFrame:
-    spaced_text = F.col("_spaced")
-    marks = [F.contains(spaced_text, F.lit(f" {p} ")) for p in phrases]
-    anywhere = marks[0]
-    for mark in marks[1:]:
-        anywhere = anywhere | mark
-    every = let(_word_array(spaced_text), lambda w: F.concat(*(_places(w, p) for p in phrases)))
-    # Places are looked up only in the texts that hold a phrase.
-    places = F.when(anywhere, every).otherwise(F.array().cast("array<int>"))
-    labels = F.array(*(F.when(m, F.lit(label)) for m, label in zip(marks, phrases.values())))
-    blank = spaced_text == "  "
-    gaps = F.length(spaced_text) - F.length(F.replace(spaced_text, F.lit(" "), F.lit(""))) - 1
-    found = rows.select(
-        "doc_id",
-        "_low",
-        F.when(blank, 0).otherwise(gaps).cast("long").alias("n_words"),
-        F.array_distinct(F.array_compact(labels)).alias("_base"),
-        places.alias("_places"),
-    )
+    def of(spaced_text: Column) -> Column:
+        marks = [F.contains(spaced_text, F.lit(f" {p} ")) for p in phrases]
+        anywhere = marks[0]
+        for mark in marks[1:]:
+            anywhere = anywhere | mark
+        every = let(_word_array(spaced_text), lambda w: F.concat(*(_places(w, p) for p in phrases)))
+        labels = F.array(*(F.when(m, F.lit(label)) for m, label in zip(marks, phrases.values())))
+        gaps = F.length(spaced_text) - F.length(F.replace(spaced_text, F.lit(" "), F.lit(""))) - 1
+        return F.struct(
+            F.when(spaced_text == "  ", 0).otherwise(gaps).cast("long").alias("n_words"),
+            F.array_distinct(F.array_compact(labels)).alias("_base"),
+            # Places are looked up only in the texts that hold a phrase.
+            F.when(anywhere, every).otherwise(F.array().cast("array<int>")).alias("_places"),
+        )
+
+    found = rows.select("doc_id", "_low", let(spaced(F.col("_low")), of).alias("_b"))
     return found.select(
         "doc_id",
         "_low",
-        "n_words",
-        "_base",
-        F.size("_places").cast("long").alias("n_base"),
-        F.array_min("_places").cast("long").alias("first_word"),
-        F.array_max("_places").cast("long").alias("last_word"),
+        "_b.n_words",
+        "_b._base",
+        F.size("_b._places").cast("long").alias("n_base"),
+        F.array_min("_b._places").cast("long").alias("first_word"),
+        F.array_max("_b._places").cast("long").alias("last_word"),
     )
 
 
 def _matches(rows: DataFrame, index: DataFrame, ordered, needs, key) -> DataFrame:
     """(_key, _len, _found, _best): labels and best containment of the texts with a match."""
-    spaced_text = F.col("_spaced")
-    candidate = F.lit(False)
-    for t, _, words in ordered:
-        prefix = words[: len(words) - needs[t] + 1]
-        some = F.lit(False)
-        for word in prefix:
-            some = some | F.contains(spaced_text, F.lit(f" {word} "))
-        candidate = candidate | some
-    texts = rows.filter(candidate).select(*key, "_low")
+    firsts = sorted({w for t, _, words in ordered for w in words[: len(words) - needs[t] + 1]})
+    some = F.arrays_overlap(_word_array(spaced(F.col("_low"))), F.array(*map(F.lit, firsts)))
+    texts = rows.filter(some).select(*key, "_low")
     lines = F.split("_low", "\n")
     paragraphs = F.filter(F.split("_low", r"\n[\x20\x09-\x0D]*\n"), lambda p: F.contains(p, F.lit("\n")))
     blocks = texts.select("_key", "_len", F.posexplode(F.concat(lines, paragraphs)).alias("block", "_text"))
     sets = blocks.select(
         "_key", "_len", "block", F.array_distinct(_word_array(spaced(F.col("_text")))).alias("held")
     )
-    firsts = [w for t, _, words in ordered for w in words[: len(words) - needs[t] + 1]]
     tokens = sets.select(
-        "_key", "_len", "block", "held", F.explode(F.array_intersect("held", F.array(*map(F.lit, sorted(set(firsts)))))).alias("word")
+        "_key", "_len", "block", "held", F.explode(F.array_intersect("held", F.array(*map(F.lit, firsts)))).alias("word")
     )
     near = tokens.join(index, "word").filter(
         # Length: enough words in the block. Position: enough words of the template from here on.
