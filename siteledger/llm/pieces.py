@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siteledger.llm.words import spans, text_bytes
+
 DROPOUT = 0.1
 #: Segmentations a word may have within one run.
 VARIANTS = 4
-#: Words whose pieces a task remembers, per variant, before it starts anew.
-REMEMBERED = 100_000
+#: Words whose pieces a task remembers before it starts anew.
+REMEMBERED = 400_000
 #: Characters up to which searching a list beats keeping a heap; both cut alike.
 SHORT_WORD = 48
 _NONE = float("-inf")
@@ -68,8 +70,9 @@ class Vocabulary:
         return out
 
 
-def _skipped(code: int, a: int, middle: int, stop: int) -> int:
-    """The keyed hash of a candidate merge of word[a:middle] and word[middle:stop], 32 bits."""
+def _skipped(code, a, middle, stop):
+    """The keyed hash of a candidate merge of word[a:middle] and word[middle:stop], 32 bits;
+    works on numbers and on arrays."""
     h = (code + a * 0x9E3779B1 + middle * 0x85EBCA77 + stop * 0xC2B2AE3D) & 0xFFFFFFFF
     h = ((h ^ (h >> 15)) * 0x2C1B3C6D) & 0xFFFFFFFF
     h = ((h ^ (h >> 12)) * 0x297A2D39) & 0xFFFFFFFF
@@ -143,41 +146,141 @@ def segment(word: str, vocab: Vocabulary, dropout: float, key: int) -> list[int]
     return out
 
 
-class _Words(dict):
-    """Pieces of each word met, as packed ids, for one variant."""
-
-    def __init__(self, vocab: Vocabulary, dropout: float, key: int):
-        self.vocab, self.dropout, self.key = vocab, dropout, key
-
-    def __missing__(self, word: str) -> bytes:
-        if word == _SPACE:
-            found = [self.vocab.bytes_at[b] for b in word.encode()]
-        else:
-            found = segment(word.replace(" ", _SPACE), self.vocab, self.dropout, self.key)
-        packed = np.array(found, np.int32).tobytes()
-        if len(word) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = packed
-        return packed
+class _Merges:
+    """All merges of a vocabulary as sorted arrays, to look up many pairs at once."""
+
+    def __init__(self, vocab: Vocabulary):
+        pairs = {}
+        for piece, merged in vocab.ids.items():
+            for cut in range(1, len(piece)):
+                left, right = vocab.ids.get(piece[:cut]), vocab.ids.get(piece[cut:])
+                if left is not None and right is not None:
+                    pairs[left * len(vocab.pieces) + right] = merged
+        self.base = len(vocab.pieces)
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.merged = np.array([pairs[k] for k in self.keys.tolist()], np.int32)
+        score = np.full(len(vocab.pieces), _NONE, np.float32)
+        for piece, i in vocab.ids.items():
+            score[i] = vocab.score[piece]
+        self.score = score[self.merged]
+        self.single = np.full(0x110000, -1, np.int32)
+        for piece, i in vocab.ids.items():
+            if len(piece) == 1:
+                self.single[ord(piece)] = i
+
+    def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(score, merged id) of each pair; no score where there is no merge."""
+        key = left.astype(np.int64) * self.base + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.score[at], np.float32(_NONE)), self.merged[at]
+
+    def cut(self, ids: np.ndarray, codes: np.ndarray, limit: int) -> list[np.ndarray]:
+        """Piece ids of words of one length: rows of `ids` are their characters. One entry of
+        every word's agenda is taken per round, for all words side by side."""
+        n, width = ids.shape
+        out: list[np.ndarray] = [None] * n
+        rows = np.arange(n)
+        at = np.broadcast_to(np.arange(width + 1, dtype=np.int8), (n, width + 1)).copy()
+        size = np.full(n, width)
+        score, merged = self.look_up(ids[:, :-1], ids[:, 1:]) if width > 1 else (np.full((n, 0), _NONE), None)
+        while len(rows):
+            if score.shape[1]:
+                best = score.argmax(1)
+                open_ones = score[np.arange(len(rows)), best] > _NONE
+            else:
+                open_ones = np.zeros(len(rows), bool)
+            for r in np.nonzero(~open_ones)[0]:
+                out[rows[r]] = ids[r, : size[r]]
+            if not open_ones.all():
+                rows, ids, at, size, codes = rows[open_ones], ids[open_ones], at[open_ones], size[open_ones], codes[open_ones]
+                score = score[open_ones]
+                if not len(rows):
+                    break
+                merged, best = merged[open_ones], best[open_ones]
+            each = np.arange(len(rows))
+            joins = np.ones(len(rows), bool)
+            if limit:
+                h = _skipped(codes, *(at[each, best + k].astype(np.int64) for k in range(3)))
+                joins = h >= limit
+            score[each[~joins], best[~joins]] = _NONE
+            some, where = each[joins], best[joins]
+            if not len(some):
+                continue
+            columns = np.arange(width + 1)
+            new = merged[some, where]
+            for table, shift in ((ids, 0), (at, 0), (score, -1), (merged, -1)):
+                part = table[some]
+                moved = np.empty_like(part)
+                moved[:, :-1] = part[:, 1:]
+                moved[:, -1] = _NONE if table is score else 0
+                # Of the agenda, the entry that was taken goes, too.
+                mask = columns[None, : part.shape[1]] > where[:, None] + shift
+                np.copyto(part, moved, where=mask)
+                table[some] = part
+            ids[some, where] = new
+            size[some] -= 1
+            for side in (0, -1):
+                place = where + side
+                fits = (place >= 0) & (place + 1 < size[some])
+                s, p = some[fits], place[fits]
+                score[s, p], merged[s, p] = self.look_up(ids[s, p], ids[s, p + 1])
+        return out
 
 
 class Encoder:
+    """Encodes texts, remembering the pieces of words it has met, for each variant."""
+
     def __init__(self, vocab: Vocabulary, dropout: float = DROPOUT, seed: int = 11, variants: int = VARIANTS):
-        self.seed = seed
-        self.variants = [_Words(vocab, dropout, crc32(b"%d %d" % (seed, v))) for v in range(variants if dropout else 1)]
-
-    def encode(self, text: str, key: str) -> bytes:
-        """Packed ids of a text; `key` tells texts apart whose words may be cut differently."""
-        if not text:
-            return b""
-        words = _WORD.findall(" " + text)
-        if len(self.variants) == 1:
-            one = self.variants[0]
-            return b"".join([one[w] for w in words])
+        self.vocab, self.dropout, self.seed = vocab, dropout, seed
+        self.keys = [crc32(b"%d %d" % (seed, v)) for v in range(variants if dropout else 1)]
+        self.known: list[dict[str, bytes]] = [{} for _ in self.keys]
+        self.merges = _Merges(vocab)
+
+    def _order(self, key: str):
+        """The variants of a text's words, in turn."""
+        if len(self.keys) == 1:
+            return cycle([0])
         turns = blake2b(key.encode(), key=b"%d" % self.seed).digest()
-        order = cycle([self.variants[b % len(self.variants)] for b in turns])
-        return b"".join([known[w] for known, w in zip(order, words)])
+        return cycle([b % len(self.keys) for b in turns])
+
+    def _learn(self, missing: list[tuple[int, str]]) -> None:
+        limit = int(self.dropout * 4294967296)
+        by_length: dict[int, list[tuple[int, str, str]]] = {}
+        for v, word in missing:
+            shown = word.replace(" ", _SPACE) if word != _SPACE else word
+            if word == _SPACE:
+                self.known[v][word] = np.array([self.vocab.bytes_at[b] for b in word.encode()], np.int32).tobytes()
+            elif len(shown) > SHORT_WORD:
+                self.known[v][word] = np.array(segment(shown, self.vocab, self.dropout, self.keys[v]), np.int32).tobytes()
+            else:
+                by_length.setdefault(len(shown), []).append((v, word, shown))
+        for width, group in by_length.items():
+            chars = np.frombuffer("".join([g[2] for g in group]).encode("utf-32-le"), np.uint32).reshape(-1, width)
+            ids = self.merges.single[chars]
+            whole = (ids >= 0).all(1)
+            for r in np.nonzero(~whole)[0]:
+                v, word, shown = group[r]
+                self.known[v][word] = np.array(segment(shown, self.vocab, self.dropout, self.keys[v]), np.int32).tobytes()
+            rows = np.nonzero(whole)[0]
+            codes = np.array([crc32(group[r][2].encode(), self.keys[group[r][0]]) if limit else 0 for r in rows], np.int64)
+            for r, found in zip(rows, self.merges.cut(ids[rows], codes, limit)):
+                v, word, _ = group[r]
+                self.known[v][word] = found.tobytes()
+
+    def encode(self, texts: list[str | None], keys: list[str]) -> list[bytes | None]:
+        """Packed ids of texts; keys tell apart texts whose words may be cut differently."""
+        words = [_WORD.findall(" " + t) if t else [] for t in texts]
+        if sum(map(len, self.known)) > REMEMBERED:
+            self.known = [{} for _ in self.keys]
+        known = self.known
+        missing = {
+            (v, w) for key, ws in zip(keys, words) for v, w in zip(self._order(key), ws) if w not in known[v]
+        }
+        self._learn(list(missing))
+        return [
+            None if t is None else b"".join([known[v][w] for v, w in zip(self._order(key), ws)])
+            for t, key, ws in zip(texts, keys, words)
+        ]
 
 
 def _lists(packed: list[bytes | None]) -> pa.Array:
@@ -208,9 +311,12 @@ def encode_pieces(
     def run(batches):
         encoder = Encoder(vocab, dropout, seed)
         for batch in batches:
-            texts, keys = batch.column("_piece_text").to_pylist(), batch.column("_piece_key").to_pylist()
-            packed = [None if t is None else encoder.encode(t, k or "") for t, k in zip(texts, keys)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), _lists(packed)], names=[*kept, out])
+            _, bounds = text_bytes(batch.column("_piece_text"))
+            for first, last in spans(bounds):
+                part = batch.slice(first, last - first)
+                keys = [k or "" for k in part.column("_piece_key").to_pylist()]
+                packed = encoder.encode(part.column("_piece_text").to_pylist(), keys)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), _lists(packed)], names=[*kept, out])
 
     return rows.mapInArrow(run, docs.select(*kept).schema.add(out, T.ArrayType(T.IntegerType())))
 
