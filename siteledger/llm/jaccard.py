@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from siteledger.llm.common import Workspace
 from siteledger.llm.words import grams, mix, pieces, range_hashes
@@ -24,6 +25,8 @@ THRESHOLD_PERCENT = 85
 LEVELS = (0, 40, 20)
 #: Documents a prefix token may bring in before its document goes to the next level.
 COST_STEP = 2.0
+#: Centres each class is verified against before the completion.
+STAR_TRIES = 2
 
 
 def shingle_sets(texts: pa.Array, width: int):
@@ -129,7 +132,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _roots(work: Workspace, parents: DataFrame, name: str) -> DataFrame:
     """(cls, comp): the end of each chain of `parents(a, b)`, where b is the one parent of
-    a and b < a. Chains halve in each round."""
+    a, and chains do not close. Chains halve in each round."""
     step, rounds = parents.select("a", "b"), 0
     while True:
         up = step.select(F.col("a").alias("b"), F.col("b").alias("_bb"))
@@ -182,12 +185,14 @@ def jaccard_components(
     1. Classes: rows with equal sets, by two 64-bit hashes of the set.
     2. Live tokens: those in prefixes of two classes or more. A class stays only if, at each
        level its candidate cost takes it to, it has as many live tokens as a partner must share.
-    3. Stars: each class is verified against the class it meets most often as the smallest
-       holder of its tokens. One pair per class, so a large group of near copies costs as
-       many pairs as it has members, and becomes one component.
-    4. Completion: tokens held by classes of different components only; the pairs across
-       components that share enough of them are verified. No link is lost, since a pair in
-       one component needs none.
+    3. Held tokens: for the classes that stay the prefix is lengthened to the whole set. The
+       tokens that another of them has too bound what a class can share with any other.
+    4. Stars: each class is verified against those it meets most often as the least changed
+       holder of its tokens. A few pairs per class, so a large group of near copies costs in
+       proportion to its members, and becomes one component.
+    5. Completion: by counts now known, the rarest tokens come first. Pairs across components
+       whose prefixes share enough of the tokens that several components hold are verified.
+       No link is lost, since a pair in one component needs none.
     """
     work = Workspace(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -203,15 +208,6 @@ def jaccard_components(
         .select(F.col("k1").alias("cls"), "k2", "n", "rep", "prefix"),
     )
     live = work.keep("live", _live(classes, percent))
-    stars = (
-        live.select("cls", F.inline("live"))
-        .filter("pivot < cls")
-        .groupBy("cls", "pivot")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .groupBy("cls")
-        .agg(F.max(F.struct("_n", "pivot")).alias("_best"))
-        .select(F.col("cls").alias("a"), F.col("_best.pivot").alias("b"))
-    )
     wanted = live.select("cls", F.col("rep").alias("doc_id"))
     sets = work.keep(
         "sets",
@@ -222,10 +218,12 @@ def jaccard_components(
         .groupBy("cls")
         .agg(F.first("tokens").alias("tokens")),
     )
-    parents = work.keep("stars", _verified(stars, sets, percent))
-    roots = _roots(work, parents, "roots")
-    across = work.keep("across", _verified(_across(work, live, roots, percent), sets, percent))
-    comps = live.select("cls").join(roots, "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp"))
+    held = work.keep("held", _held(sets, percent))
+    meets = work.keep("meets", live.join(held, "cls").select("cls", "n", "held", F.inline("live")))
+    parents = work.keep("stars", _verified(_stars(meets), sets, percent))
+    roots = _roots(work, parents.groupBy("a").agg(F.min("b").alias("b")), "roots")
+    across = work.keep("across", _verified(_across(work, sets, held, roots, percent), sets, percent))
+    comps = held.select("cls").join(roots, "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp"))
     if not across.isEmpty():
         ends = across.join(comps.withColumnsRenamed({"cls": "a", "comp": "_ca"}), "a").join(
             comps.withColumnsRenamed({"cls": "b", "comp": "_cb"}), "b"
@@ -252,18 +250,18 @@ def _base(percent: int) -> Column:
 
 def _live(classes: DataFrame, percent: int) -> DataFrame:
     """(cls, n, rep, live): the classes that may have partners, with their live prefix tokens
-    (token, pos, pivot); pivot is the smallest class that holds the token."""
+    (token, pos)."""
     tokens = classes.select("cls", "n", "rep", F.posexplode("prefix").alias("pos", "token"))
     shared = (
         tokens.groupBy("token")
-        .agg(F.count(F.lit(1)).alias("df"), F.min("cls").alias("pivot"))
+        .agg(F.count(F.lit(1)).alias("df"))
         .filter("df > 1")
     )
     per_class = (
         tokens.join(shared, "token")
         .groupBy("cls", "n", "rep")
         .agg(
-            F.collect_list(F.struct("token", "pos", "pivot")).alias("live"),
+            F.collect_list(F.struct("token", "pos")).alias("live"),
             F.sum(F.when(F.col("pos") <= _base(percent), F.col("df") - 1).otherwise(0)).alias("_cost"),
         )
     )
@@ -276,36 +274,84 @@ def _live(classes: DataFrame, percent: int) -> DataFrame:
     return per_class.filter(stays).drop("_cost")
 
 
-def _across(work: Workspace, live: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """(a, b): classes of different components that share as many tokens, within the prefixes
-    of a level, as that level asks for."""
-    rows = (
-        live.join(roots, "cls", "left")
-        .select("cls", "n", F.coalesce("comp", "cls").alias("comp"), F.inline("live"))
-        .drop("pivot")
+def _held(sets: DataFrame, percent: int) -> DataFrame:
+    """(cls, held): how many tokens of a class another class has too, where they are enough
+    for a link."""
+    tokens = sets.select("cls", F.explode("tokens").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("token")
+    counts = tokens.join(shared, "token").groupBy("cls").agg(F.count(F.lit(1)).alias("held"))
+    sizes = sets.select("cls", F.size("tokens").alias("_n"))
+    return counts.join(sizes, "cls").filter(F.col("held") * 100 >= F.col("_n") * percent).select("cls", "held")
+
+
+def _stars(meets: DataFrame) -> DataFrame:
+    """(a, b): each class with the STAR_TRIES classes it meets most often as the holder of a
+    token that has the fewest tokens of its own. b comes before a in that order, always."""
+    changed = F.struct((F.col("n") - F.col("held")).alias("own"), F.col("cls").alias("pivot"))
+    centres = meets.groupBy("token").agg(F.min(changed).alias("centre"))
+    tries = (
+        meets.join(centres, "token")
+        .filter("centre.pivot <> cls")
+        .groupBy("cls", "centre")
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
-    mixed = work.keep("mixed", _mixed(rows, percent))
-    one = mixed.select("token", *(F.col(c).alias(f"{c}1") for c in ("cls", "n", "comp", "pos")))
-    two = mixed.select("token", *(F.col(c).alias(f"{c}2") for c in ("cls", "n", "comp", "pos")))
-    near = F.expr(f"cls1 < cls2 AND comp1 <> comp2 AND n1 * 100L >= n2 * {percent}L AND n2 * 100L >= n1 * {percent}L")
-    met = one.join(two, "token").filter(near)
-    base1, base2 = (F.expr(f"n{i} - CAST((n{i} * {percent}L + 99) DIV 100 AS INT)") for i in (1, 2))
-    counts, enough = [], F.lit(True)
-    for level in range(len(LEVELS)):
-        matches = level_matches(F.greatest("n1", "n2"), level)
-        inside = (F.col("pos1") < base1 + matches) & (F.col("pos2") < base2 + matches)
-        counts.append(F.sum(F.when(inside, 1).otherwise(0)).alias(f"_l{level}"))
-        enough = enough & (F.col(f"_l{level}") >= matches)
-    pairs = met.groupBy("cls1", "cls2", "n1", "n2").agg(*counts).filter(enough)
-    return pairs.select(F.col("cls1").alias("a"), F.col("cls2").alias("b"))
-
-
-def _mixed(rows: DataFrame, percent: int) -> DataFrame:
-    """The rows whose token is held in several components, of classes with enough of them."""
-    tokens = rows.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
-    left = rows.join(tokens.filter("_lo <> _hi").select("token"), "token", "left_semi")
-    top = level_matches(F.col("n"), len(LEVELS) - 1)
-    held = left.groupBy("cls", "n").agg(
-        F.sum(F.when(F.col("pos") < _base(percent) + top, 1).otherwise(0)).alias("_held")
+    place = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("_n"), "centre"))
+    best = tries.withColumn("_place", place).filter(F.col("_place") <= STAR_TRIES)
+    return best.select(F.col("cls").alias("a"), F.col("centre.pivot").alias("b"))
+
+
+def _across(work: Workspace, sets: DataFrame, held: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(a, b): classes of different components that share as many prefix tokens as their
+    level asks for.
+
+    The order of tokens is by count here, rarest first. Tokens that only one component
+    holds cannot be shared across, and come before all others. A pair shares at least
+    need = ceil(percent * (n1 + n2) / (100 + percent)) tokens, and so m of them within the
+    first n - need + m of each, for every m."""
+    members = sets.join(held.select("cls"), "cls").join(roots, "cls", "left")
+    members = members.select("cls", F.size("tokens").alias("n"), F.coalesce("comp", "cls").alias("comp"), "tokens")
+    rows = members.select("cls", "n", "comp", F.explode("tokens").alias("token"))
+    tokens = rows.groupBy("token").agg(
+        F.count(F.lit(1)).alias("df"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")
+    )
+    several = tokens.filter("_lo <> _hi").select("token", "df")
+    ranked = (
+        rows.join(several, "token")
+        .groupBy("cls", "n", "comp")
+        .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("live"))
+        .filter(F.size("live") * 100 >= F.col("n") * percent)
+    )
+    base = _base(percent)
+    free = F.col("n") - F.size("live")
+    cost = F.aggregate(
+        F.slice("live", F.lit(1), F.greatest(F.lit(0), base + 1 - free)),
+        F.lit(0.0),
+        lambda total, t: total + t["df"] - 1,
+    )
+    # A class whose shortest prefix brings in more than its size asks for more matches.
+    level = F.when(cost > COST_STEP * F.col("n"), len(LEVELS) - 2).otherwise(0)
+    longest = base + level_matches(F.floor(F.col("n") * 100 / percent) + 1, len(LEVELS) - 2)
+    prefix = (
+        ranked.withColumns({"level": level, "free": free, "longest": longest})
+        .select("cls", "n", "comp", "level", "free", "longest", F.posexplode("live").alias("_at", "_t"))
+        .select("cls", "n", "comp", "level", "longest", (F.col("free") + F.col("_at")).alias("pos"), F.col("_t.token").alias("token"))
+        .filter(F.col("pos") < F.col("longest"))
+        .drop("longest")
+    )
+    prefix = work.keep("prefix", prefix)
+    sides = [
+        prefix.select("token", *(F.col(c).alias(f"{c}{i}") for c in ("cls", "n", "comp", "level", "pos")))
+        for i in (1, 2)
+    ]
+    most = F.greatest("n1", "n2")
+    matches = F.when(F.greatest("level1", "level2") > 0, level_matches(most, len(LEVELS) - 2)).otherwise(1)
+    need = F.expr(f"CAST(((n1 + n2) * {percent}L + {99 + percent}) DIV {100 + percent} AS INT)")
+    near = (
+        (F.col("cls1") < F.col("cls2"))
+        & (F.col("comp1") != F.col("comp2"))
+        & (F.col("pos1") < F.col("n1") - need + matches)
+        & (F.col("pos2") < F.col("n2") - need + matches)
     )
-    return left.join(held.filter(F.col("_held") >= top).select("cls"), "cls", "left_semi")
+    met = sides[0].join(sides[1], "token").filter(near)
+    pairs = met.groupBy("cls1", "cls2", matches.alias("_m")).agg(F.count(F.lit(1)).alias("_n"))
+    return pairs.filter("_n >= _m").select(F.col("cls1").alias("a"), F.col("cls2").alias("b"))
