@@ -307,7 +307,7 @@ def _across(work: Workspace, sets: DataFrame, held: DataFrame, roots: DataFrame,
     The order of tokens is by count here, rarest first. Tokens that only one component
     holds cannot be shared across, and come before all others. A pair shares at least
     need = ceil(percent * (n1 + n2) / (100 + percent)) tokens, and so m of them within the
-    first n - need + m of each, for every m."""
+    first n - need + m of each, for every m. Pairs meet in the shortest prefix (m = 1)."""
     members = sets.join(held.select("cls"), "cls").join(roots, "cls", "left")
     members = members.select("cls", F.size("tokens").alias("n"), F.coalesce("comp", "cls").alias("comp"), "tokens")
     rows = members.select("cls", "n", "comp", F.explode("tokens").alias("token"))
@@ -331,27 +331,26 @@ def _across(work: Workspace, sets: DataFrame, held: DataFrame, roots: DataFrame,
     # A class whose shortest prefix brings in more than its size asks for more matches.
     level = F.when(cost > COST_STEP * F.col("n"), len(LEVELS) - 2).otherwise(0)
     longest = base + level_matches(F.floor(F.col("n") * 100 / percent) + 1, len(LEVELS) - 2)
+    longer = F.transform(F.slice("live", F.lit(1), F.greatest(F.lit(0), longest - free)), lambda t: t["token"])
     prefix = (
-        ranked.withColumns({"level": level, "free": free, "longest": longest})
-        .select("cls", "n", "comp", "level", "free", "longest", F.posexplode("live").alias("_at", "_t"))
-        .select("cls", "n", "comp", "level", "longest", (F.col("free") + F.col("_at")).alias("pos"), F.col("_t.token").alias("token"))
-        .filter(F.col("pos") < F.col("longest"))
-        .drop("longest")
+        ranked.select("cls", "n", "comp", level.alias("level"), free.alias("free"), longer.alias("longer"), F.posexplode("live").alias("_at", "_t"))
+        .select("cls", "n", "comp", "level", "longer", (F.col("free") + F.col("_at")).alias("pos"), F.col("_t.token").alias("token"))
+        .filter(F.col("pos") <= base)
     )
     prefix = work.keep("prefix", prefix)
     sides = [
-        prefix.select("token", *(F.col(c).alias(f"{c}{i}") for c in ("cls", "n", "comp", "level", "pos")))
+        prefix.select("token", *(F.col(c).alias(f"{c}{i}") for c in ("cls", "n", "comp", "level", "longer", "pos")))
         for i in (1, 2)
     ]
-    most = F.greatest("n1", "n2")
-    matches = F.when(F.greatest("level1", "level2") > 0, level_matches(most, len(LEVELS) - 2)).otherwise(1)
+    matches = level_matches(F.greatest("n1", "n2"), len(LEVELS) - 2)
     need = F.expr(f"CAST(((n1 + n2) * {percent}L + {99 + percent}) DIV {100 + percent} AS INT)")
     near = (
         (F.col("cls1") < F.col("cls2"))
         & (F.col("comp1") != F.col("comp2"))
-        & (F.col("pos1") < F.col("n1") - need + matches)
-        & (F.col("pos2") < F.col("n2") - need + matches)
+        & (F.col("pos1") <= F.col("n1") - need)
+        & (F.col("pos2") <= F.col("n2") - need)
+        # Of costly classes, the lengthened prefixes must share as many more.
+        & ((F.greatest("level1", "level2") == 0) | (F.size(F.array_intersect("longer1", "longer2")) >= matches))
     )
     met = sides[0].join(sides[1], "token").filter(near)
-    pairs = met.groupBy("cls1", "cls2", matches.alias("_m")).agg(F.count(F.lit(1)).alias("_n"))
-    return pairs.filter("_n >= _m").select(F.col("cls1").alias("a"), F.col("cls2").alias("b"))
+    return met.select(F.col("cls1").alias("a"), F.col("cls2").alias("b")).distinct()
