@@ -12,11 +12,13 @@ from __future__ import annotations
 import heapq
 import re
 from hashlib import blake2b
-from itertools import cycle
+from itertools import compress, cycle
+from operator import call
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,8 +28,9 @@ from siteledger.llm.words import spans, text_bytes
 DROPOUT = 0.1
 #: Segmentations a word may have within one run.
 VARIANTS = 4
-#: Words whose pieces a task remembers before it starts anew.
-REMEMBERED = 400_000
+#: Words, over all variants, whose pieces a worker remembers before it starts anew; about
+#: 200 bytes each.
+REMEMBERED = 1_000_000
 #: Characters up to which searching a list beats keeping a heap; both cut alike.
 SHORT_WORD = 48
 _NONE = float("-inf")
@@ -45,6 +48,7 @@ class Vocabulary:
         special = set(bytes_at)
         self.ids = {p: i for i, p in enumerate(pieces) if p is not None and i not in special}
         self.score = {p: scores[i] for p, i in self.ids.items()}
+        self.digest = blake2b(repr((pieces, scores, bytes_at)).encode()).hexdigest()
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -174,34 +178,33 @@ class _Merges:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.score[at], np.float32(_NONE)), self.merged[at]
 
-    def cut(self, ids: np.ndarray, codes: np.ndarray, limit: int) -> list[np.ndarray]:
-        """Piece ids of words of one length: rows of `ids` are their characters. One entry of
-        every word's agenda is taken per round, for all words side by side."""
+    def cut(self, ids: np.ndarray, codes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of words of one length, and how many each word has: rows of `ids` are their
+        characters. One entry of every word's agenda is taken per round, for all words side by
+        side; words that are done leave the tables once they are a third of them."""
         n, width = ids.shape
-        out: list[np.ndarray] = [None] * n
+        if width == 1:
+            return ids, np.ones(n, np.int64)
+        out, sizes = np.zeros((n, width), np.int32), np.zeros(n, np.int64)
         rows = np.arange(n)
         at = np.broadcast_to(np.arange(width + 1, dtype=np.int8), (n, width + 1)).copy()
         size = np.full(n, width)
-        score, merged = self.look_up(ids[:, :-1], ids[:, 1:]) if width > 1 else (np.full((n, 0), _NONE), None)
+        score, merged = self.look_up(ids[:, :-1], ids[:, 1:])
         while len(rows):
-            if score.shape[1]:
-                best = score.argmax(1)
-                open_ones = score[np.arange(len(rows)), best] > _NONE
-            else:
-                open_ones = np.zeros(len(rows), bool)
-            for r in np.nonzero(~open_ones)[0]:
-                out[rows[r]] = ids[r, : size[r]]
-            if not open_ones.all():
+            best = score.argmax(1)
+            open_ones = score[np.arange(len(rows)), best] > _NONE
+            still = int(np.count_nonzero(open_ones))
+            if not still or 3 * still < 2 * len(rows):
+                done = ~open_ones
+                out[rows[done]], sizes[rows[done]] = ids[done], size[done]
                 rows, ids, at, size, codes = rows[open_ones], ids[open_ones], at[open_ones], size[open_ones], codes[open_ones]
-                score = score[open_ones]
-                if not len(rows):
-                    break
-                merged, best = merged[open_ones], best[open_ones]
+                score, merged, best = score[open_ones], merged[open_ones], best[open_ones]
+                open_ones = np.ones(still, bool)
             each = np.arange(len(rows))
-            joins = np.ones(len(rows), bool)
+            joins = open_ones
             if limit:
                 h = _skipped(codes, *(at[each, best + k].astype(np.int64) for k in range(3)))
-                joins = h >= limit
+                joins = open_ones & (h >= limit)
             score[each[~joins], best[~joins]] = _NONE
             some, where = each[joins], best[joins]
             if not len(some):
@@ -224,7 +227,7 @@ class _Merges:
                 fits = (place >= 0) & (place + 1 < size[some])
                 s, p = some[fits], place[fits]
                 score[s, p], merged[s, p] = self.look_up(ids[s, p], ids[s, p + 1])
-        return out
+        return out, sizes
 
 
 class Encoder:
@@ -236,12 +239,12 @@ class Encoder:
         self.known: list[dict[str, bytes]] = [{} for _ in self.keys]
         self.merges = _Merges(vocab)
 
-    def _order(self, key: str):
-        """The variants of a text's words, in turn."""
+    def _order(self, key: str) -> list[int]:
+        """The variants of a text's words, to be taken in turn."""
         if len(self.keys) == 1:
-            return cycle([0])
+            return [0]
         turns = blake2b(key.encode(), key=b"%d" % self.seed).digest()
-        return cycle([b % len(self.keys) for b in turns])
+        return [b % len(self.keys) for b in turns]
 
     def _learn(self, missing: list[tuple[int, str]]) -> None:
         limit = int(self.dropout * 4294967296)
@@ -261,11 +264,13 @@ class Encoder:
             for r in np.nonzero(~whole)[0]:
                 v, word, shown = group[r]
                 self.known[v][word] = np.array(segment(shown, self.vocab, self.dropout, self.keys[v]), np.int32).tobytes()
-            rows = np.nonzero(whole)[0]
-            codes = np.array([crc32(group[r][2].encode(), self.keys[group[r][0]]) if limit else 0 for r in rows], np.int64)
-            for r, found in zip(rows, self.merges.cut(ids[rows], codes, limit)):
-                v, word, _ = group[r]
-                self.known[v][word] = found.tobytes()
+            codes = np.array([crc32(g[2].encode(), self.keys[g[0]]) if limit else 0 for g in group], np.int64)
+            cut, sizes = self.merges.cut(ids[whole], codes[whole], limit)
+            packed = cut[np.arange(width) < sizes[:, None]].astype(np.int32).tobytes()
+            start = 0
+            for (v, word, _), end in zip(compress(group, whole), (4 * np.cumsum(sizes)).tolist()):
+                self.known[v][word] = packed[start:end]
+                start = end
 
     def encode(self, texts: list[str | None], keys: list[str]) -> list[bytes | None]:
         """Packed ids of texts; keys tell apart texts whose words may be cut differently."""
@@ -273,14 +278,33 @@ class Encoder:
         if sum(map(len, self.known)) > REMEMBERED:
             self.known = [{} for _ in self.keys]
         known = self.known
-        missing = {
-            (v, w) for key, ws in zip(keys, words) for v, w in zip(self._order(key), ws) if w not in known[v]
-        }
-        self._learn(list(missing))
-        return [
-            None if t is None else b"".join([known[v][w] for v, w in zip(self._order(key), ws)])
-            for t, key, ws in zip(texts, keys, words)
-        ]
+        recall = [k.get for k in known]
+        orders = [self._order(key) for key in keys]
+
+        def look_up(row: int) -> list[bytes | None]:
+            return list(map(call, cycle([recall[v] for v in orders[row]]), words[row]))
+
+        found = [look_up(row) for row in range(len(texts))]
+        partly = [row for row, parts in enumerate(found) if None in parts]
+        self._learn(
+            list({(v, w) for row in partly for v, w, p in zip(cycle(orders[row]), words[row], found[row]) if p is None})
+        )
+        for row in partly:
+            found[row] = look_up(row)
+        return [None if t is None else b"".join(parts) for t, parts in zip(texts, found)]
+
+
+_ENCODERS: dict[tuple, Encoder] = {}
+
+
+def worker_encoder(vocab: Vocabulary, dropout: float, seed: int) -> Encoder:
+    """The encoder of this Python worker, which later tasks of the worker use, too. What it
+    remembers changes the time only."""
+    key = (vocab.digest, dropout, seed)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(vocab, dropout, seed)
+    return _ENCODERS[key]
 
 
 def _lists(packed: list[bytes | None]) -> pa.Array:
@@ -309,7 +333,7 @@ def encode_pieces(
     rows = docs.select(*kept, F.col(text).cast("string").alias("_piece_text"), F.col("doc_id").cast("string").alias("_piece_key"))
 
     def run(batches):
-        encoder = Encoder(vocab, dropout, seed)
+        encoder = worker_encoder(vocab, dropout, seed)
         for batch in batches:
             _, bounds = text_bytes(batch.column("_piece_text"))
             for first, last in spans(bounds):
@@ -323,19 +347,20 @@ def encode_pieces(
 
 def decode_pieces(df: DataFrame, model_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """`df` with `out`, the text of the piece ids in `ids`; null for null ids."""
-    pieces = Vocabulary.load(model_path).outputs()
+    outputs = Vocabulary.load(model_path).outputs()
     kept = [c for c in df.columns if c != out]
 
     def run(batches):
+        pool = pa.array(outputs, pa.large_binary())
         for batch in batches:
             lists = batch.column(ids)
-            values = lists.values.to_pylist()
-            bounds = lists.offsets.to_pylist()
-            texts = []
-            for row, known in enumerate(lists.is_valid().to_pylist()):
-                joined = b"".join([pieces[i] for i in values[bounds[row] : bounds[row + 1]]])
-                # The first space is the one that encoding puts before every text.
-                texts.append(joined[1:].decode() if known else None)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], names=[*kept, out])
+            # The bytes of all pieces stand one after another; a text ends where its list does.
+            _, starts, data = pool.take(lists.values).buffers()
+            ends = np.frombuffer(starts, np.int64, len(lists.values) + 1)[lists.offsets.to_numpy()]
+            texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends), data])
+            # The first space is the one that encoding puts before every text.
+            texts = pc.binary_slice(texts, 1).cast(pa.large_string()).cast(pa.string())
+            texts = pc.if_else(lists.is_valid(), texts, pa.scalar(None, pa.string()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), texts], names=[*kept, out])
 
     return df.mapInArrow(run, df.select(*kept).schema.add(out, "string"))
