@@ -134,22 +134,20 @@ def method_compare(runs: DataFrame) -> DataFrame:
     hold the same objects (NULL unless both were run).
 
     `runs(url, method, start_ms, end_ms, objects_checksum, trust, details)`; a URL seen
-    several times by one method keeps its latest run."""
-
-    def of(method: str, value: Column) -> Column:
-        chosen = F.when(F.col("method") == method, F.struct("start_ms", "end_ms", value.alias("v")))
-        return F.max(chosen)["v"]
-
-    aggregates = []
-    for method in ("declared", "extracted"):
-        aggregates += [
-            of(method, F.col("end_ms") - F.col("start_ms")).alias(f"{method}_ms"),
-            of(method, F.col("objects_checksum")).alias(f"{method}_objects"),
-            of(method, F.col("trust")).alias(f"{method}_trust"),
-            of(method, F.col("details")).alias(f"{method}_details"),
-        ]
-    return (
-        runs.groupBy("url")
-        .agg(*aggregates)
-        .withColumn("schema_match", F.col("declared_objects") == F.col("extracted_objects"))
+    several times by one method keeps its latest run, whole: of runs with equal times the
+    one with the largest objects, trust and details, in this order."""
+    run = F.struct("start_ms", "end_ms", "objects_checksum", "trust", "details")
+    methods = ("declared", "extracted")
+    latest = runs.groupBy("url").agg(
+        *[F.max(F.when(F.col("method") == m, run)).alias(m) for m in methods]
     )
+    columns = []
+    for m in methods:
+        columns += [
+            (F.col(f"{m}.end_ms") - F.col(f"{m}.start_ms")).alias(f"{m}_ms"),
+            F.col(f"{m}.objects_checksum").alias(f"{m}_objects"),
+            F.col(f"{m}.trust").alias(f"{m}_trust"),
+            F.col(f"{m}.details").alias(f"{m}_details"),
+        ]
+    same = F.col("declared_objects") == F.col("extracted_objects")
+    return latest.select("url", *columns).withColumn("schema_match", same)

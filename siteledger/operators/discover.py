@@ -8,12 +8,10 @@ from pyspark.sql import Window
 
 from siteledger.functions import urls as U
 from siteledger.operators.html import html_elements
+from siteledger.operators.ranking import rank_in_group
 from siteledger.session import durable
 
-SITEMAP_URLS = 10
-SITEMAP_DEPTH = 2
-CRAWL_PAGES = 50
-
+# How a sitemap names its pages and its parts.
 _LOC = "<loc>([^<]+)</loc>"
 _INDEX_ENTRY = r"<sitemap>([\s\S]*?)</sitemap>"
 
@@ -38,33 +36,45 @@ def _index_entries(sitemaps: DataFrame) -> DataFrame:
 
 
 def expand_sitemap_index(roots: DataFrame, sitemaps: DataFrame) -> DataFrame:
-    """(site, path, loc): page URLs reachable from `roots(site, url)` through at most two
-    levels of index documents. `path` lists positions from the root, so sorting by it
-    gives depth-first order. Documents that were not captured add nothing."""
+    """(site, path, loc): page URLs reachable from `roots(site, url)` through index documents
+    of any depth. `path` lists positions from the root, so sorting by it gives depth-first
+    order; a document listed in several places is given for each. Documents that were not
+    captured add nothing, and one that lists itself or a document above it is not followed
+    there. The levels end where no site finds a further document."""
     entries = _index_entries(sitemaps)
     locs = sitemap_locs(sitemaps)
-    level = roots.select("site", "url", F.array().cast("array<int>").alias("path"))
+    level = roots.select(
+        "site", "url", F.array().cast("array<int>").alias("path"), F.array("url").alias("_above")
+    )
     found = None
-    for depth in range(SITEMAP_DEPTH + 1):
+    while True:
         pages = level.join(locs, "url").select(
             "site", F.array_append("path", F.col("pos")).alias("path"), "loc"
         )
         found = pages if found is None else found.unionByName(pages)
-        if depth < SITEMAP_DEPTH:
-            level = level.join(entries, "url").select(
+        level = durable(
+            level.join(entries, "url")
+            .filter(~F.array_contains("_above", F.col("child")))
+            .select(
                 "site",
                 F.col("child").alias("url"),
                 F.array_append("path", F.col("pos")).alias("path"),
+                F.array_append("_above", F.col("child")).alias("_above"),
             )
-    return found
+        )
+        if level.isEmpty():
+            return found
 
 
-def first_n_urls(found: DataFrame, n: int = SITEMAP_URLS) -> DataFrame:
-    """(site, ord, url): the first `n` distinct URLs per site in document order.
+def first_n_urls(found: DataFrame, n: int | None = None) -> DataFrame:
+    """(site, ord, url): the distinct URLs per site in document order, the first `n` if given.
 
-    Repeats are removed by a partial aggregate and Spark keeps at most `n` rows per site
-    and task before the shuffle of the ranking."""
+    Repeats are removed by a partial aggregate. With `n`, Spark keeps at most `n` rows per
+    site and task before the shuffle of the ranking; without, a large site is ranked over
+    several partitions."""
     first_seen = found.groupBy("site", F.col("loc").alias("url")).agg(F.min("path").alias("path"))
+    if n is None:
+        return rank_in_group(first_seen, ["site"], [F.col("path")], "ord").drop("path")
     return limit_pages(first_seen, n, "path").drop("path")
 
 
@@ -88,22 +98,17 @@ def extract_links(pages: DataFrame, key: str = "page_id", base: str = "site") ->
 
 def crawl_links(pages: DataFrame) -> DataFrame:
     """(site, url, pos, link): internal links of `pages(site, url, html)`, repeats within
-    a page removed.
-
-    No page can add more than its first 50 distinct links to a walk of 50 pages: after
-    those, 50 pages stand before any later one. Keeping just them changes no result."""
+    a page removed."""
     links = extract_links(pages, "url", "site").filter(U.is_internal(F.col("link"), F.col("site")))
-    first = links.groupBy("site", "url", "link").agg(F.min("pos").alias("pos"))
-    place = F.row_number().over(Window.partitionBy("site", "url").orderBy("pos"))
-    return first.withColumn("_nth", place).filter(F.col("_nth") <= CRAWL_PAGES).drop("_nth")
+    return links.groupBy("site", "url", "link").agg(F.min("pos").alias("pos"))
 
 
-def crawl_frontier(links: DataFrame, seeds: DataFrame, max_pages: int = CRAWL_PAGES) -> DataFrame:
+def crawl_frontier(links: DataFrame, seeds: DataFrame, max_pages: int | None = None) -> DataFrame:
     """(site, ord, url): pages in the order a first-in-first-out walk visits them.
 
     `links(site, url, pos, link)`, `seeds(site, url)`. One round per level: the links of
     the newest pages, minus the pages already placed, in the order (place of the page,
-    place of the link), up to `max_pages` per site. A page that was not captured has no
+    place of the link), up to `max_pages` per site if given. A page that was not captured has no
     links but still counts. Each round is written to the checkpoint folder; the rounds
     end with the level at which no site finds a new page.
     """
@@ -121,19 +126,19 @@ def crawl_frontier(links: DataFrame, seeds: DataFrame, max_pages: int = CRAWL_PA
                 visited.select("site", F.col("url").alias("_link")), ["site", "_link"], "left_anti"
             )
         )
-        place = F.row_number().over(Window.partitionBy("site").orderBy("_from"))
-        # Ranked before joining the counts, so Spark limits the rows per site early.
-        frontier = durable(
-            fresh.withColumn("_rank", place)
-            .filter(F.col("_rank") < max_pages)
-            .join(placed, "site")
-            .select(
-                "site",
-                F.col("_link").alias("url"),
-                (F.col("_placed") + F.col("_rank") - 1).alias("ord"),
-            )
-            .filter(F.col("ord") < max_pages)
+        if max_pages is None:
+            ranked = rank_in_group(fresh, ["site"], [F.col("_from.ord"), F.col("_from.pos")], "_rank")
+        else:
+            # Ranked before joining the counts, so Spark limits the rows per site early.
+            place = F.row_number().over(Window.partitionBy("site").orderBy("_from"))
+            ranked = fresh.withColumn("_nth", place).filter(F.col("_nth") < max_pages)
+            ranked = ranked.withColumn("_rank", F.col("_nth") - 1)
+        placed_next = ranked.join(placed, "site").select(
+            "site", F.col("_link").alias("url"), (F.col("_placed") + F.col("_rank")).alias("ord")
         )
+        if max_pages is not None:
+            placed_next = placed_next.filter(F.col("ord") < max_pages)
+        frontier = durable(placed_next)
         if frontier.isEmpty():
             return visited
         visited = visited.unionByName(frontier)
@@ -143,12 +148,17 @@ def crawl_frontier(links: DataFrame, seeds: DataFrame, max_pages: int = CRAWL_PA
 
 
 def discover_urls(
-    roots: DataFrame, sitemaps: DataFrame, links: DataFrame, max_pages: int = CRAWL_PAGES
+    roots: DataFrame,
+    sitemaps: DataFrame,
+    links: DataFrame,
+    max_pages: int | None = None,
+    max_listed: int | None = None,
 ) -> DataFrame:
     """(site, ord, url): the sitemap's URLs, or the walk for sites whose sitemap gives none.
 
-    `roots(site, url)` names each site's sitemap; the walk starts at the site root."""
-    listed = first_n_urls(expand_sitemap_index(roots, sitemaps))
+    `roots(site, url)` names each site's sitemap; the walk starts at the site root. With
+    `max_listed` a sitemap gives its first URLs only, with `max_pages` a walk ends there."""
+    listed = first_n_urls(expand_sitemap_index(roots, sitemaps), max_listed)
     listed = listed.select("site", F.col("ord").cast("bigint").alias("ord"), "url")
     without = roots.select("site").join(listed.select("site").distinct(), "site", "left_anti")
     seeds = without.select("site", F.col("site").alias("url"))

@@ -156,10 +156,23 @@ def peak_memory(samples: DataFrame, by: Sequence[str] = BY) -> DataFrame:
 
 
 def metrics_summary(
-    log: DataFrame, errors: DataFrame, samples: DataFrame, by: Sequence[str] = BY
+    log: DataFrame | None,
+    errors: DataFrame | None = None,
+    samples: DataFrame | None = None,
+    by: Sequence[str] = BY,
 ) -> DataFrame:
-    """One nested row per group. The crawl runs from its first to its last sample."""
+    """One nested row per group of any of the inputs, of which at least one must be given.
+    The crawl runs from its first to its last sample."""
     by = list(by)
+    given = next(df for df in (log, errors, samples) if df is not None)
+
+    def or_empty(df: DataFrame | None, columns: str) -> DataFrame:
+        none = [F.lit(None).cast("bigint").alias(c) for c in columns.split()]
+        return given.select(*by, *none).filter(F.lit(False)) if df is None else df
+
+    log = or_empty(log, "start_ms end_ms bytes_down bytes_up status")
+    errors = or_empty(errors, "")
+    samples = or_empty(samples, "ts_ms seq rss cpu_user cpu_system disk_bytes")
     totals = log.groupBy(*by).agg(
         F.count(F.lit(1)).alias("requests"),
         F.sum(F.coalesce("bytes_down", F.lit(0))).alias("bytes_downloaded"),
@@ -181,7 +194,7 @@ def metrics_summary(
     df = (
         resources.join(totals, by, "full")
         .join(status_histogram(log, by), by, "left")
-        .join(error_summary(errors, by), by, "left")
+        .join(error_summary(errors, by), by, "full")
         .join(max_concurrency(log, by), by, "left")
     )
     duration = duration_ms(F.col("start_ms"), F.col("end_ms"))

@@ -41,7 +41,8 @@ def run_audit(
     max_pages: int | None = None,
 ) -> Audit:
     """Audit every site of `index(site, raw)`. With `max_pages`, only the first modules
-    of each site take part; the default is all of them.
+    of each site take part; the default is all of them. Each of the three logs may be missing;
+    without any, there are no metrics.
 
     The page rows are written to the shared folder once: the summary, the report and
     the result files all read them, and none extracts the pages again."""
@@ -51,7 +52,7 @@ def run_audit(
         pages = pages.filter(F.col("pos") < max_pages)
     pages = stored(pages, "audit-pages")
     metrics = None
-    if log is not None:
+    if not (log is None and errors is None and samples is None):
         metrics = stored(H.metrics_summary(log, errors, samples), "audit-metrics")
     failed = readiness.filter(F.col("error").isNotNull()).select("site", "error")
     summary = stored(C.site_summary(readiness, pages), "audit-summary")

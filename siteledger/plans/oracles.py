@@ -135,7 +135,8 @@ CTES: dict[str, str] = {
   WHERE c.site_no >= 0 AND c.site_no % 2 = 0""",
     "smp": """
   SELECT site, loc, CASE WHEN b % 4 = 3 THEN [2 + b, 0, i] ELSE [2 + b, i] END AS path FROM sml
-  UNION ALL SELECT site, loc, [0, 1 - b, i] FROM sml WHERE b < 2""",
+  UNION ALL SELECT site, loc, [0, 1 - b, i] FROM sml WHERE b < 2
+  UNION ALL SELECT site, loc, [1, 0, 0, i] FROM sml WHERE b = 3""",
     "smf": """
   SELECT site, loc AS url, row_number() OVER (PARTITION BY site ORDER BY min(path)) - 1 AS ord FROM smp GROUP BY site, loc""",
     "lg": B.request_log_sql(D, "events"),
@@ -394,9 +395,9 @@ SELECT page_id, CAST(n AS BIGINT) AS n, h[n] AS href, root || array_to_string(li
   lambda r: CASE WHEN regexp_matches(r, '^[\x21-\x7e]') THEN r ELSE url_encode(r) END), '') AS link
 FROM (SELECT page_id, h, root, unnest(range(1, len(h) + 1)) AS n FROM (
   SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) AS root, regexp_extract_all(html, '<a href="([^"]+)"', 1) AS h FROM pages) y) x""",
-    "crawl_frontier": _sql("SELECT site, CAST(ord AS BIGINT) AS ord, url FROM walk WHERE ord < 50"),
+    "crawl_frontier": _sql("SELECT site, CAST(ord AS BIGINT) AS ord, url FROM walk"),
     "discover_urls": _sql("""
-SELECT site, ord, url FROM smf WHERE ord < 10 UNION ALL SELECT site, CAST(ord AS BIGINT), url FROM walk WHERE ord < 50 AND (site_no < 0 OR site_no % 2 <> 0)"""),
+SELECT site, ord, url FROM smf UNION ALL SELECT site, CAST(ord AS BIGINT), url FROM walk WHERE (site_no < 0 OR site_no % 2 <> 0)"""),
     "limit_pages": _sql("SELECT site, r AS ord, url FROM cr WHERE r < 3"),
     "html_elements_by_tag": r"""
 SELECT page_id, CAST(len(regexp_extract_all(html, '<a[ >]')) AS BIGINT) AS n_links, CAST(len(regexp_extract_all(html, '<script[ >]')) AS BIGINT) AS n_scripts,
@@ -457,7 +458,7 @@ SELECT site, pos, calculated AS declared_calculated, audit_declared AS declared_
 SELECT p_partkey, CASE p_partkey % 4 WHEN 1 THEN '[{"name":"' || p_name || '"},{"checksum":""}]' ELSE '[{"name":"' || p_name || '"}]' END AS items FROM part""",
     "method_compare": _sql(" ".join(["SELECT url,"] + [
         ", ".join(
-            f"arg_max({value}, ROW(start_ms, e, {value})) FILTER (WHERE side = '{side}') AS {side}_{name}"
+            f"arg_max({value}, ROW(start_ms, e, h, current > 2, event_type)) FILTER (WHERE side = '{side}') AS {side}_{name}"
             for name, value in (("ms", "e - start_ms"), ("objects", "h"), ("trust", "current > 2"), ("details", "event_type"))
         ) + ("," if side == "declared" else "") for side in ("declared", "extracted")
     ]) + """, arg_max(h, ROW(start_ms, e, h)) FILTER (WHERE side = 'declared') = arg_max(h, ROW(start_ms, e, h)) FILTER (WHERE side = 'extracted') AS schema_match
@@ -528,7 +529,7 @@ ORACLES["crawl_merkle"] = _merkle(
     "cap_leaf", "cap_leaf_src", "host", "page_id", "h", "SELECT site, root AS merkle_root FROM cap_leaf_root"
 )
 CTES["found"] = """
-  SELECT site, ord, url FROM smf WHERE ord < 10 UNION ALL SELECT site, CAST(ord AS BIGINT), url FROM walk WHERE ord < 50 AND (site_no < 0 OR site_no % 2 <> 0)"""
+  SELECT site, ord, url FROM smf UNION ALL SELECT site, CAST(ord AS BIGINT), url FROM walk WHERE (site_no < 0 OR site_no % 2 <> 0)"""
 ORACLES["run_crawl"] = _sql(f"""
 SELECT found.site, ord, found.url, {EMPTY} AS checksum, CASE WHEN cr.url IS NULL THEN 'Failed to fetch page.' ELSE 'Loaded from capture.' END AS details
 FROM found LEFT JOIN cr ON cr.url = found.url""")

@@ -242,7 +242,7 @@ def expand_sitemap_index(spark, sf):
 
 @query
 def first_n_urls(spark, sf):
-    return D.first_n_urls(_sitemap_urls(spark, sf)).select("site", F.col("ord").cast("bigint").alias("ord"), "url")
+    return D.first_n_urls(_sitemap_urls(spark, sf), 10).select("site", F.col("ord").cast("bigint").alias("ord"), "url")
 
 
 @query

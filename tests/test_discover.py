@@ -14,20 +14,23 @@ def xml_index(*locs):
 def test_sitemaps(spark):
     docs = [
         (f"{S}/sitemap.xml", xml_index("deep1", "missing", "leaf")),
-        ("deep1", xml_index("deep2", "leaf2")), ("deep2", xml_index("deep3")), ("deep3", xml("never")),
+        ("deep1", xml_index("deep2", "leaf2")), ("deep2", xml_index("deep3", "deep1", "deep2")),
+        ("deep3", xml_index("deep4")), ("deep4", xml_index("deep5")), ("deep5", xml("five")),
         ("leaf", xml("a", "b", "a", *[f"p{i}" for i in range(20)])), ("leaf2", xml("b", " c&amp;d ")),
     ]
     sitemaps = spark.createDataFrame(docs, "url string, xml string")
     roots = spark.createDataFrame([(S, f"{S}/sitemap.xml")], "site string, url string")
-    found = D.first_n_urls(D.expand_sitemap_index(roots, sitemaps))
-    assert [r.url for r in found.orderBy("ord").collect()] == ["b", " c&amp;d ", "a"] + [f"p{i}" for i in range(7)]
+    found = D.expand_sitemap_index(roots, sitemaps)
+    want = ["five", "b", " c&amp;d ", "a"] + [f"p{i}" for i in range(20)]
+    assert [r.url for r in D.first_n_urls(found).orderBy("ord").collect()] == want
+    assert [r.url for r in D.first_n_urls(found, 10).orderBy("ord").collect()] == want[:10]
 
 
 def links(*hrefs):
     return "".join(f'<a href="{h}">x</a>' for h in hrefs)
 
 
-def walk(spark, pages, n=50):
+def walk(spark, pages, n=None):
     df = spark.createDataFrame([(S, u, h) for u, h in pages.items()], "site string, url string, html string")
     seeds = spark.createDataFrame([(S, S)], "site string, url string")
     rows = D.crawl_frontier(D.crawl_links(df), seeds, n).orderBy("ord").collect()
@@ -39,7 +42,7 @@ def brute(pages, n):
     from urllib.parse import urljoin
     import re
     seen, queue = [], [S]
-    while queue and len(seen) < n:
+    while queue and (n is None or len(seen) < n):
         url = queue.pop(0)
         if url in seen:
             continue
@@ -53,11 +56,13 @@ def brute(pages, n):
 
 def test_walk(spark):
     pages = {S: links("/b", "/a", "https://other.example.org/", "/b", "/a#x"), f"{S}/a": links("/c", "/a", "/"), f"{S}/b": links("/c", "d", "/a")}
-    assert walk(spark, pages) == brute(pages, 50)
+    assert walk(spark, pages) == brute(pages, None)
 
 
-def test_walk_caps(spark):
-    pages = {S: links(*[f"/p{i % 70}" for i in range(200)]), f"{S}/p1": links("/z")}
-    assert walk(spark, pages) == brute(pages, 50)
+def test_walk_limits(spark):
+    pages = {S: links(*[f"/p{i % 120}" for i in range(300)]), f"{S}/p1": links("/z")}
+    every = walk(spark, pages)
+    assert len(every) == 122 and every == brute(pages, None)
+    assert walk(spark, pages, 50) == brute(pages, 50)
     chain = {S: links("/0"), **{f"{S}/{i}": links(f"/{i + 1}", "/0") for i in range(20)}}
     assert walk(spark, chain, 4) == brute(chain, 4)
