@@ -359,7 +359,7 @@ def decode_pieces(df: DataFrame, model_path: str, ids: str = "ids", out: str = "
             ends = np.frombuffer(starts, np.int64, len(lists.values) + 1)[lists.offsets.to_numpy()]
             texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends), data])
             # The first space is the one that encoding puts before every text.
-            texts = pc.binary_slice(texts, 1).cast(pa.large_string()).cast(pa.string())
+            texts = pc.utf8_slice_codeunits(texts.cast(pa.large_string()), 1).cast(pa.string())
             texts = pc.if_else(lists.is_valid(), texts, pa.scalar(None, pa.string()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), texts], names=[*kept, out])
 
