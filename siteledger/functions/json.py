@@ -49,7 +49,7 @@ def exact_items(texts: pd.Series) -> pd.DataFrame:
             continue
         try:
             value = load(text)
-        except (ValueError, RecursionError):
+        except ValueError:
             kinds.append("invalid")
             items.append(None)
             continue
@@ -83,6 +83,19 @@ def without_checksum_text(canons: pd.Series) -> pd.Series:
     return canons.map(one)
 
 
+@F.pandas_udf(TEXT_TYPE)
+def identity_text(canons: pd.Series) -> pd.Series:
+    """Text of an object's `@context` and `@type` alone."""
+
+    def one(canon):
+        if canon is None:
+            return None
+        value = load(canon)
+        return value_text({k: value[k] for k in ("@context", "@type") if k in value})
+
+    return canons.map(one)
+
+
 # --- column expressions ------------------------------------------------------------------
 
 
@@ -217,16 +230,13 @@ def checksum_of(canons: Column | str) -> Column:
 def context_text_is(context: str, vocabulary: str) -> Column:
     """Case-insensitive substring test on a context (SQL for a variant) taken as text.
 
-    An array reads as its elements joined by commas (two levels are looked at), an
-    object as a fixed text that never matches."""
-
-    def scalar(v: str) -> str:
-        text = f"lower(try_variant_get({v}, '$', 'string'))"
-        return f"coalesce(startswith(to_json({v}), '\"') AND contains({text}, '{vocabulary}'), false)"
-
-    def some(v: str, name: str, test: str) -> str:
-        inner = f"try_variant_get({v}, '$', 'array<variant>')"
-        return f"coalesce(exists({inner}, {name} -> {test}), false)"
-
-    element = f"{scalar('e')} OR {some('e', 'x', scalar('x'))}"
-    return F.expr(f"{scalar(context)} OR {some(context, 'e', element)}")
+    An array reads as its elements joined by commas, at any depth, an object as a fixed
+    text that never matches: of the document's strings and braces in order, a string
+    counts where no brace is open."""
+    parts = rf"""regexp_extract_all(to_json({context}), r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{{}}]', 0)"""
+    step = (
+        "named_struct('open', s.open + CASE t WHEN '{' THEN 1 WHEN '}' THEN -1 ELSE 0 END,"
+        f" 'hit', s.hit OR (s.open = 0 AND contains(lower(t), '{vocabulary}')))"
+    )
+    start = "named_struct('open', 0, 'hit', false)"
+    return F.expr(f"coalesce(aggregate({parts}, {start}, (s, t) -> {step}, s -> s.hit), false)")

@@ -40,20 +40,41 @@ def utf16_order(key: str) -> bytes:
     return key.encode("utf-16-be", "surrogatepass")
 
 
-def value_text(value, only=None) -> str:
-    """Canonical text; with `only`, object members of other names are left out."""
-    if isinstance(value, dict):
-        names = sorted((k for k in value if only is None or k in only), key=utf16_order)
-        return "{" + ",".join(f"{string_text(k)}:{value_text(value[k], only)}" for k in names) + "}"
-    if isinstance(value, list):
-        return "[" + ",".join(value_text(v, only) for v in value) + "]"
+def _scalar_text(value) -> str:
     if value is None:
         return "null"
     if isinstance(value, bool):
         return "true" if value else "false"
-    if isinstance(value, float):
-        return number_text(value)
-    return string_text(value)
+    return number_text(value) if isinstance(value, float) else string_text(value)
+
+
+class _Verbatim(str):
+    """Text that is written as it is."""
+
+
+def value_text(value, only=None) -> str:
+    """Canonical text; with `only`, object members of other names are left out.
+
+    Values nest without limit, so what is still to be written waits on a stack."""
+    out, pending = [], [value]
+    while pending:
+        value = pending.pop()
+        if isinstance(value, dict):
+            names = sorted((k for k in value if only is None or k in only), key=utf16_order)
+            parts = [p for n in names for p in (_Verbatim(f",{string_text(n)}:"), value[n])]
+            opening, closing = "{", "}"
+        elif isinstance(value, list):
+            parts = [p for v in value for p in (_Verbatim(","), v)]
+            opening, closing = "[", "]"
+        else:
+            out.append(value if isinstance(value, _Verbatim) else _scalar_text(value))
+            continue
+        if parts:
+            parts[0] = _Verbatim(parts[0][1:])
+        out.append(opening)
+        pending.append(_Verbatim(closing))
+        pending.extend(reversed(parts))
+    return "".join(out)
 
 
 def member_order(value: dict) -> list[str]:
@@ -66,8 +87,71 @@ def _reject(token: str):
     raise ValueError(token)
 
 
+_SPACE = re.compile(r"[ \t\n\r]*")
+
+
 def load(text: str):
-    return json.loads(text, parse_int=float, parse_float=float, parse_constant=_reject)
+    try:
+        return json.loads(text, parse_int=float, parse_float=float, parse_constant=_reject)
+    except RecursionError:
+        return _load_deep(text)
+
+
+def _load_deep(text: str):
+    """`load` with open arrays and objects on a stack, for documents of any depth."""
+
+    def skip(at: int) -> int:
+        return _SPACE.match(text, at).end()
+
+    def name(at: int) -> tuple[str, int]:
+        if text[at : at + 1] != '"':
+            raise ValueError(at)
+        key, at = json.decoder.scanstring(text, at + 1, True)
+        at = skip(at)
+        if text[at : at + 1] != ":":
+            raise ValueError(at)
+        return key, skip(at + 1)
+
+    scalar = json.JSONDecoder(parse_int=float, parse_float=float, parse_constant=_reject).scan_once
+    opened, at = [], skip(0)
+    while True:
+        sign = text[at : at + 1]
+        if sign in ("{", "["):
+            box, at = {} if sign == "{" else [], skip(at + 1)
+            if text[at : at + 1] != ("}" if sign == "{" else "]"):
+                key = None
+                if sign == "{":
+                    key, at = name(at)
+                opened.append((box, key))
+                continue
+            value, at = box, at + 1
+        else:
+            try:
+                value, at = scalar(text, at)
+            except StopIteration as stop:
+                raise ValueError(at) from stop
+        while opened:
+            box, key = opened[-1]
+            if isinstance(box, dict):
+                box[key] = value
+            else:
+                box.append(value)
+            at = skip(at)
+            sign = text[at : at + 1]
+            if sign == ",":
+                at = skip(at + 1)
+                if isinstance(box, dict):
+                    key, at = name(at)
+                    opened[-1] = (box, key)
+                break
+            if sign != ("}" if isinstance(box, dict) else "]"):
+                raise ValueError(at)
+            opened.pop()
+            value, at = box, at + 1
+        else:
+            if skip(at) != len(text):
+                raise ValueError(at)
+            return value
 
 
 def as_item(value) -> dict:
@@ -92,15 +176,15 @@ def kind_of(value) -> str:
 def is_schema_object(value) -> bool:
     if not isinstance(value, dict):
         return False
-    context, kind = value.get("@context"), value.get("@type")
-
-    def text(v) -> str:
-        if isinstance(v, list):
-            return ",".join(text(e) for e in v)
-        return v if isinstance(v, str) else ""
-
+    pending, kind = [value.get("@context")], value.get("@type")
+    known = False
+    while pending and not known:
+        part = pending.pop()
+        if isinstance(part, list):
+            pending.extend(part)
+        known = isinstance(part, str) and "schema.org" in part.lower()
     falsy = kind is None or kind is False or kind == "" or kind == 0
-    return "schema.org" in text(context).lower() and not falsy
+    return known and not falsy
 
 
 def schema_objects_in(text: str) -> list[dict] | None:
@@ -116,5 +200,5 @@ def schema_objects_in(text: str) -> list[dict] | None:
             elif isinstance(value, list):
                 pending.extend(reversed(value))
         return hits
-    except (ValueError, RecursionError):
+    except ValueError:
         return None

@@ -213,6 +213,9 @@ def _parsed(rows: DataFrame) -> DataFrame:
 def _kept(rows: DataFrame, known_only: bool) -> DataFrame:
     """Apply each method's own test and, with `known_only`, the vocabulary test."""
     rows = rows.withColumn("_v", F.when(F.col("canon").isNotNull(), F.try_parse_json("canon")))
+    # An object too deep or too large for a variant is judged by the two members tested here.
+    beyond = F.col("_v").isNull() & F.startswith("canon", F.lit("{"))
+    rows = rows.withColumn("_v", F.coalesce("_v", F.try_parse_json(J.identity_text(F.when(beyond, F.col("canon"))))))
     context_sql = "try_variant_get(_v, '$[\\'@context\\']', 'variant')"
     context = F.expr(context_sql)
     typed = J.is_truthy(J.member(F.col("_v"), "@type"))

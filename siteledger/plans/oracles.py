@@ -102,8 +102,8 @@ CTES: dict[str, str] = {
       WHEN 9 THEN [label_nm, label_br] ELSE {NONE} END AS jsonld,
     CASE kind WHEN 3 THEN [flat] ELSE {NONE} END AS inline,
     CASE kind WHEN 4 THEN ['{{{CTX},"@type":"Product","image":"/i/' || k || '.png","name":"' || nm || '","sku":"' || k || '","tag":["' || br || '","second"],"url":"/p/' || k || '"}}'] ELSE {NONE} END AS microdata,
-    CASE kind WHEN 5 THEN ['{{{CTX},"@type":"Article","author":"' || br || '","date":"' || sz || '","headline":"' || nm || '","name":"' || br || '"}}',
-      '{{{CTX},"@type":"Person","author":"' || br || '","name":"' || br || '"}}'] ELSE {NONE} END AS rdfa,
+    CASE kind WHEN 5 THEN ['{{{CTX},"@type":"Recipe","label":"' || br || '","maker":"' || br || '","title":"' || nm || '","yields":"' || sz || '"}}',
+      '{{{CTX},"@type":"Brand","label":"' || br || '","maker":"' || br || '"}}'] ELSE {NONE} END AS rdfa,
     CASE kind WHEN 6 THEN ['{{{CTX},"@type":"Product","inner":{{{CTX},"@type":"Offer"}},"name":"' || nm || '"}}',
       '{{"@context":"http://schema.org/","@type":"Brand","name":"' || br || '"}}'] ELSE {NONE} END AS next_data,
     CASE kind WHEN 7 THEN ['{{{CTX},"@type":"Article","name":"' || nm || '"}}'] ELSE {NONE} END AS react_attr,
@@ -411,10 +411,10 @@ SELECT page_id, CAST(len(regexp_extract_all(html, '<a[ >]')) AS BIGINT) AS n_lin
         f"""SELECT page_id, '{n}' AS name, '"' || {v} || '"' AS json FROM cap WHERE kind = 4""" for n, v in MICRO_VALUES if n != "tag"
     ) + """ UNION ALL SELECT page_id, 'tag', '["' || br || '","second"]' FROM cap WHERE kind = 4"""),
     "item_type_context": _sql("""
-SELECT page_id, CAST(1 AS BIGINT) AS n, CASE kind WHEN 4 THEN 'Product' ELSE 'Article' END AS type, 'https://schema.org' AS context FROM cap WHERE kind IN (4, 5)
-UNION ALL SELECT page_id, 2, 'Person', 'https://schema.org' FROM cap WHERE kind = 5"""),
+SELECT page_id, CAST(1 AS BIGINT) AS n, CASE kind WHEN 4 THEN 'Product' ELSE 'Recipe' END AS type, 'https://schema.org' AS context FROM cap WHERE kind IN (4, 5)
+UNION ALL SELECT page_id, 2, 'Brand', 'https://schema.org' FROM cap WHERE kind = 5"""),
     "rdfa_items": _list_rows("rdfa"),
-    "rdfa_own_property": _sql("SELECT page_id, 'author' AS name, br AS value FROM cap WHERE kind = 5"),
+    "rdfa_own_property": _sql("SELECT page_id, 'maker' AS name, br AS value FROM cap WHERE kind = 5"),
     "next_data_objects": _list_rows("next_data"),
     "react_attr_objects": _list_rows("react_attr"),
     "react_inline_objects": _list_rows("react_inline"),

@@ -89,3 +89,18 @@ def test_rank_in_group(spark):
     df = spark.createDataFrame(rows, "g string, v long")
     got = {(r.g, r.v): r.n for r in rank_in_group(df, ["g"], [F.col("v")], "n").collect()}
     assert got == {**{("hot", i): i for i in range(1000)}, ("b", 3): 0, ("b", 5): 1}
+
+
+def test_context_is_at_any_depth(spark):
+    cases = {
+        '"HTTPS://Schema.org/"': True,
+        '[[["https://schema.org"]]]': True,
+        '[1,[{"a":"schema.org"},[["x\\"{",["schema.org"]]]]]': True,
+        '[{"@vocab":["schema.org"]},"y}"]': False,
+        '{"@vocab":"schema.org"}': False,
+        "null": False,
+        "[]": False,
+    }
+    df = spark.createDataFrame([(c,) for c in cases], "c string").selectExpr("c", "parse_json(c) AS v")
+    got = {r.c: r.hit for r in df.select("c", J.context_text_is("v", "schema.org").alias("hit")).collect()}
+    assert got == cases

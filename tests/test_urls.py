@@ -2,18 +2,18 @@ from pyspark.sql import functions as F
 
 from siteledger.functions import urls as U
 
-LONG = "https://example.com/" + "a" * 1000
+LONG = "https://long.test/" + "z/" * 600
 CHECKS = {
-    "data:text/plain,Hello": (False, "data:"),
-    "data:application/octet-stream;base64," + "A" * 100_000: (False, "data:"),
-    "https://www.example.com/path?query=value": (True, "https:"),
-    "HTTP://localhost:3000": (True, "http:"),
+    "data:,x": (False, "data:"),
+    "data:image/gif;base64," + "R" * 50_000: (False, "data:"),
+    "https://shop.test/a?b=c": (True, "https:"),
+    "HTTP://10.0.0.7:8080": (True, "http:"),
     "http:x.y": (True, "http:"),
-    "file:///C:/path/to/file.html": (True, "file:"),
-    "ftp://example.com": (False, "ftp:"),
-    'javascript:alert("xss")': (False, "javascript:"),
-    "mailto:a@example.com": (False, "mailto:"),
-    "not-a-url": (False, None),
+    "file:///srv/pages/1.html": (True, "file:"),
+    "ftp://mirror.test/x": (False, "ftp:"),
+    "javascript:void 0": (False, "javascript:"),
+    "mailto:desk@shop.test": (False, "mailto:"),
+    "just words": (False, None),
     "http://": (False, None),
     "http://a b/": (False, None),
     "http://h:99999/": (False, None),
