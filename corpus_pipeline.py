@@ -6,7 +6,7 @@ columns of documents; the last returns piece ids. Stages are written as Parquet
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteledger.llm import jaccard, mil, mixing, phrases, pieces, sketch
@@ -15,6 +15,9 @@ from siteledger.llm.queries import PIECE_MODEL
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+#: Places from here on are those of rows that have no doc_id of their own.
+LATE = 1 << 62
+
 #: SQL cannot express the learned stages; tests hold each against a plain version.
 ORACLE_SQL = None
 
@@ -25,32 +28,64 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return scored.filter("predicted = 1").select(*COLUMNS)
 
 
-def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id.
+def row_key(*columns: str) -> Column:
+    """A 64-bit hash of these columns, nulls told apart: equal rows have equal keys. What
+    two unlike rows with one key come to is said where it is used."""
+    return F.xxhash64(*(c for name in columns for c in (F.isnull(name), F.col(name))))
+
 
-    Five-word shingles and a similarity of 0.8. Of rows that repeat the kept doc_id, one
-    stays; rows without doc_id stay only if their group has no doc_id at all."""
-    found = jaccard.jaccard_components(docs.select("doc_id", "text"), width=5, percent=80)
-    kept = found.filter("component_id = doc_id").select("doc_id").distinct()
-    first = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id").dropDuplicates(["doc_id"])
-    return first.select(*COLUMNS)
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies: the one with the smallest doc_id, and one without
+    doc_id only if the group has no other.
+
+    Five-word shingles and a similarity of 0.8, judged on rows: rows that repeat a doc_id with
+    unlike texts are in the groups of their texts. A row without a word is a group of its own,
+    but of those that repeat doc_id and text one stays. Should two unlike rows have one key,
+    both stay if either does."""
+    keyed = docs.select("doc_id", row_key("doc_id", "text").alias("_key"), "text")
+    found = jaccard.jaccard_components(keyed.select(F.col("_key").alias("doc_id"), "text"), width=5, percent=80)
+    found = found.withColumnRenamed("doc_id", "_key").distinct()
+    ids = keyed.select("_key", "doc_id").distinct()
+    place = F.struct(F.isnull("doc_id"), "doc_id", "_key")
+    kept = (
+        found.join(ids, "_key")
+        .groupBy("component_id")
+        .agg(F.min_by(F.struct("_key", "n_shingles"), place).alias("_one"))
+        .select("_one.*")
+        .groupBy("_key")
+        .agg(F.max("n_shingles").alias("_n"))
+    )
+    taken = docs.withColumn("_key", row_key("doc_id", "text")).join(kept, "_key")
+    # Nothing says that rows with neither a doc_id nor a word are the same.
+    own = F.when((F.col("_n") > 0) | F.col("doc_id").isNotNull(), F.lit(-1)).otherwise(F.monotonically_increasing_id())
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    once = taken.withColumn("_own", own).groupBy("_key", "_own", "doc_id", "text").agg(F.min(F.struct(*rest)).alias("_rest"))
+    return once.select("doc_id", "text", "_rest.*").select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that also stand earlier; what has no word left goes.
 
-    Texts that lose nothing stay as they are."""
-    found = phrases.remove_repeats(docs.select(*COLUMNS))
+    Texts that lose nothing stay as they are. Rows without doc_id, and those that repeat one
+    with another text, come after all others, each at a place of its own."""
+    late = row_key("doc_id", "text").bitwiseAND(LATE - 1).bitwiseOR(LATE)
+    rows = docs.select(*COLUMNS, late.alias("_late"), F.coalesce(F.col("doc_id").cast("long"), late).alias("_id"))
+    several = rows.groupBy("_id").agg(F.min("_late").alias("_first"), F.max("_late").alias("_last")).filter("_first <> _last")
+    several = Workspace(spark).keep("several", several.select("_id", "_first"))
+    place = F.when(F.col("_late") != F.col("_first"), F.col("_late")).otherwise(F.col("_id"))
+    placed = rows.join(several, "_id", "left").withColumns({"_doc_id": F.col("doc_id"), "doc_id": place})
+    found = phrases.remove_repeats(placed.select("_doc_id", *COLUMNS))
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    out = found.filter("n_removed = 0 OR kept <> ''").withColumn("text", text)
+    out = found.filter("n_removed = 0 OR kept <> ''").withColumns({"text": text, "doc_id": F.col("_doc_id")})
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a document as often as it is taken."""
-    mix = mixing.entropy_mix(docs, F.size(sketch.word_array(F.col("text"))))
-    copies = mix.filter("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies"))
-    taken = docs.join(copies, "doc_id")
+    """The mix: a row as often as it is taken. Rows equal in all columns share their copies."""
+    keyed = docs.select(row_key(*COLUMNS).alias("_key"), *COLUMNS)
+    mix = mixing.entropy_mix(keyed.withColumn("doc_id", F.col("_key")), F.size(sketch.word_array(F.col("text"))))
+    copies = mix.filter("copies > 0").groupBy(F.col("doc_id").alias("_key")).agg(F.sum("copies").cast("int").alias("_copies"))
+    taken = keyed.join(copies, "_key").dropDuplicates(["_key", *COLUMNS])
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*COLUMNS)
 
 
