@@ -19,15 +19,15 @@ from siteledger.llm.words import LOWER, spans, text_bytes
 #: Bounds of the labelled sample: documents of each language, and characters of each.
 SAMPLE_DOCS = 64
 EXCERPT_CHARS = 256
-#: Distinct bytes an automaton tells apart; all others are one symbol it never knows.
-ALPHABET = 64
+#: Slots of the transition table that are tried for a state before the first ones are left.
+TRIES = 32
 #: A phrase ends at the latest where a block of this many bytes ends. Blocks are read
 #: side by side.
 BLOCK_BYTES = 512
 
 
-def suffix_automaton(symbols: list[int], alphabet: int) -> np.ndarray:
-    """Transitions (state, symbol) of the automaton of all substrings; -1 where there is none."""
+def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Transitions of each state of the automaton of all substrings; state 0 is the root."""
     edges, link, length = [{}], [-1], [0]
     last = 0
     for s in symbols:
@@ -53,41 +53,71 @@ def suffix_automaton(symbols: list[int], alphabet: int) -> np.ndarray:
                     at = link[at]
                 link[to] = link[new] = twin
         last = new
-    out = np.full((len(edges), alphabet), -1, np.int32)
+    return edges
+
+
+def interleaved(edges: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(table, base): the transitions of all states as one sparse table.
+
+    Each state has a base of its own. The entry at base + symbol is the state's if its upper
+    32 bits are the base; the lower ones then are the base of the next state."""
+    base = np.zeros(len(edges), np.int64)
+    used, based = bytearray(1024), bytearray(1024)
+    first, width = 256, 0
+    for state in sorted(range(len(edges)), key=lambda i: -len(edges[i])):
+        symbols = sorted(edges[state])
+        if len(symbols) != width:
+            # States with fewer transitions fit into gaps that others left.
+            width, first = len(symbols), 256
+        low = symbols[0] if symbols else 0
+        slots = used if symbols else based
+        tries, at = 0, first - 1
+        while True:
+            at = slots.find(0, at + 1)
+            if at < 0 or at + 512 > len(used):
+                at = len(used) - 512 if at < 0 else at - 1
+                used.extend(bytes(len(used)))
+                based.extend(bytes(len(based)))
+                continue
+            if not tries:
+                first = at
+            tries += 1
+            b = at - low
+            if not based[b] and not any(used[b + s] for s in symbols):
+                break
+        if tries > TRIES:
+            first = at
+        base[state], based[b] = b, 1
+        for s in symbols:
+            used[b + s] = 1
+    table = np.full(int(base.max(initial=0)) + 256, -1, np.int64)
     for state, some in enumerate(edges):
+        b = int(base[state])
         for s, to in some.items():
-            out[state, s] = to
-    return out
+            table[b + s] = b << 32 | int(base[to])
+    return table, base
 
 
 class CrossParser:
-    """The automata of all languages in one table.
+    """The automata of all languages, over all 256 bytes, in one table.
 
-    An entry holds twice the next state, plus 1 where a phrase ends before the symbol: the
-    next one then starts from the root. States of all languages are numbered through."""
+    A state is known by its base in the table. Where a state has no transition, a phrase ends
+    before the symbol and the next one starts from the root."""
 
-    def __init__(self, samples: dict[str, bytes], alphabet: int = ALPHABET):
+    def __init__(self, samples: dict[str, bytes]):
         self.languages = sorted(samples)
-        texts = {lang: LOWER[np.frombuffer(samples[lang], np.uint8)] for lang in self.languages}
-        counts = sum((np.bincount(t, minlength=256) for t in texts.values()), np.zeros(256, np.int64))
-        known = [b for b in np.argsort(-counts, kind="stable") if counts[b]][: alphabet - 1]
-        self.symbol = np.full(256, len(known), np.uint8)
-        self.symbol[known] = np.arange(len(known))
-        self.symbol = self.symbol[LOWER]
-        self.width = len(known) + 1
-        tables, self.roots, self.bits, size = [], [], [], 0
+        edges, roots, self.bits = [], [], []
         for lang in self.languages:
-            symbols = self.symbol[texts[lang]]
-            step = suffix_automaton([int(s) if s < len(known) else -1 for s in symbols], self.width)[:, : self.width]
-            step[:, len(known)] = -1
-            ends = step < 0
-            restart = np.where(step[0] < 0, 0, step[0])
-            to = np.where(ends, restart[None, :], step) + size
-            tables.append((to * 2 + ends).astype(np.int32))
-            self.roots.append(size)
+            symbols = LOWER[np.frombuffer(samples[lang], np.uint8)].tolist()
+            roots.append(len(edges))
+            edges += [{s: to + roots[-1] for s, to in some.items()} for some in suffix_automaton(symbols)]
             self.bits.append(np.log2(len(symbols) + 2))
-            size += len(step)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        self.table, base = interleaved(edges)
+        self.roots = base[roots]
+        self.restart = np.repeat(self.roots[:, None], 256, 1)
+        for row, root in enumerate(roots):
+            for s, to in edges[root].items():
+                self.restart[row, s] = base[to]
 
     def phrases(self, data: np.ndarray, bounds: np.ndarray, block: int) -> np.ndarray:
         """Phrases of each text (rows) in each language (columns)."""
@@ -99,15 +129,17 @@ class CrossParser:
         length = np.minimum(block, bounds[1:][doc] - start)
         order = np.argsort(-length, kind="stable")
         doc, start, length = doc[order], start[order], length[order]
-        symbols = self.symbol[data].astype(np.int32)
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], len(doc), 1)
+        symbols = LOWER[data]
+        state = np.repeat(self.roots[:, None], len(doc), 1)
         ended = np.ones(state.shape, np.int32)
         active = np.searchsorted(-length, -np.arange(1, block + 1), "right")
         for t in range(int(length[0]) if len(length) else 0):
             n = active[t]
-            value = self.table[state[:, :n] * self.width + symbols[start[:n] + t]]
-            ended[:, :n] += value & 1
-            state[:, :n] = value >> 1
+            now, symbol = state[:, :n], symbols[start[:n] + t]
+            entry = self.table[now + symbol]
+            ends = entry >> 32 != now
+            ended[:, :n] += ends
+            state[:, :n] = np.where(ends, self.restart[:, symbol], entry & 0xFFFFFFFF)
         out = np.zeros((len(self.languages), len(sizes)))
         for row, counts in zip(out, ended):
             row += np.bincount(doc, counts, len(sizes))
@@ -156,8 +188,9 @@ def identify_language(
 
     Learned from rows that are not held out and have a language; predictions use the text
     alone, in whole. A null text or one without a letter is `und` with score 0, as is every
-    text if no language was learned. Rows may repeat; other columns are ignored. The table of
-    all automata has two states per byte of sample at most, ALPHABET entries of 4 bytes each.
+    text if no language was learned. Rows may repeat; other columns are ignored. The
+    automata know all bytes of the samples; they have two states and three transitions per
+    byte of sample at most, and their table 8 bytes per transition and for each gap.
     """
     samples = language_samples(docs.filter(~held_out()), docs_per_language, chars)
     parser = CrossParser(samples)
