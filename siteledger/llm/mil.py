@@ -157,8 +157,8 @@ def _features(batches):
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> AttentionBag:
-    """The network fitted on a bounded sample: `rows` documents of at most `chars` characters,
-    so at most rows * (chars / 2 / PASSAGE_WORDS + 1) passages reach the driver."""
+    """The network fitted on a bounded sample: `rows` documents and at most `chars` characters
+    drawn from each, so at most rows * (chars / 2 / PASSAGE_WORDS + 1) passages reach the driver."""
     model = AttentionBag()
     sample = labelled_sample(docs, labels, "quality", rows, chars, per_class=False)
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -2,16 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from siteledger.llm.common import held_out
 
 
+#: Stretches that are drawn from a text over the character bound.
+STRETCHES = 8
+
+
+def drawn(text: Column, key: Column, chars: int) -> Column:
+    """`text`, or of a text over `chars` characters as many as fit from whole words: one stretch
+    from each of STRETCHES equal parts of it, at places that follow from `key`."""
+    each = max(1, chars // STRETCHES - 1)
+    part = F.floor(F.length(text) / STRETCHES).cast("int")
+    stretches = [
+        F.regexp_replace(
+            F.substring(text, part * k + F.pmod(F.xxhash64(key, F.lit(k)), F.greatest(F.lit(1), part - each + 1)).cast("int") + 1, F.lit(each)),
+            r"^\S*\s|\s\S*$",
+            "",
+        )
+        for k in range(STRETCHES)
+    ]
+    return F.when(F.length(text) <= chars, text).otherwise(F.concat_ws("\n", *stretches))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int, per_class: bool) -> DataFrame:
     """(doc_id, label, text): at most `rows` labelled documents (of each class if `per_class`)
-    of at most `chars` characters, none of them held out, first by a hash of their id.
+    none of them held out, first by a hash of their id. Of a text over `chars` characters,
+    `text` holds as many, drawn from all its parts.
 
     A text is taken once. The ids are bounded by `rows`, so that side may be broadcast."""
     marks = (
@@ -27,5 +48,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, c
     else:
         ids = marks.orderBy(pick, "doc_id").limit(rows)
     chosen = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
-    fits = chosen.filter(F.length("text") <= chars)
+    fits = chosen.filter(F.col("text").isNotNull()).withColumn("text", drawn(F.col("text"), F.col("doc_id"), chars))
     return fits.groupBy("text").agg(F.min(F.struct("doc_id", "label")).alias("_one")).select("_one.*", "text")

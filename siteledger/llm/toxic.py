@@ -202,7 +202,8 @@ def _apart(found: pa.Table) -> pa.Table:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> TagField:
-    """The field fitted on at most `rows` documents of each class, of at most `chars` characters."""
+    """The field fitted on at most `rows` documents of each class and at most `chars` characters
+    drawn from each."""
     field = TagField()
     found = labelled_sample(docs, labels, "toxic", rows, chars, per_class=True).toArrow()
     if not found.num_rows:
