@@ -7,8 +7,11 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteledger.llm import jaccard, langid, licenses, mil, mixing, phrases, pieces, rules, sketch, toxic
+from siteledger.llm import chats, jaccard, langid, licenses, manifest, mil, mixing, phrases, pieces, rules, sketch, toxic, trie
 from siteledger.llm.common import table
+from siteledger.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 #: The SentencePiece model that op6 and the pipeline encode with.
 PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -37,6 +40,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The pipeline imports this module for the place of the piece model.
     import corpus_pipeline
@@ -55,7 +62,8 @@ QUERIES = {
     "op8_ngram_jaccard_join": lambda spark, sf: jaccard.jaccard_components(_documents(spark, sf)),
     "op9_toxicity": lambda spark, sf: toxic.score_toxicity(_documents(spark, sf), table(spark, sf, "labels")),
     "op10_fingerprints": lambda spark, sf: sketch.edited_fingerprints(_documents(spark, sf)),
+    "op11_chat_formatting": lambda spark, sf: chats.chat_digests(_conversations(spark, sf)),
+    "op12_merkle_manifest": lambda spark, sf: manifest.tampered_manifest(_documents(spark, sf)),
+    "op13_prefix_trie": lambda spark, sf: trie.prefix_trie(trie.rebuilt(_conversations(spark, sf))),
     "pipeline": pipeline,
 }
-
-ORACLES: dict[str, str] = {}
