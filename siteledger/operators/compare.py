@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteledger.functions import json as J
+from siteledger.operators.membership import marked, members
 from siteledger.operators.merkle import merkle_roots
 
 # Outcome texts.
@@ -15,12 +16,38 @@ SOME_DIFFER = "Some schemas do not match."
 
 EMPTY_CHECKSUM_INPUT = "{}"
 
+#: Modules naming one page from which on they are split, and into how many parts at most.
+HEAVY_PAGE, MOST_PARTS = 1000, 1024
+
+
+def _split_pages(left: DataFrame, right: DataFrame, heavy: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with the columns to join on. Where more than `heavy` modules name a page, they
+    are dealt over parts, and the page is repeated for each part.
+
+    Heavy pages are marked on both sides by the same set of bounded size; a page that it marks
+    by mistake is split as well, which changes no result."""
+    counts = left.groupBy("_url").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > heavy)
+    most = counts.agg(F.max("n")).first()[0]
+    if most is None:
+        return left, right, ["_url"]
+    parts = min(MOST_PARTS, -(-most // heavy))
+    pages = members(counts, "_url")
+    part = F.pmod(F.xxhash64("site", "pos"), F.lit(parts)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(parts - 1))
+    left = marked(left, F.col("_url"), pages, "_heavy").withColumn("_part", F.when(F.col("_heavy"), part).otherwise(0))
+    right = marked(right, F.col("_url"), pages, "_heavy").withColumn(
+        "_part", F.explode(F.when(F.col("_heavy"), every).otherwise(F.array(F.lit(0))))
+    )
+    return left, right, ["_url", "_part"]
+
 
-def pair_pages(declared: DataFrame, extracted: DataFrame) -> DataFrame:
+def pair_pages(declared: DataFrame, extracted: DataFrame, heavy: int = HEAVY_PAGE) -> DataFrame:
     """One row per module, repeats kept, with the extraction of its page.
 
     A module without a page URL, or whose page was not captured, gets no objects. NULL
-    URLs are given a key of their own so they do not gather in one partition."""
+    URLs are given a key of their own so they do not gather in one partition, and a page that
+    more than `heavy` modules name is split over several. `declared` is read twice, so it had
+    better be a table."""
     own = F.concat(F.lit("\u0000"), "site", F.lit("\u0000"), F.col("pos").cast("string"))
     left = declared.withColumn("_url", F.coalesce("page_url", own))
     right = extracted.select(
@@ -31,7 +58,8 @@ def pair_pages(declared: DataFrame, extracted: DataFrame) -> DataFrame:
         "extracted_ok",
     )
     none = F.array().cast("array<string>")
-    return left.join(right, "_url", "left").select(
+    left, right, on = _split_pages(left, right, heavy)
+    return left.join(right, on, "left").select(
         "site",
         "pos",
         "page_url",

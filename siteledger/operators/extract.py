@@ -19,6 +19,7 @@ from pyspark.sql import Window
 from siteledger.functions import json as J
 from siteledger.functions import text as X
 from siteledger.functions.leaf import schema_objects_in
+from siteledger.operators.captures import when_captured
 from siteledger.operators.html import html_elements
 
 # Method ranks fix the order of a page's objects.
@@ -264,9 +265,9 @@ def collect_values(values: Column) -> Column:
 TEXTS = ("canon", "keys", "allowed", "clean")
 
 
-def _assembled(rows: DataFrame, key: str) -> DataFrame:
+def _assembled(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Gather item properties; JSON objects are groups of one row."""
-    place = [key, "method", "root", "sub", "idx"]
+    place = [*keys, "method", "root", "sub", "idx"]
     named = rows.groupBy(*place, "name").agg(
         F.sort_array(F.collect_list(F.struct("elem", "value"))).alias("_values"),
         F.min("elem").alias("_at"),
@@ -344,17 +345,20 @@ def extract_objects(
     methods: tuple[str, ...] = tuple(METHODS),
     known_only: bool = True,
     carry: tuple[str, ...] = (),
+    also: tuple[str, ...] = (),
 ) -> DataFrame:
     """Objects of each page by the chosen methods, partitioned by `key`.
 
+    A key that several rows share needs more columns, named in `also`, that tell these apart.
+
     Columns: key, method, root, sub, idx (together the order), canon, keys, and the texts
     for comparing (`allowed`) and handing out (`clean`) where they differ from canon. With
     `carry`, each page keeps a row of method -1 holding those columns, prefixed `carry_`.
     """
     named = {f"carry_{c}": F.col(c) for c in carry}
     source = pages.withColumns(named) if named else pages
-    elements = html_elements(source, key, "marked", tuple(named))
-    return objects_from_elements(elements, key, methods, known_only)
+    elements = html_elements(source, key, "marked", tuple(named), also=also)
+    return objects_from_elements(elements, key, methods, known_only, also)
 
 
 def objects_from_elements(
@@ -362,29 +366,30 @@ def objects_from_elements(
     key: str = "page_id",
     methods: tuple[str, ...] = tuple(METHODS),
     known_only: bool = True,
+    also: tuple[str, ...] = (),
 ) -> DataFrame:
     carried = [c for c in elements.columns if c.startswith("carry_")]
     document = _only("tag = '#document'", f"array({_candidate(DOCUMENT, 0, 0, 0)})")
     parts = ([document] if carried else []) + [METHODS[m]() for m in methods]
     # The outer form: the plain one makes Spark test the candidates' number first, and so
     # compute them twice.
-    rows = elements.selectExpr(key, *carried, f"inline_outer(concat({', '.join(parts)}))")
+    rows = elements.selectExpr(key, *also, *carried, f"inline_outer(concat({', '.join(parts)}))")
     rows = rows.filter(F.col("method").isNotNull())
     # What needs Python is done before the shuffle: a Python stage forgets how the rows
     # are partitioned, and everything below relies on it.
     rows = _with_derived_texts(_kept(_parsed(rows), known_only))
-    return _assembled(rows.repartition(key), key)
+    return _assembled(rows.repartition(key), [key, *also])
 
 
 PLACE = ("method", "root", "sub", "idx")
 
 
-def dedupe_objects(df: DataFrame, key: str = "page_id", strict: bool = False) -> DataFrame:
+def dedupe_objects(df: DataFrame, key: str = "page_id", strict: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
     """Keep the first object of each key on a page: its text limited to the names of its
     top level, or with `strict` its whole text."""
     whole = F.col("canon") if strict else F.coalesce("allowed", "canon")
     df = df.withColumn("dedupe_key", whole)
-    first = Window.partitionBy(key, "dedupe_key").orderBy(*PLACE)
+    first = Window.partitionBy(key, *also, "dedupe_key").orderBy(*PLACE)
     is_object = F.col("canon").isNotNull()
     return (
         df.withColumn("_nth", F.row_number().over(first))
@@ -413,25 +418,33 @@ def extract_all(pages: DataFrame, key: str = "page_id") -> DataFrame:
 def extract_page(pages: DataFrame, key: str = "page_id", strict: bool = False) -> DataFrame:
     """The page job: objects, closing checksum, bytes, details, one row per page.
 
-    A page whose html is NULL could not be read: no objects, 0 bytes."""
+    A page whose html is NULL could not be read: no objects, 0 bytes. `pages` may hold several
+    captures of a page; each is read by itself, and the page's row is that of its latest (see
+    `captures`; last, the one with the greatest checksum). `n_captures` counts them."""
+    times = when_captured(pages)
     source = pages.withColumns(
         {
             "bytes": F.coalesce(X.utf8_bytes(F.col("html")), F.lit(0)),
             "readable": F.col("html").isNotNull(),
+            "order": F.struct(*times),
+            "_capture": F.monotonically_increasing_id(),
         }
     )
-    objects = extract_objects(source, key, carry=("bytes", "readable"))
-    objects = drop_checksum_field(dedupe_objects(objects, key, strict))
-    gathered = objects.groupBy(key).agg(
+    also = ("_capture",)
+    objects = extract_objects(source, key, carry=("bytes", "readable", "order"), also=also)
+    objects = drop_checksum_field(dedupe_objects(objects, key, strict, also))
+    gathered = objects.groupBy(key, *also).agg(
         F.sort_array(
             F.collect_list(F.when(F.col("canon").isNotNull(), F.struct(*PLACE, "canon", "keys")))
         ).alias("_objects"),
         F.max("carry_bytes").alias("bytes_downloaded"),
         F.max("carry_readable").alias("readable"),
+        F.max("carry_order").alias("order"),
     )
     canons = F.transform("_objects", lambda o: o["canon"])
-    return gathered.select(
+    captured = gathered.select(
         key,
+        "order",
         canons.alias("objects"),
         F.get(F.transform("_objects", lambda o: o["keys"]), F.lit(0)).alias("first_keys"),
         J.checksum_of(canons).alias("checksum"),
@@ -439,6 +452,11 @@ def extract_page(pages: DataFrame, key: str = "page_id", strict: bool = False) -
         F.when(F.col("readable"), PAGE_READ).otherwise(PAGE_UNREADABLE).alias("details"),
         F.col("readable").alias("extracted_ok"),
     )
+    # The captures of a page are already in one partition.
+    found = ["objects", "first_keys", "checksum", "bytes_downloaded", "details", "extracted_ok"]
+    last = F.max_by(F.struct(*found), F.struct("order", "extracted_ok", "checksum", "bytes_downloaded"))
+    one = captured.groupBy(key).agg(last.alias("_last"), F.count(F.lit(1)).alias("n_captures"))
+    return one.select(key, "_last.*", "n_captures")
 
 
 def raw_jsonld_blocks(pages: DataFrame, key: str = "page_id") -> DataFrame:

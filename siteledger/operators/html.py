@@ -330,6 +330,7 @@ def html_elements(
     keep: str = "marked",
     carry: Sequence[str] = (),
     carry_on: str = "document",
+    also: Sequence[str] = (),
 ) -> DataFrame:
     """Element rows of `pages(key, html)`.
 
@@ -338,7 +339,7 @@ def html_elements(
     `keep="marked"` a page without any trace of structured data is not handed to the
     parser. Each row says where it stands in the tree: its parent among kept elements,
     the last element inside it, its nearest `itemscope`, the `vocab` in force, and the
-    `typeof` elements around a `property`.
+    `typeof` elements around a `property`. The columns `also` stand beside the key, in every row.
     """
     markup: Column = F.col("html")
     if keep == "marked":
@@ -347,10 +348,11 @@ def html_elements(
         markup = F.when(F.lower(markup).contains("href"), markup)
     elif keep == "scripts":
         markup = F.when(F.lower(markup).contains("<script"), markup)
-    source = pages.select(key, *carry, markup.alias("html"))
+    source = pages.select(key, *also, *carry, markup.alias("html"))
     schema = T.StructType(
         [
             source.schema[key],
+            *[source.schema[c] for c in also],
             *ELEMENT_FIELDS,
             *[T.StructField(c, source.schema[c].dataType) for c in carry],
         ]
@@ -361,7 +363,7 @@ def html_elements(
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            given = {c: batch.column(c).to_pylist() for c in (key, *carry)}
+            given = {c: batch.column(c).to_pylist() for c in (key, *also, *carry)}
             columns: dict[str, list] = {name: [] for name, _ in arrow_fields}
             held = 0
 
@@ -375,7 +377,8 @@ def html_elements(
                 text = page.as_py()
                 document = {"elem_id": 0, "depth": -1, "tag": "#document"}
                 for row in (document, *(elements_of(text, keep) if text else ())):
-                    columns[key].append(given[key][i])
+                    for c in (key, *also):
+                        columns[c].append(given[c][i])
                     for name in names:
                         columns[name].append(row.get(name))
                     for c in carry:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siteledger.functions import json as J
 from siteledger.functions import urls as U
+from siteledger.operators.captures import latest
 from siteledger.operators.merkle import merkle_roots
 
 # Outcome texts.
@@ -53,13 +54,16 @@ def site_readiness(index: DataFrame) -> DataFrame:
     )
 
 
-def explode_modules(parsed: DataFrame, keep_unresolved: bool = False) -> DataFrame:
+def explode_modules(parsed: DataFrame, keep_unresolved: bool = False, max_pages: int | None = None) -> DataFrame:
     """(site, pos, path, module_url) per module. Paths that do not resolve against the
     site root are dropped inside the row, so positions have no gaps; the trust check
-    keeps them, with a NULL URL, as modules that cannot be read."""
+    keeps them, with a NULL URL, as modules that cannot be read. With `max_pages`, only the
+    first of each site."""
     paths = F.col("modules")
     if not keep_unresolved:
         paths = F.filter(paths, lambda m: U.is_resolvable(m, F.col("site")))
+    if max_pages is not None:
+        paths = F.slice(paths, 1, max_pages)
     rows = parsed.select("site", F.posexplode(paths).alias("pos", "path"))
     # One index document can list most of all modules; its rows leave its task here.
     rows = rows.repartition("site", "pos")
@@ -198,20 +202,28 @@ def verify_checksum(
     return F.when(F.col(declared).isNotNull(), F.col(declared) == F.col(calculated))
 
 
-def locate_modules(index: DataFrame, modules: DataFrame) -> DataFrame:
+def _captured(modules: DataFrame) -> DataFrame:
+    """The latest capture of each module. It and the join that follows share one exchange."""
+    names = ["site", "module_url", "raw"]
+    kept = [c for c in modules.columns if c in (*names, "captured_at", "capture_id")]
+    return latest(modules.select(*kept), ["site", "module_url"], "raw").select(*names)
+
+
+def locate_modules(index: DataFrame, modules: DataFrame, max_pages: int | None = None) -> DataFrame:
     """Modules of the ready sites with their captured text, NULL where not captured. Sites
     that are not ready list no modules and so drop out by themselves.
 
     `modules(site, module_url, raw)` joins on the module URL as well as the site, so a
-    site with most of the modules still spreads over all partitions."""
-    listed = explode_modules(parse_index(index))
-    return listed.join(modules.select("site", "module_url", "raw"), ["site", "module_url"], "left")
+    site with most of the modules still spreads over all partitions. Of several captures of
+    a module the latest counts (see `captures`)."""
+    listed = explode_modules(parse_index(index), max_pages=max_pages)
+    return listed.join(_captured(modules), ["site", "module_url"], "left")
 
 
 def locate_listed(parsed: DataFrame, modules: DataFrame) -> DataFrame:
     """Every listed path of the parsed indexes with its captured text, for the trust check."""
     listed = explode_modules(parsed, keep_unresolved=True)
-    return listed.join(modules.select("site", "module_url", "raw"), ["site", "module_url"], "left")
+    return listed.join(_captured(modules), ["site", "module_url"], "left")
 
 
 # --- trust check -------------------------------------------------------------------------

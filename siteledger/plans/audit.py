@@ -11,6 +11,7 @@ from siteledger.operators import compare as C
 from siteledger.operators import extract as X
 from siteledger.operators import metrics as H
 from siteledger.operators import modules as MOD
+from siteledger.operators.captures import latest_of
 from siteledger.session import stored
 
 
@@ -24,10 +25,14 @@ class Audit(NamedTuple):
     metrics: DataFrame | None
 
 
-def page_comparison(index: DataFrame, modules: DataFrame, captures: DataFrame) -> DataFrame:
-    """`captures(url, html)` against the modules the sites list."""
-    declared = MOD.read_modules(MOD.locate_modules(index, modules))
-    extracted = X.extract_page(captures, key="url")
+def page_comparison(index: DataFrame, modules: DataFrame, captures: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """`captures(url, html)` against the modules the sites list.
+
+    The modules are read first and written once; of the captures only the latest of pages
+    that a module names are then parsed, in the tasks that read them."""
+    declared = stored(MOD.read_modules(MOD.locate_modules(index, modules, max_pages)), "audit-declared")
+    wanted = declared.select(F.col("page_url").alias("url")).filter("url IS NOT NULL")
+    extracted = X.extract_page(latest_of(captures, wanted), key="url")
     return C.compare_pages(C.pair_pages(declared, extracted))
 
 
@@ -41,16 +46,14 @@ def run_audit(
     max_pages: int | None = None,
 ) -> Audit:
     """Audit every site of `index(site, raw)`. With `max_pages`, only the first modules
-    of each site take part; the default is all of them. Each of the three logs may be missing;
-    without any, there are no metrics.
+    of each site take part; the default is all of them. `modules` and `captures` may hold
+    several captures of a module or page, of which the latest counts. Each of the three logs
+    may be missing; without any, there are no metrics.
 
     The page rows are written to the shared folder once: the summary, the report and
     the result files all read them, and none extracts the pages again."""
     readiness = MOD.site_readiness(index)
-    pages = page_comparison(index, modules, captures)
-    if max_pages is not None:
-        pages = pages.filter(F.col("pos") < max_pages)
-    pages = stored(pages, "audit-pages")
+    pages = stored(page_comparison(index, modules, captures, max_pages), "audit-pages")
     metrics = None
     if not (log is None and errors is None and samples is None):
         metrics = stored(H.metrics_summary(log, errors, samples), "audit-metrics")
@@ -61,9 +64,10 @@ def run_audit(
 
 def run_crawl(urls: DataFrame, captures: DataFrame, strict: bool = False) -> DataFrame:
     """(site, ord, url, objects, checksum, …) for discovered `urls(site, ord, url)`; a URL
-    without a capture keeps its place as a page that could not be read."""
-    wanted = captures.select("url", "html").join(urls.select("url"), "url", "left_semi")
-    pages = X.extract_page(wanted, key="url", strict=strict)
+    without a capture keeps its place as a page that could not be read. Of several captures
+    of a page the latest counts; captures of other pages are not parsed."""
+    urls = stored(urls, "crawl-urls")
+    pages = X.extract_page(latest_of(captures, urls), key="url", strict=strict)
     found = urls.join(pages, "url", "left")
     none = F.array().cast("array<string>")
     return found.withColumns(

@@ -154,14 +154,35 @@ def page_markup(kind: str, name: str, brand: str, key: str, size: str) -> str:
 END"""
 
 
-def captures_sql(part: str, pages: str) -> str:
-    markup = page_markup("page_id % 10", "p_name", "p_brand", "p_partkey", "p_size")
+def captures_sql(part: str, pages: str, kind: str = "page_id % 10") -> str:
+    markup = page_markup(kind, "p_name", "p_brand", "p_partkey", "p_size")
     return f"""
-SELECT page_id, url, page_id % 10 AS kind, p_name AS nm, p_brand AS br, p_partkey AS k, p_size AS sz,
+SELECT page_id, url, {kind} AS kind, p_name AS nm, p_brand AS br, p_partkey AS k, p_size AS sz,
   replace(html, '<body>', '<body>' || {markup}) AS html
 FROM {pages} JOIN {part} ON p_partkey = page_id"""
 
 
+# Further captures of a page, none of which is its latest: the days after the first of the year,
+# the id, which pages have one, and how much further the kind of their markup is.
+LATEST_DAY, LATEST_ID = 2, "m"
+FURTHER = [(1, "z", "page_id % 3 = 0", 1), (2, "a", "page_id % 5 = 0", 2), (None, "z", "page_id % 4 = 0", 3)]
+
+
+def captured_at(day: int | None) -> str:
+    return "CAST(NULL AS TIMESTAMP)" if day is None else f"TIMESTAMP '2025-01-0{1 + day} 00:00:00'"
+
+
+def recaptures_sql(part: str, pages: str) -> str:
+    """Pages with several captures: older ones, one without a time, and one of equal time
+    whose id is smaller. Some of them could not be read."""
+    of = [(LATEST_DAY, LATEST_ID, "TRUE", 0), *FURTHER]
+    return " UNION ALL ".join(
+        f"SELECT page_id, url, {captured_at(day)} AS captured_at, '{name}' AS capture_id, "
+        f"CASE WHEN {shift} = 0 OR page_id % 7 <> 0 THEN html END AS html FROM ({captures_sql(part, pages, f'(page_id + {shift}) % 10')}) x WHERE {which}"
+        for day, name, which, shift in of
+    )
+
+
 def audit_pages_sql(modules: str, pages: str) -> str:
     """Captures of module pages: none, the module's data, altered data, or unreadable."""
     altered = (
@@ -325,6 +346,38 @@ def audit_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(audit_pages_sql("siteledger_module_facts", _view(spark, sf_dir, "pages")))
 
 
+@built
+def recaptures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(recaptures_sql(_view(spark, sf_dir, "part"), _view(spark, sf_dir, "pages")))
+
+
+def _captured_again(latest: DataFrame, number: str, text: str, stale: str) -> DataFrame:
+    """`latest` with further captures of its rows, whose `text` is `stale` or was not read."""
+    def captured(rows, day, name):
+        return rows.withColumns({"captured_at": F.expr(captured_at(day)), "capture_id": F.lit(name)})
+
+    out = captured(latest, LATEST_DAY, LATEST_ID)
+    for day, name, which, shift in FURTHER:
+        old = F.when(F.col(number) % 7 != shift, F.expr(stale))
+        out = out.unionByName(captured(latest.filter(which.replace("page_id", number)).withColumn(text, old), day, name))
+    return out
+
+
+@built
+def modules_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`modules`, some of them captured several times."""
+    return _captured_again(modules(spark, sf_dir), "pos", "raw", "concat('[{\"url\":\"', site, '/old\"}]')").drop("pos", "path")
+
+
+@built
+def audit_pages_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`audit_pages`, some of them captured several times, and pages that no module names."""
+    stale = """concat('<script type="application/ld+json">{"@context":"https://schema.org","@type":"Thing","url":"', url, '"}</script>')"""
+    again = _captured_again(audit_pages(spark, sf_dir), "k", "html", stale)
+    others = captures(spark, sf_dir).select("url", F.expr(captured_at(LATEST_DAY)).alias("captured_at"), F.lit("x").alias("capture_id"), "html")
+    return again.select(*others.columns).unionByName(others)
+
+
 @built
 def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(crawl_pages_sql(_view(spark, sf_dir, "pages")))

@@ -94,6 +94,7 @@ CTES: dict[str, str] = {
   JOIN audit_root ar ON ar.site = ix.site JOIN ext_root er ON er.site = ix.site""",
     # Captured pages with markup.
     "cap": B.captures_sql("part", "pages"),
+    "again": B.recaptures_sql("part", "pages"),
     "ex": f"""
   SELECT page_id, kind, CASE kind
       WHEN 1 THEN ['{{{CTX},"@type":"Product","brand":{{"name":"' || br || '"}},"size":' || sz || '}}']
@@ -428,6 +429,12 @@ FROM (SELECT *, unnest(range(1, len(objs) + 1)) AS i FROM every) x WHERE list_po
     "raw_jsonld_blocks": _sql(r"""
 SELECT page_id, CAST(i AS BIGINT) AS n, h[i] AS raw FROM (SELECT page_id, h, unnest(range(1, len(h) + 1)) AS i FROM (
   SELECT page_id, regexp_extract_all(html, '<script type="application/ld\+json">(.*?)</script>', 1) AS h FROM cap) y) x"""),
+    "latest_capture": _sql("""
+SELECT page_id, url, captured_at, capture_id, md5(html) AS digest FROM (
+  SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY captured_at DESC NULLS LAST, capture_id DESC) AS n FROM again) x WHERE n = 1"""),
+    "latest_of_pages": _sql("""
+SELECT page_id, url, capture_id, md5(html) AS digest FROM (
+  SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY captured_at DESC NULLS LAST, capture_id DESC) AS n FROM again) x WHERE n = 1 AND page_id % 10 <> 0"""),
     "extract_page": _sql(f"SELECT page_id, {_joined('objs')} AS objects, {_hash_of('objs')} AS checksum, CAST(strlen(html) AS BIGINT) AS bytes_downloaded, 'Loaded from capture.' AS details FROM page"),
     "canonical_json": None,
     "module_checksum": _sql("SELECT site, pos, data_hash AS checksum FROM m"),
@@ -448,6 +455,11 @@ SELECT site, NULL AS error FROM ix UNION ALL SELECT site, CASE r WHEN 0 THEN '{M
     "canonical_url": _sql("SELECT site, pos, page_url AS canonical_url FROM f WHERE status = 'success'"),
     "single_url_rule": _sql("SELECT site, pos, kind <> 'differ' AS single_url FROM m"),
     "module_status": _sql("SELECT site, pos, status, page_url, error, calculated AS checksum, audit_declared = calculated AS checksum_valid FROM a"),
+    "pair_pages_of_one_url": _sql(f"""
+SELECT m.site, m.pos, CASE WHEN m.pos % 2 = 0 THEN one.u ELSE m.page_url END AS page_url,
+  CASE WHEN m.pos % 2 = 0 THEN {_joined('one.ext')} ELSE {_joined('m.ext')} END AS extracted,
+  CASE WHEN m.pos % 2 = 0 THEN one.variant <> 4 ELSE coalesce(m.extracted_ok, FALSE) END AS extracted_ok
+FROM pg m CROSS JOIN (SELECT * FROM pg WHERE u = 'https://hot.example.com/p/2') one"""),
     "pair_pages": _sql(f"SELECT site, pos, page_url, {_joined('kept')} AS declared, {_joined('ext')} AS extracted, status = 'success' AS declared_ok, coalesce(extracted_ok, FALSE) AS extracted_ok FROM pg"),
     "objects_equal": _sql("SELECT site, pos, schemas_match FROM cmp"),
     "checksum_compare": _sql("""

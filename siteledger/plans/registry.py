@@ -12,6 +12,7 @@ from siteledger.functions import formats as M
 from siteledger.functions import json as J
 from siteledger.functions import text as X
 from siteledger.functions import urls as U
+from siteledger.operators import captures as captured
 from siteledger.operators import compare as C
 from siteledger.operators import discover as D
 from siteledger.operators import extract as E
@@ -23,6 +24,7 @@ from siteledger.operators.merkle import merkle_roots
 from siteledger.operators.ranking import rank_in_group
 from siteledger.plans import audit as A
 from siteledger.plans import bridges as B
+from siteledger.session import stored
 from siteledger.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -401,9 +403,26 @@ def raw_jsonld_blocks(spark, sf):
     return blocks.select("page_id", number.cast("bigint").alias("n"), "raw")
 
 
+@query
+def latest_capture(spark, sf):
+    """The latest of all captures of each page, chosen before any is parsed."""
+    latest = captured.latest(B.recaptures(spark, sf), ["page_id", "url"], "html")
+    return latest.select("page_id", "url", "captured_at", "capture_id", F.md5("html").alias("digest"))
+
+
+@query
+def latest_of_pages(spark, sf):
+    """Of pages with structured data, the captures that pass the set of the latest ones; exact
+    here, as the pages that pass by mistake are taken out."""
+    pages = B.recaptures(spark, sf)
+    wanted = B.captures(spark, sf).filter("kind <> 0").select("url")
+    passed = captured.latest(captured.latest_of(pages, wanted), ["url"], "html").join(wanted, "url", "left_semi")
+    return passed.select("page_id", "url", "capture_id", F.md5("html").alias("digest"))
+
+
 @query
 def extract_page(spark, sf):
-    pages = E.extract_page(B.captures(spark, sf))
+    pages = E.extract_page(B.recaptures(spark, sf))
     return pages.select("page_id", _text("objects").alias("objects"), "checksum", "bytes_downloaded", "details")
 
 
@@ -552,7 +571,7 @@ def single_url_rule(spark, sf):
 
 @query
 def module_status(spark, sf):
-    read = MOD.read_modules(MOD.locate_modules(B.site_index(spark, sf), B.modules(spark, sf)))
+    read = MOD.read_modules(MOD.locate_modules(B.site_index(spark, sf), B.modules_again(spark, sf)))
     return read.select("site", F.col("pos").cast("bigint").alias("pos"), "status", "page_url", "error", "checksum", "checksum_valid")
 
 
@@ -560,13 +579,12 @@ def module_status(spark, sf):
 
 
 def _audit_pages(spark, sf):
-    return A.page_comparison(B.site_index(spark, sf), B.modules(spark, sf), B.audit_pages(spark, sf).select("url", "html"))
+    return A.page_comparison(B.site_index(spark, sf), B.modules_again(spark, sf), B.audit_pages_again(spark, sf))
 
 
 def _audit(spark, sf, with_logs=True):
     logs = (B.request_log(spark, sf), B.error_log(spark, sf), B.samples(spark, sf)) if with_logs else ()
-    captures = B.audit_pages(spark, sf).select("url", "html")
-    return A.run_audit(B.site_index(spark, sf), B.modules(spark, sf), captures, *logs)
+    return A.run_audit(B.site_index(spark, sf), B.modules_again(spark, sf), B.audit_pages_again(spark, sf), *logs)
 
 
 def _summary(spark, sf):
@@ -589,6 +607,17 @@ def pair_pages(spark, sf):
     )
 
 
+@query
+def pair_pages_of_one_url(spark, sf):
+    """Pairing where every second module of all sites names the page of one of them."""
+    declared = stored(MOD.read_modules(B.all_modules(spark, sf)), "declared")
+    one = F.concat(F.lit("https://hot.example.com/p/"), F.lit(2))
+    declared = declared.withColumn("page_url", F.when(F.col("pos") % 2 == 0, one).otherwise(F.col("page_url")))
+    extracted = E.extract_page(B.audit_pages_again(spark, sf), key="url")
+    paired = C.pair_pages(declared, extracted, heavy=50)
+    return _pos(paired).select("site", "pos", "page_url", _text("extracted").alias("extracted"), "extracted_ok")
+
+
 @query
 def objects_equal(spark, sf):
     return _pos(_audit_pages(spark, sf)).select("site", "pos", "schemas_match")
