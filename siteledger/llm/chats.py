@@ -59,12 +59,12 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     work = Workspace(messages.sparkSession)
     least = F.min(F.struct("parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")))
     links = work.keep("links", messages.groupBy("tree", "id").agg(least.alias("m")).select("tree", "id", "m.*"))
-    parents = links.filter("parent IS NOT NULL").select("tree", F.col("parent").alias("id")).distinct()
-    known = links.alias("a").join(parents.alias("b"), _same_tree("a", "b") & (F.col("a.id") == F.col("b.id")), "left_semi")
+    answered = links.filter("parent IS NOT NULL").select("tree", F.col("parent").alias("id")).distinct()
     jump = (
         links.alias("a")
-        .join(known.alias("b"), _same_tree("a", "b") & (F.col("a.parent") == F.col("b.id")), "left")
-        .select("a.tree", "a.id", F.col("b.id").alias("up"), F.lit(1).cast("long").alias("n"), F.col("a.score").alias("total"))
+        .join(links.select("tree", "id").alias("b"), _same_tree("a", "b") & (F.col("a.parent") == F.col("b.id")), "left")
+        .join(answered.alias("c"), F.col("a.tree").eqNullSafe(F.col("c.tree")) & (F.col("a.id") == F.col("c.id")), "left")
+        .select("a.tree", "a.id", F.col("b.id").alias("up"), F.lit(1).cast("long").alias("n"), F.col("a.score").alias("total"), F.col("c.id").isNull().alias("leaf"))
     )
     # jump-k: the messages at least 2^k deep at its start, each with its ancestor 2^k above.
     jumps = [work.keep("jump-0", jump)]
@@ -75,7 +75,7 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
         jump = (
             open_ones.alias("a")
             .join(rooted.unionByName(open_ones).alias("b"), _same_tree("a", "b") & (F.col("a.up") == F.col("b.id")))
-            .select("a.tree", "a.id", "b.up", (F.col("a.n") + F.col("b.n")).alias("n"), (F.col("a.total") + F.col("b.total")).alias("total"))
+            .select("a.tree", "a.id", "b.up", (F.col("a.n") + F.col("b.n")).alias("n"), (F.col("a.total") + F.col("b.total")).alias("total"), "a.leaf")
         )
         jumps.append(work.keep(f"jump-{len(jumps)}", jump))
         rooted = rooted.unionByName(jumps[-1].filter("up IS NULL"))
@@ -86,8 +86,7 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
         waiting = still
     best = Window.partitionBy("tree").orderBy(F.desc("score"), F.asc("leaf"))
     chosen = (
-        rooted.alias("a")
-        .join(known.alias("b"), _same_tree("a", "b") & (F.col("a.id") == F.col("b.id")), "left_anti")
+        rooted.filter("leaf")
         .select("tree", F.col("id").alias("leaf"), (F.col("total") / F.col("n")).alias("score"), "n")
         .withColumn("branch", F.row_number().over(best))
         .filter(F.col("branch") <= branches)
