@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siteledger.functions.events import FALSY, read_members
 from siteledger.functions.leaf import as_item, kind_of, load, value_text
 from siteledger.functions.plan import settled
 
@@ -101,7 +102,33 @@ def identity_text(canons: pd.Series) -> pd.Series:
 
 def is_truthy(value: Column) -> Column:
     """JavaScript truth of a variant; absent counts as false."""
-    return F.coalesce(~F.to_json(value).isin("null", '""', "0", "false"), F.lit(False))
+    return is_truthy_text(F.to_json(value))
+
+
+def is_truthy_text(json: Column) -> Column:
+    """The same of a value in canonical form."""
+    return F.coalesce(~json.isin(*FALSY), F.lit(False))
+
+
+def is_beyond(canon: Column) -> Column:
+    """Whether an object is too deep or too large for a variant."""
+    return F.coalesce(F.startswith(canon, F.lit("{")) & F.try_parse_json(canon).isNull(), F.lit(False))
+
+
+def beyond_members(canons: Column, *names: str) -> Column:
+    """Per text of an array of canonical texts, the (json, text) of the named members of objects
+    that no variant can hold; NULL for all others. Arrays without such an object, nearly all,
+    are not handed to Python."""
+    texts = F.transform(canons, lambda c: F.when(is_beyond(c), c))
+    some = F.exists(texts, lambda t: t.isNotNull())
+    return read_members(F.when(some, texts), F.array(*map(F.lit, names)))
+
+
+def member_of(canon: Column, name: str) -> Column:
+    """(json, text) of a member of an object in canonical form, of any size and depth."""
+    variant = member(F.try_parse_json(canon), name)
+    plain = F.struct(F.to_json(variant).alias("json"), F.try_variant_get(variant, "$", "string").alias("text"))
+    return F.when(is_beyond(canon), F.get(F.get(beyond_members(F.array(canon), name), F.lit(0)), F.lit(0))).otherwise(plain)
 
 
 def member(variant: Column, name: str, as_type: str = "variant") -> Column:

@@ -470,7 +470,5 @@ def raw_jsonld_blocks(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
 def strip_result_tail(items: Column) -> Column:
     """Drop the last object of a result if it has a truthy `checksum`."""
-    last = F.try_parse_json(F.try_element_at(items, F.lit(-1)))
-    return F.when(
-        J.is_truthy(J.member(last, "checksum")), F.slice(items, F.lit(1), F.size(items) - 1)
-    ).otherwise(items)
+    stated = J.member_of(F.try_element_at(items, F.lit(-1)), "checksum")
+    return F.when(J.is_truthy_text(stated["json"]), F.slice(items, F.lit(1), F.size(items) - 1)).otherwise(items)

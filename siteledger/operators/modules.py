@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from siteledger.functions import json as J
 from siteledger.functions import urls as U
+from siteledger.functions.events import read_index
+from siteledger.functions.plan import settled
 from siteledger.operators.captures import latest
 from siteledger.operators.merkle import merkle_roots
 
@@ -20,28 +22,38 @@ TRUST_NO_MODULES = "No modules found in the site index."
 TRUST_NO_INDEX = "Could not fetch the site index."
 
 
+URL_MEMBERS = ("url", "og:url")
+
+
 # --- site index -----------------------------------------------------------------------
 
 
+#: Characters of an index up to which it is worth parsing as a variant.
+PLAIN_INDEX = 4 << 20
+
+
 def parse_index(index: DataFrame) -> DataFrame:
     """`index(site, raw)` plus `modules` (NULL unless an array) and `merkle_root`.
 
-    A module path that is not text is written as text; a falsy root counts as none."""
-    df = J.with_canonical_json(index, "raw", "_canon")
-    df = df.withColumn("_v", F.try_parse_json("_canon"))
+    A module path that is not text is written as text; a falsy root counts as none. Documents
+    that are too large or too deep for a variant are read value by value."""
+    df = index.withColumn("_plain", F.when(F.length("raw") <= PLAIN_INDEX, F.col("raw")))
+    df = J.with_canonical_json(df, "_plain", "_canon").drop("_plain")
+    df = settled(df.withColumn("_v", F.try_parse_json("_canon")).drop("_canon"), "_v")
+    beyond = F.col("_v").isNull()
+    df = settled(df.withColumn("_read", read_index(F.when(beyond, F.col("raw")))), "_read")
     modules = J.member(F.col("_v"), "modules", "array<variant>")
     root = F.try_variant_get("_v", "$.verification.merkleRoot", "variant")
-    return df.withColumns(
-        {
-            "modules": F.transform(
-                modules, lambda m: F.coalesce(F.try_variant_get(m, "$", "string"), F.lit("null"))
-            ),
-            "version": J.member(F.col("_v"), "version", "string"),
-            "strategy": F.try_variant_get("_v", "$.verification.strategy", "string"),
-            "last_verified": F.try_variant_get("_v", "$.verification.lastVerified", "string"),
-            "merkle_root": F.when(J.is_truthy(root), F.try_variant_get(root, "$", "string")),
-        }
-    ).drop("_canon", "_v")
+    stated = {
+        "modules": F.transform(
+            modules, lambda m: F.coalesce(F.try_variant_get(m, "$", "string"), F.lit("null"))
+        ),
+        "version": J.member(F.col("_v"), "version", "string"),
+        "strategy": F.try_variant_get("_v", "$.verification.strategy", "string"),
+        "last_verified": F.try_variant_get("_v", "$.verification.lastVerified", "string"),
+        "merkle_root": F.when(J.is_truthy(root), F.try_variant_get(root, "$", "string")),
+    }
+    return df.withColumns({c: F.when(beyond, F.col(f"_read.{c}")).otherwise(v) for c, v in stated.items()}).drop("_v", "_read")
 
 
 def site_readiness(index: DataFrame) -> DataFrame:
@@ -73,14 +85,17 @@ def explode_modules(parsed: DataFrame, keep_unresolved: bool = False, max_pages:
 # --- modules ---------------------------------------------------------------------------
 
 
-def _urls(canon: Column) -> Column:
-    """The page URL an object names: `url`, else `og:url`, as JSON text and as string."""
+def _urls(canon: Column, deep: Column) -> Column:
+    """The page URL an object names: `url`, else `og:url`, as JSON text and as string. `deep`
+    has both members of an object that no variant can hold."""
     v = F.try_parse_json(canon)
-    url, og = J.member(v, "url"), J.member(v, "og:url")
-    chosen = F.when(J.is_truthy(url), url).when(J.is_truthy(og), og)
-    return F.struct(
-        F.to_json(chosen).alias("json"), F.try_variant_get(chosen, "$", "string").alias("text")
-    )
+    both = [
+        F.when(deep.isNotNull(), F.get(deep, F.lit(i))).otherwise(
+            F.struct(F.to_json(J.member(v, name)).alias("json"), F.try_variant_get(J.member(v, name), "$", "string").alias("text"))
+        )
+        for i, name in enumerate(URL_MEMBERS)
+    ]
+    return F.when(J.is_truthy_text(both[0]["json"]), both[0]).when(J.is_truthy_text(both[1]["json"]), both[1])
 
 
 def classify_module(modules: DataFrame) -> DataFrame:
@@ -105,18 +120,18 @@ def classify_module(modules: DataFrame) -> DataFrame:
     holder = F.when(F.col("shape") == "tailed", last["canon"]).when(
         F.col("shape") == "object", F.get(items, F.lit(0))["canon"]
     )
-    stated = J.member(F.try_parse_json(holder), "checksum")
+    df = settled(df.withColumn("_stated", J.member_of(holder, "checksum")), "_stated")
     return df.withColumns(
         {
             "json_kind": F.when(kind.isin("invalid"), "string")
             .when(kind == "null", "object")
             .otherwise(kind),
-            "declared_checksum": F.when(J.is_truthy(stated), F.try_variant_get(stated, "$", "string")),
+            "declared_checksum": F.when(J.is_truthy_text(F.col("_stated.json")), F.col("_stated.text")),
             "elements": F.when(F.col("shape") == "tailed", F.slice(items, 1, F.size(items) - 1))
             .when(F.col("shape").isin("array", "object"), items)
             .otherwise(F.array().cast(items_type())),
         }
-    ).drop("_items")
+    ).drop("_items", "_stated")
 
 
 def items_type():
@@ -142,9 +157,11 @@ def read_modules(modules: DataFrame) -> DataFrame:
     before that; all kept objects must name the same page. A module that cannot be used
     has status `error`, keeps no objects and stands for its own URL."""
     df = classify_module(modules)
+    deep = J.beyond_members(F.transform("elements", lambda e: e["canon"]), *URL_MEMBERS)
+    df = settled(df.withColumn("_deep", deep), "_deep")
     df = df.withColumn(
         "_located",
-        F.transform("elements", lambda e: F.struct(e.alias("item"), _urls(e["canon"]).alias("url"))),
+        F.transform("elements", lambda e, i: F.struct(e.alias("item"), _urls(e["canon"], F.get("_deep", i)).alias("url"))),
     )
     kept = F.filter("_located", lambda e: e["url"]["json"].isNotNull())
     df = df.withColumns({"_kept": kept, "_first_url": F.get("_located", F.lit(0))["url"]["text"]})
@@ -192,7 +209,7 @@ def read_modules(modules: DataFrame) -> DataFrame:
         }
     )
     df = df.withColumn("checksum", J.checksum_of("objects"))
-    return df.withColumn("checksum_valid", verify_checksum()).drop("_located", "_kept", "_first_url", "elements")
+    return df.withColumn("checksum_valid", verify_checksum()).drop("_located", "_kept", "_first_url", "_deep", "elements")
 
 
 def verify_checksum(
@@ -236,11 +253,11 @@ def validate_modules(located: DataFrame) -> DataFrame:
     items = F.col("_items.items")
     canons = F.transform(items, lambda i: i["canon"])
     is_list = (F.col("_items.kind") == "array") & (F.size(items) >= 2)
-    stated = J.member(F.try_parse_json(F.try_element_at(canons, F.lit(-1))), "checksum")
+    df = settled(df.withColumn("_stated", J.member_of(F.try_element_at(canons, F.lit(-1)), "checksum")), "_stated")
     df = df.withColumns(
         {
             "_list": F.coalesce(is_list, F.lit(False)),
-            "checksum": F.when(is_list & J.is_truthy(stated), F.try_variant_get(stated, "$", "string")),
+            "checksum": F.when(is_list & J.is_truthy_text(F.col("_stated.json")), F.col("_stated.text")),
             "_canons": canons,
         }
     )
@@ -268,7 +285,7 @@ def validate_modules(located: DataFrame) -> DataFrame:
             "fetched": F.col("checksum").isNotNull(),
             "module": F.when(F.col("checksum").isNotNull(), J.array_text(F.col("_canons"))),
         }
-    ).drop("_items", "_list", "_canons")
+    ).drop("_items", "_list", "_canons", "_stated")
 
 
 def merkle_over_declared(validated: DataFrame) -> DataFrame:

@@ -335,6 +335,52 @@ SELECT 'https://x' || r_regionkey || '.example.com' AS site,
 FROM {region}"""
 
 
+#: Levels that a deep document nests, more than a variant or a recursive parser takes.
+DEEP = 3000
+DEEP_VALUE = f"repeat('[', {DEEP}) || repeat(']', {DEEP})"
+
+
+def deep_index_sql(nation: str) -> str:
+    """Site indexes: with a deep member of no use, one of 17 million characters, members given
+    twice, a deep module path, cut off within a deep member, and with a deep root."""
+    root = '"verification":{{"merkleRoot":{}}}'
+    return f"""
+SELECT 'https://n' || n_nationkey || '.example.com' AS site, n_nationkey AS k,
+  CASE WHEN n_nationkey = 1 THEN '{{"pad":"' || repeat('x', 17000000) || '","modules":["/a","/' || n_name || '"],{root.format('"r"')}}}'
+    WHEN n_nationkey % 6 IN (0, 1) THEN '{{ "extra" : ' || {DEEP_VALUE} || ', "modules": ["/a" , "/' || n_name || '"],"version":"1.0",{root.format('"r"')}}}'
+    WHEN n_nationkey % 6 = 2 THEN '{{"modules":["/old"],"modules":["/é\u00e9","/' || n_name || '"],"extra":' || {DEEP_VALUE} || ',"verification":{{"merkleRoot":"old","merkleRoot":""}}}}'
+    WHEN n_nationkey % 6 = 3 THEN '{{"modules":["/a",' || {DEEP_VALUE} || '],{root.format('0.0')}}}'
+    WHEN n_nationkey % 6 = 4 THEN '{{"modules":["/a"],"extra":' || substr({DEEP_VALUE}, 1, {2 * DEEP} - 1) || '}}'
+    ELSE '{{"modules":["/a","/' || n_name || '"],"verification":{{"strategy":"merkle","merkleRoot":' || {DEEP_VALUE} || '}}}}' END AS raw
+FROM {nation}"""
+
+
+def deep_modules_sql(part: str) -> str:
+    """A module per part, every tenth of them with objects that nest deeply."""
+    deep = f"CASE WHEN p_partkey % 10 = 0 THEN {DEEP_VALUE} ELSE '[]' END"
+    return f"""
+SELECT k, u, CASE k % 4 WHEN 0 THEN '{{"url":"' || u || '","deep":' || d || ',"checksum":"c' || k || '"}}'
+    WHEN 1 THEN '[{{"url":"' || u || '", "deep": ' || d || '}},{{"checksum":"c' || k || '"}}]'
+    WHEN 2 THEN '[{{"og:url":"' || u || '","deep":' || d || ',"url":""}}, {{"deep":' || d || '}}]'
+    ELSE '[{{"url":"' || u || '","deep":' || d || '}},{{"url":"' || u || '/other","deep":' || d || '}}]' END AS raw,
+  CASE k % 4 WHEN 0 THEN '{{"checksum":"c' || k || '","deep":' || d || ',"url":"' || u || '"}}'
+    WHEN 1 THEN '{{"deep":' || d || ',"url":"' || u || '"}}'
+    WHEN 2 THEN '{{"deep":' || d || ',"og:url":"' || u || '","url":""}}' END AS kept
+FROM (SELECT p_partkey AS k, 'https://deep.example.com/p/' || p_partkey AS u, {deep} AS d FROM {part}) x"""
+
+
+@built
+def deep_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(deep_index_sql(_view(spark, sf_dir, "nation")).replace("\\u00e9", "\\\\u00e9"))
+
+
+@built
+def deep_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(site, pos, module_url, raw), as `all_modules`."""
+    facts = spark.sql(deep_modules_sql(_view(spark, sf_dir, "part")))
+    return facts.select(F.lit("https://deep.example.com").alias("site"), F.col("k").alias("pos"), F.concat("u", F.lit(".json")).alias("module_url"), F.concat(F.lit("/p/"), "k", F.lit(".json")).alias("path"), "raw")
+
+
 @built
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(captures_sql(_view(spark, sf_dir, "part"), _view(spark, sf_dir, "pages")))

@@ -429,6 +429,19 @@ FROM (SELECT *, unnest(range(1, len(objs) + 1)) AS i FROM every) x WHERE list_po
     "raw_jsonld_blocks": _sql(r"""
 SELECT page_id, CAST(i AS BIGINT) AS n, h[i] AS raw FROM (SELECT page_id, h, unnest(range(1, len(h) + 1)) AS i FROM (
   SELECT page_id, regexp_extract_all(html, '<script type="application/ld\+json">(.*?)</script>', 1) AS h FROM cap) y) x"""),
+    "site_readiness_of_deep_indexes": f"""
+SELECT 'https://n' || k || '.example.com' AS site, CASE WHEN r = 4 THEN '{MOD.NO_MODULES}' END AS error, CASE WHEN r <> 4 THEN 2 END AS n_modules,
+  md5(CASE WHEN r = 3 THEN {B.DEEP_VALUE} WHEN r <> 4 THEN '/' || n_name END) AS last_module,
+  md5(CASE WHEN r IN (0, 1) THEN 'r' WHEN r = 5 THEN {B.DEEP_VALUE} END) AS merkle_root,
+  CASE WHEN r IN (0, 1) AND k <> 1 THEN '1.0' END AS version, CASE WHEN r = 5 THEN 'merkle' END AS strategy
+FROM (SELECT n_nationkey AS k, n_nationkey % 6 AS r, n_name FROM nation) x""",
+    "module_status_of_deep_modules": f"""
+SELECT k AS pos, CASE WHEN k % 4 = 3 THEN 'error' ELSE 'success' END AS status, CASE WHEN k % 4 = 3 THEN u || '.json' ELSE u END AS page_url,
+  CASE WHEN k % 4 < 2 THEN 'c' || k END AS declared_checksum, CASE WHEN k % 4 = 3 THEN sha256('{{}}') ELSE sha256('{{"0":' || kept || '}}') END AS checksum,
+  CASE WHEN k % 4 = 3 THEN 0 ELSE 1 END AS n_objects FROM ({B.deep_modules_sql("part")}) x""",
+    "split_checksum_of_deep_modules": f"""
+SELECT k AS pos, k % 4 = 1 AS fetched, CASE WHEN k % 4 = 1 THEN 'c' || k END AS checksum,
+  CASE WHEN k % 4 = 1 THEN sha256('{{"0":' || kept || '}}') END AS calculated_checksum FROM ({B.deep_modules_sql("part")}) x""",
     "latest_capture": _sql("""
 SELECT page_id, url, captured_at, capture_id, md5(html) AS digest FROM (
   SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY captured_at DESC NULLS LAST, capture_id DESC) AS n FROM again) x WHERE n = 1"""),

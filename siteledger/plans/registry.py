@@ -540,6 +540,28 @@ def site_readiness(spark, sf):
     return MOD.site_readiness(B.site_index(spark, sf)).select("site", "error")
 
 
+@query
+def site_readiness_of_deep_indexes(spark, sf):
+    """Indexes that no variant can hold: their members, and the last module each lists."""
+    ready = MOD.site_readiness(B.deep_index(spark, sf))
+    return ready.select(
+        "site", "error", F.when(F.col("modules").isNotNull(), F.size("modules")).cast("bigint").alias("n_modules"),
+        F.md5(F.element_at("modules", -1)).alias("last_module"), F.md5("merkle_root").alias("merkle_root"), "version", "strategy",
+    )
+
+
+@query
+def module_status_of_deep_modules(spark, sf):
+    read = MOD.read_modules(B.deep_modules(spark, sf))
+    return read.select("pos", "status", "page_url", "declared_checksum", "checksum", F.size("objects").cast("bigint").alias("n_objects"))
+
+
+@query
+def split_checksum_of_deep_modules(spark, sf):
+    """The trust rule where the closing object may be too deep for a variant."""
+    return MOD.validate_modules(B.deep_modules(spark, sf)).select("pos", "fetched", "checksum", "calculated_checksum")
+
+
 @query
 def explode_modules(spark, sf):
     return MOD.explode_modules(MOD.parse_index(B.site_index(spark, sf))).withColumn("pos", F.col("pos").cast("bigint"))

@@ -12,7 +12,7 @@ from siteledger.plans.oracles import ORACLES
 from siteledger.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region part pages events".split()
+TABLES = "region nation part pages events".split()
 QUICK = [
     "load_pages", "strip_field", "validate_url", "resolve_url", "sitemap_locs", "first_n_urls", "limit_pages",
     "microdata_value", "rdfa_own_property", "extract_page", "canonical_json", "module_checksum", "merkle_root",
