@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from html.entities import html5
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -93,46 +95,70 @@ def _attribute_text(value: str) -> str:
 class _Open:
     """An open element."""
 
-    __slots__ = ("row", "tag", "text_from", "wants_text", "scope", "vocab", "typed")
+    __slots__ = ("number", "row", "tag", "text_from", "wants_text", "scope", "vocab", "typed")
 
-    def __init__(self, row, tag, text_from, wants_text, scope, vocab, typed):
-        self.row, self.tag, self.text_from, self.wants_text = row, tag, text_from, wants_text
+    def __init__(self, number, row, tag, text_from, wants_text, scope, vocab, typed):
+        self.number, self.row, self.tag = number, row, tag
+        self.text_from, self.wants_text = text_from, wants_text
+        # `typed` is a chain: the element's own `typeof`, or the nearest above, then the next.
         self.scope, self.vocab, self.typed = scope, vocab, typed
 
 
 def elements_of(source: str, keep: str) -> list[dict]:
     """Rows of one page in document order; `keep` is `marked`, `scripts`, `links`
     or `all`."""
-    rows: list[dict] = []
+    return sorted(closed_elements(source, keep), key=lambda row: row["elem_id"])
+
+
+def closed_elements(source: str, keep: str) -> Iterator[dict]:
+    """The rows of `elements_of` as soon as they are complete, which is when an element ends.
+
+    Apart from the texts it gives out, time and memory are in proportion to the page: a text
+    that was put together stays in one part, and open elements are found by tag."""
+    complete: list[dict] = []
     chunks: list[str] = []
     stack: list[_Open] = []
+    open_at: dict[str, list[int]] = {}
     seen_ids: set[str] = set()
     count = 0
     foreign = 0
     links_only = keep == "links"
 
+    def finish(entry: _Open, innermost: bool):
+        open_at[entry.tag].remove(entry.number) if not innermost else open_at[entry.tag].pop()
+        if not open_at[entry.tag]:
+            del open_at[entry.tag]
+        if entry.row is not None:
+            entry.row["end_id"] = count
+            if entry.wants_text:
+                entry.row["text"] = "".join(chunks[entry.text_from :])
+                if innermost:
+                    # All that are still open began before it: to them, this is one part.
+                    chunks[entry.text_from :] = [entry.row["text"]]
+            complete.append(entry.row)
+
     def pop():
         nonlocal foreign
         entry = stack.pop()
         if entry.tag in ("svg", "math"):
             foreign -= 1
-        if entry.row is not None:
-            entry.row["end_id"] = count
-            if entry.wants_text:
-                entry.row["text"] = "".join(chunks[entry.text_from :])
+        finish(entry, True)
 
     def close_through(index: int):
         while len(stack) > index:
             pop()
 
+    def last_open(tags) -> int:
+        """The number of the innermost open element with one of these tags, -1 if none is open."""
+        if len(tags) < len(open_at):
+            return max((open_at[t][-1] for t in tags if t in open_at), default=-1)
+        return max((numbers[-1] for t, numbers in open_at.items() if t in tags), default=-1)
+
     def find_open(tags, limits) -> int:
-        for i in range(len(stack) - 1, -1, -1):
-            tag = stack[i].tag
-            if tag in tags:
-                return i
-            if tag in limits:
-                return -1
-        return -1
+        found = last_open(tags)
+        if found < 0 or found < last_open(limits):
+            return -1
+        return bisect_left(stack, found, key=lambda entry: entry.number)
 
     def close_if_open(tags, limits):
         i = find_open(tags, limits)
@@ -175,12 +201,8 @@ def elements_of(source: str, keep: str) -> list[dict]:
             i = find_open((tag,), SCOPE_LIMIT)
             if i < 0:
                 return
-            if any(entry.tag in SPECIAL for entry in stack[i + 1 :]):
-                entry = stack[i]
-                if entry.row is not None:
-                    entry.row["end_id"] = count
-                    if entry.wants_text:
-                        entry.row["text"] = "".join(chunks[entry.text_from :])
+            if last_open(SPECIAL) > stack[i].number:
+                finish(stack[i], False)
                 del stack[i]
             else:
                 close_through(i)
@@ -200,6 +222,9 @@ def elements_of(source: str, keep: str) -> list[dict]:
 
     pos, size = 0, len(source)
     while pos < size:
+        if complete:
+            yield from complete
+            complete.clear()
         m = _TAG.search(source, pos)
         if m is None:
             chunks.append(html.unescape(source[pos:]))
@@ -250,7 +275,7 @@ def elements_of(source: str, keep: str) -> list[dict]:
         elem_id = count
         scope = elem_id if "itemscope" in attrs else (parent.scope if parent else None)
         vocab = attrs.get("vocab") or (parent.vocab if parent else None)
-        above = parent.typed if parent else ()
+        above = parent.typed if parent else None
         has_id = attrs.get("id")
         id_first = bool(has_id) and has_id not in seen_ids
         if id_first:
@@ -282,10 +307,9 @@ def elements_of(source: str, keep: str) -> list[dict]:
                 "raw": None,
                 "scope_id": scope,
                 "vocab": vocab,
-                "typed_ids": list(above) if "property" in attrs else None,
+                "typed_ids": _chained(above) if "property" in attrs else None,
                 "id_first": id_first,
             }
-            rows.append(row)
         wants_text = (
             row is not None
             and not links_only
@@ -299,9 +323,12 @@ def elements_of(source: str, keep: str) -> list[dict]:
         if tag in VOID or (self_closed and foreign):
             if wants_text:
                 row["text"] = ""
+            if row is not None:
+                complete.append(row)
             continue
-        typed = above + (elem_id,) if "typeof" in attrs else above
-        stack.append(_Open(row, tag, len(chunks), wants_text, scope, vocab, typed))
+        typed = (elem_id, above) if "typeof" in attrs else above
+        stack.append(_Open(elem_id, row, tag, len(chunks), wants_text, scope, vocab, typed))
+        open_at.setdefault(tag, []).append(elem_id)
         if tag in ("svg", "math"):
             foreign += 1
         if tag in _RAW_END:
@@ -320,8 +347,20 @@ def elements_of(source: str, keep: str) -> list[dict]:
         elif tag == "plaintext":
             chunks.append(source[pos:])
             break
-    close_through(0)
-    return rows
+    while stack:
+        yield from complete
+        complete.clear()
+        pop()
+    yield from complete
+
+
+def _chained(typed: tuple | None) -> list[int]:
+    """The elements of a chain, outermost first."""
+    out = []
+    while typed is not None:
+        number, typed = typed
+        out.append(number)
+    return out[::-1]
 
 
 def html_elements(
@@ -376,7 +415,7 @@ def html_elements(
             for i, page in enumerate(batch.column("html")):
                 text = page.as_py()
                 document = {"elem_id": 0, "depth": -1, "tag": "#document"}
-                for row in (document, *(elements_of(text, keep) if text else ())):
+                for row in chain((document,), closed_elements(text, keep) if text else ()):
                     for c in (key, *also):
                         columns[c].append(given[c][i])
                     for name in names:
@@ -384,11 +423,11 @@ def html_elements(
                     for c in carry:
                         columns[c].append(given[c][i] if everywhere or row is document else None)
                     held += len(row.get("raw") or "") + len(row.get("text") or "") + 100
-                if held > 4_000_000:
-                    yield flush()
-                    held = 0
-                    for values in columns.values():
-                        values.clear()
+                    if held > 4_000_000:
+                        yield flush()
+                        held = 0
+                        for values in columns.values():
+                            values.clear()
             if columns[key]:
                 yield flush()
 

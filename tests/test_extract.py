@@ -1,9 +1,10 @@
 import json
+import time
 
 from pyspark.sql import functions as F
 
 from siteledger.operators import extract as X
-from siteledger.operators.html import elements_of, html_elements
+from siteledger.operators.html import closed_elements, elements_of, html_elements
 
 CTX = '"@context":"https://schema.org"'
 PAGES = {
@@ -102,3 +103,24 @@ def test_nesting_of_any_depth(spark):
         inner = "[" * depth + "]" * depth
         want = f'"@type":"A","o":{{"x":1}},"v":{inner}' if n % 2 == 0 else f'"@type":"B","v":{{"w":{inner}}}'
         assert row.objects == [f"{{{CTX},{want}}}"], n
+
+
+def test_unclosed_elements_take_no_more_than_their_texts():
+    n = 20_000
+    rows, size = 0, 0
+    for row in closed_elements("<span itemprop=x>ab" * n, "marked"):
+        # Rows come one by one: the innermost first, each with the text from it to the end.
+        rows += 1
+        size += len(row["text"])
+        assert row["elem_id"] == n + 1 - rows and len(row["text"]) == 2 * rows
+    assert rows == n and size == n * (n + 1)
+    start = time.process_time()
+    deep = sum(1 for _ in closed_elements("<i typeof=T>" * n + "<div><li></b>" * n + "</i>" * n, "marked"))
+    assert deep == n and time.process_time() - start < 20
+
+
+def test_rows_are_given_when_their_element_ends():
+    rows = closed_elements("<p itemprop=a>one<p itemprop=b>two<b itemprop=c>x<div itemprop=d>y</b>z</div>" + "<br>" * 5, "marked")
+    assert [(r["elem_id"], r["text"]) for r in rows] == [(1, "one"), (3, "x"), (2, "twox"), (4, "yz")]
+    nested = "<b typeof=A><u typeof=B><i property=p>t</i></u><i property=q>t</i></b>"
+    assert [r["typed_ids"] for r in elements_of(nested, "marked") if r["typed_ids"] is not None] == [[1, 2], [1]]
