@@ -12,8 +12,6 @@ automaton over the words of its own passages, and all its documents are streamed
 
 from __future__ import annotations
 
-import re
-
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -22,8 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from siteledger.functions.names import free
 from siteledger.llm.common import Workspace
-from siteledger.llm.words import grams, pieces, range_hashes
+from siteledger.llm.words import Ranges, grams, pieces, range_hashes
 
 WINDOW_WORDS = 20
 ANCHOR_WORDS = 6
@@ -33,7 +32,6 @@ SHARD_BYTES = 4 << 20
 
 #: The place of rows without doc_id: after all others.
 _LAST = (1 << 63) - 1
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def _leftmost_minima(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -89,152 +87,216 @@ def spans_of(texts: pa.Array, width: int, anchor: int):
 
 
 def _spans(width: int, anchor: int):
-    names = ["shard", "doc_id", "start", "len", "times", "anchor", "span"]
+    keys = ["shard", "row", "doc_id"]
 
     def run(batches):
         for batch in batches:
-            shard, ids = batch.column("shard"), batch.column("doc_id")
             for row, *values in spans_of(batch.column("text"), width, anchor):
                 rows = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [shard.take(rows), ids.take(rows), *map(pa.array, values)],
-                    names=names,
+                    [*(batch.column(k).take(rows) for k in keys), *map(pa.array, values)],
+                    names=[*keys, "start", "len", "times", "anchor", "span"],
                 )
 
     return run
 
 
 def _windows(width: int):
-    """The windows of the spans listed in `places` of each row, by hash."""
-    names = ["anchor", "window", "shard", "doc_id", "start"]
+    """The windows of the spans listed in `places` of each row, by hash. A place whose span does
+    not stand in the row belongs to another row with the same key."""
+    keys = ["shard", "row", "doc_id"]
 
     def run(batches):
         for batch in batches:
             places = batch.column("places")
             bounds = places.offsets.to_numpy()
-            anchors, starts, lengths = (places.values.field(f).to_numpy() for f in ("anchor", "start", "len"))
+            anchors, starts, lengths, checks = (places.values.field(f).to_numpy() for f in ("anchor", "start", "len", "span"))
             for piece in pieces(batch.column("text")):
-                runs = grams(piece.word_hashes(), width)
+                hashes = piece.word_hashes()
+                runs = grams(hashes, width)
                 a, b = bounds[piece.first], bounds[piece.last]
                 owner = np.repeat(np.arange(piece.last - piece.first), np.diff(bounds[piece.first : piece.last + 1]))
-                counts = lengths[a:b] - width + 1
+                begin = piece.words[owner] + starts[a:b]
+                fits = begin + lengths[a:b] <= piece.words[owner + 1]
+                fits[fits] = range_hashes(hashes, begin[fits], (begin + lengths[a:b])[fits]).view(np.int64) == checks[a:b][fits]
+                counts = np.where(fits, lengths[a:b] - width + 1, 0)
                 span = np.repeat(np.arange(b - a), counts)
                 inner = np.arange(len(span)) - np.repeat(np.cumsum(counts) - counts, counts)
-                start = starts[a:b][span] + inner
                 rows = pa.array(piece.first + owner[span])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(anchors[a:b][span]),
-                        pa.array(runs[piece.words[owner[span]] + start].view(np.int64)),
-                        batch.column("shard").take(rows),
-                        batch.column("doc_id").take(rows),
-                        pa.array(start.astype(np.int32)),
+                        pa.array(runs[begin[span] + inner].view(np.int64)),
+                        *(batch.column(k).take(rows) for k in keys),
+                        pa.array((starts[a:b][span] + inner).astype(np.int32)),
                     ],
-                    names=names,
+                    names=["anchor", "window", *keys, "start"],
                 )
 
     return run
 
 
-def automaton(passages):
-    """(automaton, codes) over words: `passages` are (words, first place). Each word is one
-    character of the automaton's alphabet; equal passages keep their earliest place."""
-    codes: dict[str, str] = {}
-    firsts: dict[str, tuple] = {}
-    for words, first in passages:
-        # From 1 up, past the surrogates; 0 stands for words in no passage.
-        key = "".join(codes.setdefault(w, chr(len(codes) + 1 + 2048 * (len(codes) + 1 >= 0xD800))) for w in words)
-        firsts[key] = min(first, firsts.get(key, first))
-    found = ahocorasick.Automaton()
-    for key, first in firsts.items():
-        found.add_word(key, (len(key), first))
+#: Characters a word is spelled with. A node of the automaton looks through its branches one by
+#: one, so the alphabet is kept to a root of the number of words.
+SPELLED = 2
+
+
+def spelled(codes: np.ndarray) -> str:
+    """Words as SPELLED characters each. `codes` are numbers of words, -1 stands for a word of no
+    passage or the end of a row. The characters of each place in a word are its own, so no match
+    begins inside one."""
+    base = max(1, int(np.ceil((int(codes.max(initial=0)) + 1) ** (1 / SPELLED))))
+    out = np.zeros((len(codes), SPELLED), "<u4")
+    words, rest = codes >= 0, codes[codes >= 0]
+    for place in range(SPELLED):
+        at = 1 + place * base + rest % base
+        # Past the surrogates.
+        out[words, place] = np.where(at < 0xD800, at, at + 0x800)
+        rest = rest // base
+    return out.tobytes().decode("utf-32-le")
+
+
+def occurrences(codes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(end, passage) of every place in the words `codes` where a passage stands. Passage k is the
+    `size[k]` words from `begin[k]`; an automaton of all of them reads the words once."""
+    inside = np.zeros(len(codes) + 1, np.int64)
+    np.add.at(inside, begin, 1)
+    np.add.at(inside, begin + size, -1)
+    # Only the words of passages are told apart.
+    known = np.unique(codes[np.cumsum(inside)[:-1] > 0])
+    at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+    text = spelled(np.where(known[at] == codes, at, -1))
+    found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for k, (a, b) in enumerate(zip((begin * SPELLED).tolist(), ((begin + size) * SPELLED).tolist())):
+        found.add_word(text[a:b], k)
     found.make_automaton()
-    return found, codes
+    pairs = np.array(list(found.iter(text)), np.int64).reshape(-1, 2)
+    return (pairs[:, 0] + 1) // SPELLED, pairs[:, 1]
+
 
+def _places_of(keys: np.ndarray, first: np.ndarray, hashes: np.ndarray, listed: pa.Table):
+    """Where the listed passages stand in the words of a shard: (begin, size, index in the list).
 
-def _remove(schema: pa.Schema, others: list[str]):
+    A passage is in a row of its key; of rows that share a key, in one where its hash is found."""
+    key, start, size, check = (listed.column(c).to_numpy() for c in ("row", "start", "len", "check"))
+    ranges = Ranges(hashes)
+    order = np.argsort(keys, kind="stable")
+    at = np.searchsorted(keys[order], key)
+    begin, open_ones = np.full(len(key), -1), np.arange(len(key))
+    while len(open_ones):
+        inside = at[open_ones] < len(order)
+        inside[inside] = keys[order[at[open_ones[inside]]]] == key[open_ones[inside]]
+        open_ones = open_ones[inside]
+        row = order[at[open_ones]]
+        a = first[row] + start[open_ones]
+        b = a + size[open_ones]
+        fits = b <= first[row + 1]
+        fits[fits] = ranges.of(a[fits], b[fits]).view(np.int64) == check[open_ones[fits]]
+        begin[open_ones[fits]] = a[fits]
+        open_ones = open_ones[~fits]
+        at[open_ones] += 1
+    known = np.nonzero(begin >= 0)[0]
+    return begin[known], size[known].astype(np.int64), known
+
+
+def _joined(piece, stay: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and row bounds of the words that stay, joined by one space."""
+    start, end, doc = piece.start[stay], piece.end[stay], piece.doc[stay]
+    size = end - start + 1
+    stop = np.cumsum(size)
+    last = np.ones(len(doc), bool)
+    last[:-1] = doc[1:] != doc[:-1]
+    out = np.empty(int(stop[-1]) if len(stop) else 0, np.uint8)
+    for a in range(0, len(start), 1 << 18):
+        b = min(a + (1 << 18), len(start))
+        base = int(stop[a] - size[a])
+        n = int(stop[b - 1]) - base
+        from_ = np.repeat(start[a:b] - (stop[a:b] - size[a:b] - base), size[a:b]) + np.arange(n)
+        out[base : base + n] = piece.data[np.minimum(from_, len(piece.data) - 1)]
+    out[stop - 1] = 0x20
+    keep = np.ones(len(out), bool)
+    keep[stop[last] - 1] = False
+    sizes = np.bincount(doc, size - last, piece.last - piece.first).astype(np.int64)
+    return out[keep], sizes
+
+
+def _remove(schema: pa.Schema, others: list[str], doc: str, row: str):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = [_LAST if i is None else i for i in left.column("_doc").to_pylist()]
-        texts = [_WORD.findall(t or "") for t in left.column("text").to_pylist()]
-        found, codes = None, {}
-        if right.num_rows:
-            by_place = {}
-            for row, i in enumerate(ids):
-                by_place.setdefault(i, []).append(row)
-            passages = []
-            for doc, start, n, first_doc, first_start, check in zip(*(right.column(c).to_pylist() for c in ("doc_id", "start", "len", "first_doc", "first_start", "check"))):
-                for row in by_place.get(doc, ()):
-                    words = texts[row][start : start + n]
-                    # Rows may repeat a doc_id: the passage is that of the row it was found in.
-                    if len(words) == n and (len(by_place[doc]) == 1 or _check(words) == check):
-                        passages.append((words, (first_doc, first_start)))
-                        break
-            if passages:
-                found, codes = automaton(passages)
-        kept, removed = [], []
-        for doc, words in zip(ids, texts):
-            gone = 0
-            if found is not None and words:
-                edge = None
-                for last, (n, (first_doc, first_start)) in found.iter("".join([codes.get(w, "\0") for w in words])):
-                    start = last - n + 1
-                    if first_doc < doc or (first_doc == doc and first_start < start):
-                        if edge is None:
-                            edge = np.zeros(len(words) + 1, np.int32)
-                        edge[start] += 1
-                        edge[last + 1] -= 1
-                if edge is not None:
-                    covered = np.cumsum(edge[:-1]) > 0
-                    gone = int(covered.sum())
-                    words = [w for w, c in zip(words, covered) if not c]
-            kept.append(" ".join(words))
-            removed.append(gone)
-        counts = [len(w) for w in texts]
+        ids = left.column(doc).fill_null(_LAST).to_numpy()
+        parts = list(pieces(left.column("text").combine_chunks()))
+        counts = np.concatenate([np.diff(p.words) for p in parts] or [np.zeros(0, np.int64)])
+        first = np.concatenate([[0], np.cumsum(counts)])
+        gone = np.zeros(first[-1], bool)
+        if right.num_rows and first[-1]:
+            hashes = np.concatenate([p.word_hashes() for p in parts])
+            right = right.combine_chunks()
+            begin, size, k = _places_of(left.column(row).to_numpy(), first, hashes, right)
+            first_doc, first_start, check = (right.column(c).to_numpy()[k] for c in ("first_doc", "first_start", "check"))
+            # Equal passages keep their earliest place.
+            order = np.lexsort((first_start, first_doc, size, check))
+            new = np.ones(len(order), bool)
+            new[1:] = (np.diff(check[order]) != 0) | (np.diff(size[order]) != 0)
+            begin, size, first_doc, first_start = (x[order[new]] for x in (begin, size, first_doc, first_start))
+            # A row end stands after each row, so word w of row r is at w + r.
+            owner = np.repeat(np.arange(len(counts)), counts)
+            codes = np.full(first[-1] + len(counts), -1)
+            codes[np.arange(first[-1]) + owner] = np.unique(hashes, return_inverse=True)[1]
+            end, which = occurrences(codes, begin + owner[begin], size) if len(begin) else (begin, begin)
+            start = end - size[which]
+            at = np.searchsorted(first + np.arange(len(first)), start, "right") - 1
+            inner = start - first[at] - at
+            earlier = (first_doc[which] < ids[at]) | ((first_doc[which] == ids[at]) & (first_start[which] < inner))
+            edge = np.bincount(start[earlier], minlength=len(codes) + 1) - np.bincount(end[earlier], minlength=len(codes) + 1)
+            gone = (np.cumsum(edge)[:-1] > 0)[codes >= 0]
+        removed = np.bincount(np.repeat(np.arange(len(counts)), counts), gone, len(counts)).astype(np.int64)
+        kept, done = [], 0
+        for p in parts:
+            data, sizes = _joined(p, np.nonzero(~gone[done : done + len(p.start)])[0])
+            done += len(p.start)
+            bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            kept.append(pa.StringArray.from_buffers(len(sizes), pa.py_buffer(bounds), pa.py_buffer(data)))
         columns = [left.column(c) for c in others]
         return pa.Table.from_arrays(
-            [*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, schema.field("kept").type)],
+            [*columns, pa.array(counts, pa.int64()), pa.array(removed), pa.chunked_array(kept, pa.string()).cast(schema.field("kept").type)],
             schema=schema,
         )
 
     return run
 
 
-def _check(words: list[str]) -> int:
-    """The hash by which a passage was confirmed."""
-    text = pa.array([" ".join(words)])
-    piece = next(iter(pieces(text)))
-    return int(range_hashes(piece.word_hashes(), np.array([0]), np.array([len(words)])).view(np.int64)[0])
-
-
 def remove_repeats(
     docs: DataFrame, width: int = WINDOW_WORDS, anchor: int = ANCHOR_WORDS, shard_bytes: int = SHARD_BYTES
 ) -> DataFrame:
     """`docs` with n_words, n_removed and kept (the words that stay, joined by one space).
 
     A word goes if a window of `width` words covers it whose word sequence also starts
-    earlier: in a row with a smaller doc_id, or in the same row further left. Windows are
+    earlier: at a smaller doc_id, or at the same doc_id and a smaller place. Windows are
     judged on the texts as given. Null and empty texts have no words and keep "". Texts
-    shorter than a window keep all words. Rows with the same doc_id and the same text are
-    alike, neither is earlier; rows without doc_id come after all others. Other columns
-    pass through; columns named like a result are replaced.
+    shorter than a window keep all words. Rows that repeat a doc_id are places of one document,
+    whether their texts are alike or not, and so are rows without doc_id, which come after all
+    others; windows at equal places leave each other alone. Other columns pass through; columns
+    named like a result are replaced.
     """
     spark = docs.sparkSession
     work = Workspace(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-    shard = F.pmod(F.xxhash64(doc), F.lit(shards)).cast("int")
-    texts = docs.select(shard.alias("shard"), doc.alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    # Rows are told apart by their text as well, as they may repeat a doc_id or have none.
+    row = F.xxhash64(doc, text)
+    shard = F.pmod(row, F.lit(shards)).cast("int")
+    texts = docs.select(shard.alias("shard"), row.alias("row"), doc.alias("doc_id"), text.alias("text"))
     spans = work.keep(
         "spans",
         texts.mapInArrow(
-            _spans(width, anchor), "shard int, doc_id long, start int, len int, times int, anchor long, span long"
+            _spans(width, anchor), "shard int, row long, doc_id long, start int, len int, times int, anchor long, span long"
         ),
     )
     anchors = spans.groupBy("anchor").agg(F.sum("times").alias("n")).filter("n > 1").select("anchor")
     recurring = work.keep("recurring", spans.join(anchors, "anchor"))
     work.drop(["spans"])
-    place = F.struct("doc_id", "start")
+    place = F.struct("doc_id", "start", "row")
     firsts = work.keep(
         "firsts",
         recurring.groupBy("anchor", "span").agg(
@@ -246,21 +308,21 @@ def remove_repeats(
         recurring.join(firsts.filter("n > 1").select("anchor", "span", "first"), ["anchor", "span"])
         .filter(again)
         .groupBy("shard", "anchor", "span")
-        .agg(F.min(F.struct("doc_id", "start", "len")).alias("here"), F.first("first").alias("first"))
+        .agg(F.min(F.struct("row", "start", "len")).alias("here"), F.first("first").alias("first"))
         .select("shard", "here.*", "first", F.col("span").alias("check"))
     )
     # Different spans with one anchor may still share windows.
     several = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("anchor")
     places = (
         firsts.join(several, "anchor")
-        .groupBy(F.col("first.doc_id").alias("doc_id"))
-        .agg(F.collect_list(F.struct("anchor", F.col("first.start").alias("start"), "len")).alias("places"))
+        .groupBy(F.col("first.row").alias("row"))
+        .agg(F.collect_list(F.struct("anchor", F.col("first.start").alias("start"), "len", "span")).alias("places"))
     )
     windows = work.keep(
         "windows",
-        texts.join(places, "doc_id")
-        .select("shard", "doc_id", "text", "places")
-        .mapInArrow(_windows(width), "anchor long, window long, shard int, doc_id long, start int"),
+        texts.join(places, "row")
+        .select("shard", "row", "doc_id", "text", "places")
+        .mapInArrow(_windows(width), "anchor long, window long, shard int, row long, doc_id long, start int"),
     )
     earliest = (
         windows.groupBy("anchor", "window")
@@ -272,18 +334,19 @@ def remove_repeats(
         windows.join(earliest, ["anchor", "window"])
         .filter("doc_id <> first.doc_id OR start <> first.start")
         .groupBy("shard", "anchor", "window")
-        .agg(F.min(place).alias("here"), F.first("first").alias("first"))
+        .agg(F.min(F.struct("row", "start")).alias("here"), F.first("first").alias("first"))
         .select("shard", "here.*", F.lit(width).alias("len"), "first", F.col("window").alias("check"))
     )
     matches = work.keep(
         "matches",
         of_spans.unionByName(of_windows).select(
-            "shard", "doc_id", "start", "len", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"), "check"
+            "shard", "row", "start", "len", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"), "check"
         ),
     )
     work.drop(["recurring", "firsts", "windows"])
-    others = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
-    left = docs.select(*others, shard.alias("_shard"), F.col("doc_id").cast("long").alias("_doc"))
+    others = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed", "kept")]
+    names = [free(others, n) for n in ("_shard", "_doc", "_row")]
+    left = docs.select(*others, shard.alias(names[0]), F.col("doc_id").cast("long").alias(names[1]), row.alias(names[2]))
     shape = T.StructType(
         [
             *(docs.schema[c] for c in others),
@@ -294,7 +357,7 @@ def remove_repeats(
     )
     schema = to_arrow_schema(shape)
     return (
-        left.groupBy("_shard")
-        .cogroup(matches.withColumnRenamed("shard", "_shard").groupBy("_shard"))
-        .applyInArrow(_remove(schema, others), shape)
+        left.groupBy(names[0])
+        .cogroup(matches.withColumnRenamed("shard", names[0]).groupBy(names[0]))
+        .applyInArrow(_remove(schema, others, *names[1:]), shape)
     )
