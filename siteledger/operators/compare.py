@@ -12,6 +12,7 @@ from siteledger.operators.merkle import merkle_roots
 # Outcome texts.
 SHALLOW_NOTE = "This is a shallow diff. For deep diffs, use a JSON diff tool."
 ALL_MATCH = "All schemas match."
+PAGE_UNREADABLE = "Page could not be read."
 SOME_DIFFER = "Some schemas do not match."
 
 EMPTY_CHECKSUM_INPUT = "{}"
@@ -75,9 +76,22 @@ def pair_pages(declared: DataFrame, extracted: DataFrame, heavy: int = HEAVY_PAG
         "checksum_valid",
         (F.col("status") == "success").alias("declared_ok"),
         F.coalesce("extracted_ok", F.lit(False)).alias("extracted_ok"),
+        "module_url",
+        "error",
     )
 
 
+def errors_found(pages: DataFrame) -> DataFrame:
+    """Error log rows (site, side, url, error, time_ms, seq) for what the comparison met: modules
+    that cannot be used, and pages that were not captured or could not be read. They have no
+    time; seq is the module's position."""
+    module = F.when(F.col("error").isNotNull(), F.struct(F.lit("declared").alias("side"), F.col("module_url").alias("url"), "error"))
+    unread = F.col("page_url").isNotNull() & ~F.col("extracted_ok")
+    page = F.when(unread, F.struct(F.lit("extracted").alias("side"), F.col("page_url").alias("url"), F.lit(PAGE_UNREADABLE).alias("error")))
+    rows = pages.select("site", F.col("pos").cast("bigint").alias("seq"), F.inline(F.array_compact(F.array(module, page))))
+    return rows.select("site", "side", "url", "error", F.lit(None).cast("bigint").alias("time_ms"), "seq")
+
+
 def objects_equal(declared: Column, extracted: Column) -> Column:
     """Same objects in the same order; the order of keys is not compared."""
     return J.array_text(declared) == J.array_text(extracted)

@@ -8,6 +8,7 @@ on one row per distinct time, in time slices.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -162,41 +163,61 @@ def metrics_summary(
     by: Sequence[str] = BY,
 ) -> DataFrame:
     """One nested row per group of any of the inputs, of which at least one must be given.
-    The crawl runs from its first to its last sample."""
-    by = list(by)
-    given = next(df for df in (log, errors, samples) if df is not None)
-
-    def or_empty(df: DataFrame | None, columns: str) -> DataFrame:
-        none = [F.lit(None).cast("bigint").alias(c) for c in columns.split()]
-        return given.select(*by, *none).filter(F.lit(False)) if df is None else df
+    The crawl runs from its first to its last sample.
 
-    log = or_empty(log, "start_ms end_ms bytes_down bytes_up status")
-    errors = or_empty(errors, "")
-    samples = or_empty(samples, "ts_ms seq rss cpu_user cpu_system disk_bytes")
-    totals = log.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("requests"),
-        F.sum(F.coalesce("bytes_down", F.lit(0))).alias("bytes_downloaded"),
-        F.sum(F.coalesce("bytes_up", F.lit(0))).alias("bytes_uploaded"),
-        F.avg(F.col("end_ms") - F.col("start_ms")).alias("avg_request_ms"),
-    )
-    resources = samples.groupBy(*by).agg(
-        F.min("ts_ms").alias("start_ms"),
-        F.max("ts_ms").alias("end_ms"),
+    The inputs are read as one table with a column per measure, and all but the concurrency
+    peak comes from one aggregation of it: first per status code, whose few rows are then merged
+    per group, the codes into a map."""
+    by = list(by)
+    measures = {
+        "code": "string", "requests": "int", "errors": "int", "down": "bigint", "up": "bigint", "took": "bigint", "disk": "bigint", "ts_ms": "bigint",
+        "sample": "struct<ts_ms:bigint,seq:bigint,rss:bigint,cpu_user:bigint,cpu_system:bigint>",
+    }
+
+    def rows(df: DataFrame, **given: Column) -> DataFrame:
+        return df.select(*by, *(given.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in measures.items()))
+
+    parts = []
+    if log is not None:
+        took = F.col("end_ms") - F.col("start_ms")
+        code = F.coalesce(F.col("status").cast("string"), F.lit("undefined"))
+        parts.append(rows(log, code=code, requests=F.lit(1), down=F.col("bytes_down"), up=F.col("bytes_up"), took=took))
+    if errors is not None:
+        parts.append(rows(errors, errors=F.lit(1)))
+    if samples is not None:
+        sample = F.struct("ts_ms", "seq", "rss", "cpu_user", "cpu_system")
+        parts.append(rows(samples, disk=F.coalesce("disk_bytes", F.lit(0)), ts_ms=F.col("ts_ms"), sample=sample))
+    every = reduce(DataFrame.unionByName, parts)
+
+    sums, resources = ("requests", "errors", "down", "up", "took", "disk"), ("rss", "cpu_user", "cpu_system")
+    edges = (("from", F.min), ("to", F.max))
+    known = F.col("sample").isNotNull()
+    per_code = every.groupBy(*by, "code").agg(
+        *[F.sum(c).alias(c) for c in sums], F.count("took").alias("n_took"), F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"), F.max("sample.rss").alias("peak_rss"),
         *[
-            (_at(F.max, c) - F.coalesce(_at(F.min, c), F.lit(0))).alias(f"{c}_micros")
-            for c in ("cpu_user", "cpu_system")
+            fn(F.when(known, F.struct("sample.ts_ms", "sample.seq", f"sample.{c}"))).alias(f"{edge}_{c}")
+            for edge, fn in edges for c in resources
         ],
-        _at(F.min, "rss").alias("start_rss"),
-        _at(F.max, "rss").alias("end_rss"),
-        F.max("rss").alias("peak_rss"),
-        F.sum(F.coalesce("disk_bytes", F.lit(0))).alias("disk_bytes"),
-    )
-    df = (
-        resources.join(totals, by, "full")
-        .join(status_histogram(log, by), by, "left")
-        .join(error_summary(errors, by), by, "full")
-        .join(max_concurrency(log, by), by, "left")
-    )
+    )
+    codes = F.sort_array(F.collect_list(F.when(F.col("code").isNotNull(), F.struct("code", F.col("requests").alias("n")))))
+    merged = per_code.groupBy(*by).agg(
+        F.map_from_entries(codes).alias("status_codes"), *[F.sum(c).alias(c) for c in (*sums, "n_took")],
+        F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.max("peak_rss").alias("peak_rss"),
+        *[fn(f"{edge}_{c}")[c].alias(f"{edge}_{c}") for edge, fn in edges for c in resources],
+    )
+    df = merged.withColumns(
+        {
+            "avg_request_ms": F.when(F.col("n_took") > 0, F.col("took") / F.col("n_took")),
+            "cpu_user_micros": F.col("to_cpu_user") - F.coalesce("from_cpu_user", F.lit(0)),
+            "cpu_system_micros": F.col("to_cpu_system") - F.coalesce("from_cpu_system", F.lit(0)),
+            "bytes_downloaded": F.col("down"), "bytes_uploaded": F.col("up"), "disk_bytes": F.col("disk"),
+            "start_rss": F.col("from_rss"), "end_rss": F.col("to_rss"),
+        }
+    )
+    if log is None:
+        df = df.withColumn("max_concurrency", F.lit(0).cast("bigint"))
+    else:
+        df = df.join(max_concurrency(log, by), by, "left")
     duration = duration_ms(F.col("start_ms"), F.col("end_ms"))
     requests = F.coalesce("requests", F.lit(0))
 

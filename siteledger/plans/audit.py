@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -36,6 +37,16 @@ def page_comparison(index: DataFrame, modules: DataFrame, captures: DataFrame, m
     return C.compare_pages(C.pair_pages(declared, extracted))
 
 
+def all_errors(pages: DataFrame, log: DataFrame | None, errors: DataFrame | None, samples: DataFrame | None) -> DataFrame:
+    """The given error log and what the comparison itself met. The latter counts for the sides of
+    sites that a log names, as only these were measured; `compare.errors_found` has all."""
+    given = [df.select("site", "side").distinct() for df in (log, errors, samples) if df is not None]
+    measured = reduce(DataFrame.unionByName, given).distinct()
+    found = C.errors_found(pages).join(measured, ["site", "side"], "left_semi")
+    names = ["site", "side", "url", "error", "time_ms", "seq"]
+    return found if errors is None else errors.select(*names).unionByName(found.select(*names))
+
+
 def run_audit(
     index: DataFrame,
     modules: DataFrame,
@@ -56,7 +67,7 @@ def run_audit(
     pages = stored(page_comparison(index, modules, captures, max_pages), "audit-pages")
     metrics = None
     if not (log is None and errors is None and samples is None):
-        metrics = stored(H.metrics_summary(log, errors, samples), "audit-metrics")
+        metrics = stored(H.metrics_summary(log, all_errors(pages, log, errors, samples), samples), "audit-metrics")
     failed = readiness.filter(F.col("error").isNotNull()).select("site", "error")
     summary = stored(C.site_summary(readiness, pages), "audit-summary")
     return Audit(failed, pages, summary, metrics)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+from siteledger.operators import compare as C
 from siteledger.operators import modules as MOD
 from siteledger.functions import urls as U
 from siteledger.plans import bridges as B
@@ -159,8 +160,13 @@ CTES: dict[str, str] = {
     "cc": """
   SELECT site, side, CAST(greatest(max(lv), 0) AS BIGINT) AS mc FROM (
     SELECT site, side, sum(d) OVER (PARTITION BY site, side ORDER BY t, o ROWS UNBOUNDED PRECEDING) AS lv FROM ev) x GROUP BY site, side""",
+    "found": f"""
+  SELECT site, 'declared' AS side, module_url AS url, error, pos AS seq FROM pg WHERE status = 'error'
+  UNION ALL SELECT site, 'extracted', page_url, '{C.PAGE_UNREADABLE}', pos FROM pg WHERE page_url IS NOT NULL AND NOT coalesce(extracted_ok, FALSE)""",
+    "met": "SELECT site, side, count(*) AS met FROM found GROUP BY site, side",
     "ms": """
-  SELECT tot.*, b - a AS dur, n / ((b - a) / 1000.0) AS rps, codes, mc FROM tot LEFT JOIN st USING (site, side) LEFT JOIN cc USING (site, side)""",
+  SELECT tot.* REPLACE (errs + coalesce(met, 0) AS errs), b - a AS dur, n / ((b - a) / 1000.0) AS rps, codes, mc FROM tot LEFT JOIN st USING (site, side) LEFT JOIN cc USING (site, side)
+  LEFT JOIN met USING (site, side)""",
 }
 
 
@@ -495,6 +501,7 @@ SELECT sm.*, side, dur AS duration_ms, n AS requests, errs AS errors, coalesce(m
     "avg_request_time": _sql("SELECT site, side, round(avg_ms, 4) AS avg_request_ms FROM tot"),
     "duration_ms": _sql("SELECT seq, CASE WHEN seq % 7 <> 0 AND end_ms <> 0 THEN end_ms - start_ms END AS duration_ms FROM lg"),
     "rps": _sql("SELECT site, side, round(n / ((b - a) / 1000.0), 6) AS rps FROM tot"),
+    "errors_found": _sql("SELECT site, side, url, error, CAST(NULL AS BIGINT) AS time_ms, CAST(seq AS BIGINT) AS seq FROM found"),
     "error_summary": _sql("SELECT site, side, count(*) AS errors FROM er GROUP BY site, side"),
     "error_details": _sql("SELECT site, side, url, coalesce(error, '') AS error, time_ms, seq FROM er"),
     "max_concurrency": _sql("SELECT site, side, mc AS max_concurrency FROM cc"),

@@ -614,7 +614,8 @@ def _summary(spark, sf):
 
 
 def _metrics(spark, sf):
-    return H.metrics_summary(B.request_log(spark, sf), B.error_log(spark, sf), B.samples(spark, sf))
+    """Of the whole audit: the three logs, and the errors that it met itself."""
+    return _audit(spark, sf).metrics
 
 
 def _pos(df):
@@ -640,6 +641,11 @@ def pair_pages_of_one_url(spark, sf):
     return _pos(paired).select("site", "pos", "page_url", _text("extracted").alias("extracted"), "extracted_ok")
 
 
+@query
+def errors_found(spark, sf):
+    return C.errors_found(_audit_pages(spark, sf))
+
+
 @query
 def objects_equal(spark, sf):
     return _pos(_audit_pages(spark, sf)).select("site", "pos", "schemas_match")
