@@ -84,6 +84,13 @@ def without_checksum_text(canons: pd.Series) -> pd.Series:
     return canons.map(one)
 
 
+@F.pandas_udf(T.ArrayType(TEXT_TYPE))
+def without_members_text(canons: pd.Series, name: pd.Series) -> pd.Series:
+    """Texts without the members of this name, at any depth."""
+    cleaned = lambda texts, but: None if texts is None else [value_text(load(t), but=but) for t in texts]
+    return pd.Series([cleaned(texts, but) for texts, but in zip(canons, name)], dtype=object)
+
+
 @F.pandas_udf(TEXT_TYPE)
 def identity_text(canons: pd.Series) -> pd.Series:
     """Text of an object's `@context` and `@type` alone."""

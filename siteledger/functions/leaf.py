@@ -52,15 +52,16 @@ class _Verbatim(str):
     """Text that is written as it is."""
 
 
-def value_text(value, only=None) -> str:
-    """Canonical text; with `only`, object members of other names are left out.
+def value_text(value, only=None, but=None) -> str:
+    """Canonical text; with `only`, object members of other names are left out, and those
+    called `but` always are.
 
     Values nest without limit, so what is still to be written waits on a stack."""
     out, pending = [], [value]
     while pending:
         value = pending.pop()
         if isinstance(value, dict):
-            names = sorted((k for k in value if only is None or k in only), key=utf16_order)
+            names = sorted((k for k in value if (only is None or k in only) and k != but), key=utf16_order)
             parts = [p for n in names for p in (_Verbatim(f",{string_text(n)}:"), value[n])]
             opening, closing = "{", "}"
         elif isinstance(value, list):

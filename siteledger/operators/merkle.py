@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from siteledger.operators.ranking import rank_in_group
+
 BLOCK_LEVELS = 12
 BLOCK = 1 << BLOCK_LEVELS
 
@@ -126,3 +128,12 @@ def merkle_roots(
         for i, name in enumerate(leaves)
     ]
     return grouped.select(*by, *roots, *folds)
+
+
+def merkle_index(modules: DataFrame, by: Sequence[str], path: str, leaf: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, roots) of a new index: rows (by..., ord, path, leaf) are the modules of a group in the
+    locale order of their paths, from 0; roots (by..., n, merkle_root) are over the leaves in
+    that order. Modules of equal path are ordered by leaf."""
+    rows = rank_in_group(modules.select(*by, path, leaf), by, [F.collate(F.col(path), "UNICODE"), F.col(leaf)], "ord")
+    roots = merkle_roots(rows, by, "ord", {"merkle_root": leaf}, folds={"n": (F.count(F.lit(1)), "sum")})
+    return rows.select(*by, "ord", path, leaf), roots

@@ -160,10 +160,10 @@ CTES: dict[str, str] = {
     "cc": """
   SELECT site, side, CAST(greatest(max(lv), 0) AS BIGINT) AS mc FROM (
     SELECT site, side, sum(d) OVER (PARTITION BY site, side ORDER BY t, o ROWS UNBOUNDED PRECEDING) AS lv FROM ev) x GROUP BY site, side""",
-    "found": f"""
+    "trouble": f"""
   SELECT site, 'declared' AS side, module_url AS url, error, pos AS seq FROM pg WHERE status = 'error'
   UNION ALL SELECT site, 'extracted', page_url, '{C.PAGE_UNREADABLE}', pos FROM pg WHERE page_url IS NOT NULL AND NOT coalesce(extracted_ok, FALSE)""",
-    "met": "SELECT site, side, count(*) AS met FROM found GROUP BY site, side",
+    "met": "SELECT site, side, count(*) AS met FROM trouble GROUP BY site, side",
     "ms": """
   SELECT tot.* REPLACE (errs + coalesce(met, 0) AS errs), b - a AS dur, n / ((b - a) / 1000.0) AS rps, codes, mc FROM tot LEFT JOIN st USING (site, side) LEFT JOIN cc USING (site, side)
   LEFT JOIN met USING (site, side)""",
@@ -365,6 +365,11 @@ UNION ALL SELECT site, CASE WHEN r IN (0, 1, 3) THEN '1.0' END, NULL, CASE WHEN
     "write_result_json": _sql("""
 SELECT regexp_extract(site, '//(.*)$', 1) AS domain, pos, '{"site":"' || site || '","pos":' || pos || ',' || CASE WHEN page_url IS NULL THEN '' ELSE '"page_url":"' || page_url || '",' END
   || '"schemas_match":' || schemas_match || ',"extracted_checksum":"' || ext_hash || '"}' AS json FROM cmp"""),
+    "write_run": _sql(f"""
+SELECT regexp_extract(site, '//(.*)$', 1) AS domain, 1 AS section, page_url AS url, {_joined('kept')} AS declared, {_joined('ext')} AS extracted, CAST(schemas_match AS VARCHAR) AS schemas_match,
+  ext_hash AS extracted_checksum, NULL AS total_pages, NULL AS merkle_root_declared, NULL AS requests, NULL AS errors FROM cmp
+UNION ALL SELECT regexp_extract(sm.site, '//(.*)$', 1), 2, NULL, NULL, NULL, NULL, NULL, CAST(total_pages AS VARCHAR), merkle_root_declared, CAST(d.n AS VARCHAR), CAST(e.errs AS VARCHAR)
+FROM sm LEFT JOIN (SELECT * FROM ms WHERE side = 'declared') d ON d.site = sm.site LEFT JOIN (SELECT * FROM ms WHERE side = 'extracted') e ON e.site = sm.site"""),
     "write_report": _sql("SELECT regexp_extract(site, '//(.*)$', 1) AS domain, CAST(section AS INTEGER) AS section, CAST(line AS BIGINT) AS line, text FROM rep"),
     "render_report": _sql("SELECT site, CAST(section AS BIGINT) AS section, CAST(line AS BIGINT) AS line, text FROM rep"),
     "strip_field": """SELECT page_id, '{"url":"' || url || '","parts":[{"n":' || page_id || '},{"n":' || page_id || '}]}' AS json FROM pages""",
@@ -501,7 +506,7 @@ SELECT sm.*, side, dur AS duration_ms, n AS requests, errs AS errors, coalesce(m
     "avg_request_time": _sql("SELECT site, side, round(avg_ms, 4) AS avg_request_ms FROM tot"),
     "duration_ms": _sql("SELECT seq, CASE WHEN seq % 7 <> 0 AND end_ms <> 0 THEN end_ms - start_ms END AS duration_ms FROM lg"),
     "rps": _sql("SELECT site, side, round(n / ((b - a) / 1000.0), 6) AS rps FROM tot"),
-    "errors_found": _sql("SELECT site, side, url, error, CAST(NULL AS BIGINT) AS time_ms, CAST(seq AS BIGINT) AS seq FROM found"),
+    "errors_found": _sql("SELECT site, side, url, error, CAST(NULL AS BIGINT) AS time_ms, CAST(seq AS BIGINT) AS seq FROM trouble"),
     "error_summary": _sql("SELECT site, side, count(*) AS errors FROM er GROUP BY site, side"),
     "error_details": _sql("SELECT site, side, url, coalesce(error, '') AS error, time_ms, seq FROM er"),
     "max_concurrency": _sql("SELECT site, side, mc AS max_concurrency FROM cc"),
@@ -556,6 +561,7 @@ ORACLES["merkle_index"] = _merkle(
     "path_leaf", "m", "site", "path", "data_hash",
     "SELECT r.site, first_path, last_path, n, root FROM path_leaf_root r JOIN (SELECT site, min(path) AS first_path, max(path) AS last_path, count(*) AS n FROM m GROUP BY site) x ON x.site = r.site",
 )
+ORACLES["merkle_index_rows"] = _sql("SELECT site, row_number() OVER (PARTITION BY site ORDER BY path, data_hash) - 1 AS ord, path, data_hash FROM m")
 CTES["cap_leaf_src"] = f"SELECT page.page_id, regexp_extract(url, '^(https?://[^/]+)', 1) AS host, {_hash_of('objs')} AS h FROM page JOIN pages ON pages.page_id = page.page_id"
 ORACLES["crawl_merkle"] = _merkle(
     "cap_leaf", "cap_leaf_src", "host", "page_id", "h", "SELECT site, root AS merkle_root FROM cap_leaf_root"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,11 +21,11 @@ from siteledger.operators import metrics as H
 from siteledger.operators import modules as MOD
 from siteledger.operators import report as R
 from siteledger.operators.html import html_elements
+from siteledger.operators import merkle
 from siteledger.operators.merkle import merkle_roots
-from siteledger.operators.ranking import rank_in_group
 from siteledger.plans import audit as A
 from siteledger.plans import bridges as B
-from siteledger.session import stored
+from siteledger.session import shared_folder, stored
 from siteledger.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,14 +64,25 @@ def load_site_index(spark, sf):
     )
 
 
+def _folder(spark, name):
+    """A new folder that all executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 @query
 def load_modules(spark, sf):
-    return B.modules(spark, sf).select("site", "module_url", F.sha2("raw", 256).alias("digest"))
+    """Module documents, written as they were served and read again."""
+    path = _folder(spark, "modules")
+    B.modules(spark, sf).write.parquet(path)
+    return readers.load_modules(spark, path).select("site", "module_url", F.sha2("raw", 256).alias("digest"))
 
 
 @query
 def load_request_log(spark, sf):
-    return B.request_log(spark, sf).select(
+    """The log as JSON lines, read again."""
+    path = _folder(spark, "request-log")
+    B.request_log(spark, sf).select(*[f.name for f in readers.REQUEST_LOG]).write.json(path)
+    return readers.load_request_log(spark, path).select(
         "site", "side", "url", "method", "start_ms", "end_ms", "bytes_down", "bytes_up",
         F.col("status").cast("bigint").alias("status"),
     )
@@ -78,12 +90,27 @@ def load_request_log(spark, sf):
 
 @query
 def write_result_json(spark, sf):
-    """The rows as `write_result_json` puts them into `domain=<host>/`."""
+    """The rows that `write_result_json` put into `domain=<host>/`, read again."""
     pages = _audit_pages(spark, sf).withColumn("rawJsonLd", F.lit("dropped"))
-    kept = writers.strip_field(pages.select("site", "pos", "page_url", "schemas_match", "extracted_checksum", "rawJsonLd"))
-    return kept.select(
-        U.domain_of(F.col("site")).alias("domain"), "pos",
-        F.to_json(F.struct(*kept.columns)).alias("json"),
+    path = _folder(spark, "result")
+    writers.write_result_json(pages.select("site", "pos", "page_url", "schemas_match", "extracted_checksum", "rawJsonLd"), path, ["pos"])
+    pos = F.get_json_object("value", "$.pos").cast("int")
+    return spark.read.text(path).select("domain", pos.alias("pos"), F.col("value").alias("json"))
+
+
+@query
+def write_run(spark, sf):
+    """The pages and summaries of a whole run, read again from the documents it wrote."""
+    result = _audit(spark, sf)
+    path = _folder(spark, "run")
+    writers.write_run(result.pages, result.summary, path, result.metrics)
+    rows = writers.read_run(spark, path)
+    said = lambda member: F.get_json_object("json", f"$.{member}")
+    return rows.select(
+        "domain", F.col("section").cast("bigint").alias("section"), said("url").alias("url"), said("declared").alias("declared"), said("extracted").alias("extracted"),
+        said("comparison.schemas_match").alias("schemas_match"), said("comparison.extracted_checksum").alias("extracted_checksum"),
+        said("summary.total_pages").alias("total_pages"), said("summary.merkle_root_declared").alias("merkle_root_declared"),
+        said("metrics.declared.requests.total").alias("requests"), said("metrics.extracted.errors.total").alias("errors"),
     )
 
 
@@ -475,13 +502,15 @@ def merkle_root_brands(spark, sf):
 
 @query
 def merkle_index(spark, sf):
-    facts = B.module_facts(spark, sf).select("site", "path", "data_hash")
-    ranked = rank_in_group(facts, ["site"], [F.collate("path", "UNICODE")], "ord")
-    ends = ranked.groupBy("site").agg(
-        F.min_by("path", "ord").alias("first_path"), F.max_by("path", "ord").alias("last_path"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    return ends.join(merkle_roots(ranked, ["site"], "ord", {"root": "data_hash"}), "site")
+    rows, roots = merkle.merkle_index(B.module_facts(spark, sf), ["site"], "path", "data_hash")
+    ends = rows.groupBy("site").agg(F.min_by("path", "ord").alias("first_path"), F.max_by("path", "ord").alias("last_path"))
+    return ends.join(roots, "site").select("site", "first_path", "last_path", "n", F.col("merkle_root").alias("root"))
+
+
+@query
+def merkle_index_rows(spark, sf):
+    rows, _ = merkle.merkle_index(B.module_facts(spark, sf), ["site"], "path", "data_hash")
+    return rows.select("site", F.col("ord").cast("bigint").alias("ord"), "path", "data_hash")
 
 
 @query

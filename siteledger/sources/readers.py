@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,12 +53,20 @@ def load_site_index(source: DataFrame) -> DataFrame:
     return parse_index(source)
 
 
-def load_modules(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
-    """(site, module_url, raw) module documents as they were served."""
+def load_modules(spark: SparkSession, path: str, format: str = "parquet", scheme: str = "https") -> DataFrame:
+    """(site, module_url, raw) module documents as they were served.
+
+    With `files`, `path/<host>/...` holds the documents of a site as files, laid out as it serves
+    them: the module URL is the file's path below `path`. A file outside such a folder has
+    no site, and its own URL."""
     if format == "files":
-        return _whole_files(spark, path, "raw").select(
-            F.lit(None).cast("string").alias("site"), F.col("url").alias("module_url"), "raw"
-        )
+        files = _whole_files(spark, path, "raw")
+        root = path.rstrip("/").split("://", 1)[-1].lstrip("/") + "/"
+        below = F.element_at(F.split(F.col("url"), "/" + re.escape(root), 2), -1)
+        inside = below.contains("/") & (below != F.col("url"))
+        site = F.when(inside, F.concat(F.lit(f"{scheme}://"), F.substring_index(below, "/", 1)))
+        module_url = F.when(inside, F.concat(F.lit(f"{scheme}://"), below)).otherwise(F.col("url"))
+        return files.select(site.alias("site"), module_url.alias("module_url"), "raw")
     return spark.read.format(format).load(path).select("site", "module_url", "raw")
 
 
