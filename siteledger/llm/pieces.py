@@ -2,9 +2,13 @@
 
 Merge-type encoding takes the best-ranked adjacent pair from an agenda until none is left.
 With dropout, a candidate that comes up is skipped if its keyed hash says so, which gives
-other segmentations of the same text. The hash covers the seed, the word, a variant that
-follows from the document and the word's place, and the candidate; the same input gives the
-same pieces. Decoding restores every text.
+other segmentations of the same text. The hash covers the seed, the document, the word's place
+in it and the candidate; the same input gives the same pieces. Decoding restores every text.
+
+What an agenda has done is remembered as a tree per word: a node is a candidate that came up,
+its two branches what came up next when it was merged and when it was skipped. Every place of
+a known word walks the tree with hashes of its own, many places side by side; only where it
+takes a branch not seen before is the agenda run, and the tree grows.
 """
 
 from __future__ import annotations
@@ -12,9 +16,7 @@ from __future__ import annotations
 import heapq
 import re
 from hashlib import blake2b
-from itertools import compress, cycle
-from operator import call
-from zlib import crc32
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +25,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siteledger.llm.words import spans, text_bytes
+from siteledger.functions.names import free
+from siteledger.llm.words import mix, spans, text_bytes
 
 DROPOUT = 0.1
-#: Segmentations a word may have within one run.
-VARIANTS = 4
-#: Words, over all variants, whose pieces a worker remembers before it starts anew; about
-#: 200 bytes each.
-REMEMBERED = 1_000_000
+#: Bytes, by estimate, of the words and trees that a worker remembers before it starts anew.
+REMEMBERED = 32 << 20
+#: Of one word, besides its characters: its entry and its text.
+_WORD_BYTES = 200
 #: Characters up to which searching a list beats keeping a heap; both cut alike.
 SHORT_WORD = 48
+#: Bytes of text that are encoded at once.
+ENCODED_AT_ONCE = 1 << 20
+#: Pieces that are decoded at once.
+DECODED_AT_ONCE = 1 << 18
+#: Words whose agendas are run side by side.
+AT_ONCE = 16384
+_WIDTHS = np.array([2, 4, 8, 12, 16, 24, SHORT_WORD])
 _NONE = float("-inf")
 _SPACE = "▁"
 # Words: spaces and what follows them; line ends stand alone, as no piece holds them, and so
@@ -74,15 +83,23 @@ class Vocabulary:
         return out
 
 
-def _skipped(code, a, middle, stop):
-    """The keyed hash of a candidate merge of word[a:middle] and word[middle:stop], 32 bits;
-    works on numbers and on arrays."""
-    h = (code + a * 0x9E3779B1 + middle * 0x85EBCA77 + stop * 0xC2B2AE3D) & 0xFFFFFFFF
+def _candidate(a, middle, stop):
+    """A candidate merge of word[a:middle] and word[middle:stop] as 32 bits."""
+    return (a * 0x9E3779B1 + middle * 0x85EBCA77 + stop * 0xC2B2AE3D) & 0xFFFFFFFF
+
+
+def _drawn(code, candidate):
+    """The keyed hash of a candidate, 32 bits; works on numbers and on 64-bit arrays."""
+    h = (code + candidate) & 0xFFFFFFFF
     h = ((h ^ (h >> 15)) * 0x2C1B3C6D) & 0xFFFFFFFF
     h = ((h ^ (h >> 12)) * 0x297A2D39) & 0xFFFFFFFF
     return h ^ (h >> 15)
 
 
+def _skipped(code, a, middle, stop):
+    return _drawn(code, _candidate(a, middle, stop))
+
+
 def _cut_short(word: str, scores: dict[str, float], limit: int, code: int) -> list[str]:
     """Pieces of a short word: the agenda is a list, searched for its best entry."""
     parts, at = list(word), list(range(len(word) + 1))
@@ -135,12 +152,11 @@ def _cut_long(word: str, scores: dict[str, float], limit: int, code: int) -> lis
     return [word[a : end[a]] for a in starts]
 
 
-def segment(word: str, vocab: Vocabulary, dropout: float, key: int) -> list[int]:
-    """Ids of one word (spaces already as the space sign)."""
+def segment(word: str, vocab: Vocabulary, dropout: float, code: int) -> list[int]:
+    """Ids of one word (spaces already as the space sign); `code` is the key of its hashes."""
     limit = int(dropout * 4294967296)
-    code = crc32(word.encode(), key) if limit else 0
-    cut = _cut_short if len(word) <= SHORT_WORD else _cut_long
     out: list[int] = []
+    cut = _cut_short if len(word) <= SHORT_WORD else _cut_long
     for part in cut(word, vocab.score, limit, code):
         found = vocab.ids.get(part)
         if found is not None:
@@ -151,23 +167,29 @@ def segment(word: str, vocab: Vocabulary, dropout: float, key: int) -> list[int]
 
 
 class _Merges:
-    """All merges of a vocabulary as sorted arrays, to look up many pairs at once."""
+    """All merges of a vocabulary as sorted arrays, to look up many pairs at once. A character
+    without a piece has an id past all pieces."""
 
     def __init__(self, vocab: Vocabulary):
+        self.n = len(vocab.pieces)
+        self.base = self.n + 0x110000
         pairs = {}
         for piece, merged in vocab.ids.items():
             for cut in range(1, len(piece)):
                 left, right = vocab.ids.get(piece[:cut]), vocab.ids.get(piece[cut:])
+                if left is None and cut == 1:
+                    left = self.n + ord(piece[0])
+                if right is None and cut == len(piece) - 1:
+                    right = self.n + ord(piece[-1])
                 if left is not None and right is not None:
-                    pairs[left * len(vocab.pieces) + right] = merged
-        self.base = len(vocab.pieces)
+                    pairs[left * self.base + right] = merged
         self.keys = np.array(sorted(pairs), np.int64)
         self.merged = np.array([pairs[k] for k in self.keys.tolist()], np.int32)
-        score = np.full(len(vocab.pieces), _NONE, np.float32)
+        score = np.full(self.n, _NONE, np.float32)
         for piece, i in vocab.ids.items():
             score[i] = vocab.score[piece]
         self.score = score[self.merged]
-        self.single = np.full(0x110000, -1, np.int32)
+        self.single = np.arange(self.n, self.base, dtype=np.int32)
         for piece, i in vocab.ids.items():
             if len(piece) == 1:
                 self.single[ord(piece)] = i
@@ -178,120 +200,238 @@ class _Merges:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.score[at], np.float32(_NONE)), self.merged[at]
 
-    def cut(self, ids: np.ndarray, codes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-        """Piece ids of words of one length, and how many each word has: rows of `ids` are their
-        characters. One entry of every word's agenda is taken per round, for all words side by
-        side; words that are done leave the tables once they are a third of them."""
+    def cut(self, ids: np.ndarray, codes: np.ndarray, limit: int, seen=None) -> np.ndarray:
+        """Pieces of words, whose characters are the rows of `ids`, filled up with -1: the id of the
+        piece that begins at each character, -1 where none does.
+
+        One entry of every word's agenda is taken per round, for all words side by side; words
+        that are done leave the tables once they are a third of them. `seen` is told (rows,
+        candidate, skipped) of each round."""
         n, width = ids.shape
-        if width == 1:
-            return ids, np.ones(n, np.int64)
-        out, sizes = np.zeros((n, width), np.int32), np.zeros(n, np.int64)
-        rows = np.arange(n)
-        at = np.broadcast_to(np.arange(width + 1, dtype=np.int8), (n, width + 1)).copy()
-        size = np.full(n, width)
-        score, merged = self.look_up(ids[:, :-1], ids[:, 1:])
+        out = np.zeros((n, width), np.int32)
+        rows, ids = np.arange(n), ids.copy()
+        # Of the piece that begins at a character: where it stops, and where the one before begins.
+        stop = np.broadcast_to(np.arange(1, width + 1, dtype=np.int8), (n, width)).copy()
+        before = np.broadcast_to(np.arange(-1, width, dtype=np.int8), (n, width + 1)).copy()
+        score = np.full((n, width), np.float32(_NONE))
+        merged = np.zeros((n, width), np.int32)
+        score[:, :-1], merged[:, :-1] = self.look_up(ids[:, :-1], ids[:, 1:])
         while len(rows):
-            best = score.argmax(1)
-            open_ones = score[np.arange(len(rows)), best] > _NONE
+            a = score.argmax(1)
+            each = np.arange(len(rows))
+            open_ones = score[each, a] > _NONE
             still = int(np.count_nonzero(open_ones))
             if not still or 3 * still < 2 * len(rows):
-                done = ~open_ones
-                out[rows[done]], sizes[rows[done]] = ids[done], size[done]
-                rows, ids, at, size, codes = rows[open_ones], ids[open_ones], at[open_ones], size[open_ones], codes[open_ones]
-                score, merged, best = score[open_ones], merged[open_ones], best[open_ones]
-                open_ones = np.ones(still, bool)
-            each = np.arange(len(rows))
-            joins = open_ones
+                out[rows[~open_ones]] = ids[~open_ones]
+                rows, ids, codes, a = rows[open_ones], ids[open_ones], codes[open_ones], a[open_ones]
+                stop, before, score, merged = stop[open_ones], before[open_ones], score[open_ones], merged[open_ones]
+                each = np.arange(still)
+            elif still < len(rows):
+                each, a = each[open_ones], a[open_ones]
+            if not len(rows):
+                break
+            middle = stop[each, a].astype(np.int64)
+            end = stop[each, middle].astype(np.int64)
+            candidate = _candidate(a, middle, end)
+            if limit:
+                skipped = _drawn(codes[each], candidate) < limit
+            else:
+                skipped = np.zeros(len(each), bool)
+            if seen is not None:
+                seen(rows[each], candidate, skipped)
             if limit:
-                h = _skipped(codes, *(at[each, best + k].astype(np.int64) for k in range(3)))
-                joins = open_ones & (h >= limit)
-            score[each[~joins], best[~joins]] = _NONE
-            some, where = each[joins], best[joins]
-            if not len(some):
-                continue
-            columns = np.arange(width + 1)
-            new = merged[some, where]
-            for table, shift in ((ids, 0), (at, 0), (score, -1), (merged, -1)):
-                part = table[some]
-                moved = np.empty_like(part)
-                moved[:, :-1] = part[:, 1:]
-                moved[:, -1] = _NONE if table is score else 0
-                # Of the agenda, the entry that was taken goes, too.
-                mask = columns[None, : part.shape[1]] > where[:, None] + shift
-                np.copyto(part, moved, where=mask)
-                table[some] = part
-            ids[some, where] = new
-            size[some] -= 1
-            for side in (0, -1):
-                place = where + side
-                fits = (place >= 0) & (place + 1 < size[some])
-                s, p = some[fits], place[fits]
-                score[s, p], merged[s, p] = self.look_up(ids[s, p], ids[s, p + 1])
-        return out, sizes
+                score[each[skipped], a[skipped]] = _NONE
+                join = ~skipped
+                each, a, middle, end = each[join], a[join], middle[join], end[join]
+            ids[each, a], ids[each, middle] = merged[each, a], -1
+            stop[each, a], before[each, end] = end, a
+            score[each, middle] = score[each, a] = _NONE
+            left = before[each, a].astype(np.int64)
+            inner, first = end < width, left >= 0
+            row = np.concatenate([each[inner], each[first]])
+            at = np.concatenate([a[inner], left[first]])
+            after = np.concatenate([end[inner], a[first]])
+            score[row, at], merged[row, at] = self.look_up(ids[row, at], ids[row, after])
+        return out
+
+
+class _Growing:
+    """An array that is appended to."""
+
+    def __init__(self, kind, fill: int = 0, width: tuple = ()):
+        self.fill, self.n = fill, 0
+        self.data = np.full((1024, *width), fill, kind)
+
+    def more(self, n: int) -> int:
+        """Room for n entries; where they begin."""
+        first = self.n
+        self.n += n
+        if self.n > len(self.data):
+            bigger = np.full((max(self.n, 2 * len(self.data)), *self.data.shape[1:]), self.fill, self.data.dtype)
+            bigger[:first] = self.data[:first]
+            self.data = bigger
+        return first
+
+
+class _Trees:
+    """What the agendas of words have done. A node has the candidate that came up and the nodes
+    that follow when it is merged and when it is skipped (-1: not seen yet), or, at the end, a
+    leaf: its pieces, `pieces[bounds[leaf]:bounds[leaf + 1]]`."""
+
+    def __init__(self):
+        self.roots: dict[str, int] = {}
+        self.candidate, self.leaf = _Growing(np.int64, -1), _Growing(np.int32, -1)
+        self.next = _Growing(np.int32, -1, (2,))
+        self.pieces, self.bounds = _Growing(np.int32), _Growing(np.int64)
+        self.bounds.more(1)
+        self.characters = 0
+        #: The node of words too long to be remembered.
+        self.long = int(self.nodes(1)[0])
+
+    def size(self) -> int:
+        arrays = (self.candidate, self.leaf, self.next, self.pieces, self.bounds)
+        return self.characters + _WORD_BYTES * len(self.roots) + sum(x.data.nbytes for x in arrays)
+
+    def nodes(self, n: int) -> np.ndarray:
+        self.leaf.more(n)
+        self.next.more(n)
+        return np.arange(n) + self.candidate.more(n)
+
+    def plant(self, words: list[str]) -> None:
+        short = [w for w in words if len(w) <= SHORT_WORD]
+        self.roots.update(zip(short, self.nodes(len(short)).tolist()))
+        self.characters += 2 * sum(map(len, short))
+
+    def ends(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """New leaves with these pieces."""
+        first = self.pieces.more(len(flat))
+        self.pieces.data[first : first + len(flat)] = flat
+        at = self.bounds.more(len(sizes))
+        self.bounds.data[at : at + len(sizes)] = first + np.cumsum(sizes)
+        return np.arange(len(sizes)) + at - 1
+
+    def walk(self, node: np.ndarray, codes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """The leaf each place comes to, -1 where it takes a branch not seen before; and which
+        branch of which node that is."""
+        out, stuck = np.full(len(node), -1, np.int64), node * 2
+        at = np.arange(len(node))
+        while len(at):
+            leaf = self.leaf.data[node]
+            out[at] = leaf
+            candidate = self.candidate.data[node]
+            inner = (leaf < 0) & (candidate >= 0)
+            at, node, candidate = at[inner], node[inner], candidate[inner]
+            skip = _drawn(codes[at], candidate) < limit
+            stuck[at] = node * 2 + skip
+            node = self.next.data.reshape(-1)[stuck[at]]
+            known = node >= 0
+            at, node = at[known], node[known]
+        return out, stuck
 
 
 class Encoder:
-    """Encodes texts, remembering the pieces of words it has met, for each variant."""
-
-    def __init__(self, vocab: Vocabulary, dropout: float = DROPOUT, seed: int = 11, variants: int = VARIANTS):
-        self.vocab, self.dropout, self.seed = vocab, dropout, seed
-        self.keys = [crc32(b"%d %d" % (seed, v)) for v in range(variants if dropout else 1)]
-        self.known: list[dict[str, bytes]] = [{} for _ in self.keys]
-        self.merges = _Merges(vocab)
-
-    def _order(self, key: str) -> list[int]:
-        """The variants of a text's words, to be taken in turn."""
-        if len(self.keys) == 1:
-            return [0]
-        turns = blake2b(key.encode(), key=b"%d" % self.seed).digest()
-        return [b % len(self.keys) for b in turns]
-
-    def _learn(self, missing: list[tuple[int, str]]) -> None:
-        limit = int(self.dropout * 4294967296)
-        by_length: dict[int, list[tuple[int, str, str]]] = {}
-        for v, word in missing:
-            shown = word.replace(" ", _SPACE) if word != _SPACE else word
-            if word == _SPACE:
-                self.known[v][word] = np.array([self.vocab.bytes_at[b] for b in word.encode()], np.int32).tobytes()
-            elif len(shown) > SHORT_WORD:
-                self.known[v][word] = np.array(segment(shown, self.vocab, self.dropout, self.keys[v]), np.int32).tobytes()
-            else:
-                by_length.setdefault(len(shown), []).append((v, word, shown))
-        for width, group in by_length.items():
-            chars = np.frombuffer("".join([g[2] for g in group]).encode("utf-32-le"), np.uint32).reshape(-1, width)
-            ids = self.merges.single[chars]
-            whole = (ids >= 0).all(1)
-            for r in np.nonzero(~whole)[0]:
-                v, word, shown = group[r]
-                self.known[v][word] = np.array(segment(shown, self.vocab, self.dropout, self.keys[v]), np.int32).tobytes()
-            codes = np.array([crc32(g[2].encode(), self.keys[g[0]]) if limit else 0 for g in group], np.int64)
-            cut, sizes = self.merges.cut(ids[whole], codes[whole], limit)
-            packed = cut[np.arange(width) < sizes[:, None]].astype(np.int32).tobytes()
-            start = 0
-            for (v, word, _), end in zip(compress(group, whole), (4 * np.cumsum(sizes)).tolist()):
-                self.known[v][word] = packed[start:end]
-                start = end
+    """Encodes texts, remembering what the agendas of the words it has met have done."""
+
+    def __init__(self, vocab: Vocabulary, dropout: float = DROPOUT, seed: int = 11, remembered: int = REMEMBERED):
+        self.vocab, self.dropout, self.seed, self.remembered = vocab, dropout, seed, remembered
+        self.limit = int(dropout * 4294967296)
+        self.merges, self.trees = _Merges(vocab), _Trees()
+
+    def _codes(self, keys: list[str], counts: np.ndarray) -> np.ndarray:
+        """A key for the hashes of each word's candidates, by document and place."""
+        own = [int.from_bytes(blake2b(k.encode(), key=b"%d" % self.seed, digest_size=8).digest(), "little") for k in keys]
+        place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        return (mix(np.repeat(np.array(own, np.uint64), counts) + place.astype(np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+    def _grow(self, words: list[str], roots: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Run the agendas of these words, none longer than SHORT_WORD and no two taking the same new
+        branch, and add what they did to the trees; the leaf of each."""
+        trees = self.trees
+        leaves = np.zeros(len(words), np.int64)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        classes = np.searchsorted(_WIDTHS, lengths)
+        order = np.argsort(classes, kind="stable")
+        # Words of about one length, in parts whose tables are not too large.
+        new = np.ones(len(order), bool)
+        new[1:] = np.diff(classes[order]) != 0
+        first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+        new |= (np.arange(len(order)) - first) % AT_ONCE == 0
+        for group in np.split(order, np.nonzero(new)[0][1:]):
+            shown = "".join([words[r] for r in group.tolist()])
+            inside = np.arange(_WIDTHS[classes[group[0]]]) < lengths[group, None]
+            chars = np.zeros(inside.shape, np.uint32)
+            chars[inside] = np.frombuffer(shown.encode("utf-32-le"), np.uint32)
+            ids = np.where(inside, self.merges.single[np.where(chars == ord(" "), ord(_SPACE), chars)], np.int32(-1))
+            # The space sign itself, where a text has it, is a word: no piece may stand for it.
+            ids[chars == ord(_SPACE)] = self.merges.n + ord(_SPACE)
+            node = roots[group]
+
+            def seen(rows, candidate, skipped):
+                here = node[rows]
+                trees.candidate.data[here] = candidate
+                branch = here * 2 + skipped
+                following = trees.next.data.reshape(-1)[branch]
+                new = following < 0
+                made = trees.nodes(int(np.count_nonzero(new)))
+                trees.next.data.reshape(-1)[branch[new]] = made
+                following[new] = made
+                node[rows] = following
+
+            cut = self.merges.cut(ids, codes[group], self.limit, seen)
+            flat, sizes = cut[cut >= 0], np.count_nonzero(cut >= 0, axis=1)
+            if (flat >= self.merges.n).any():
+                flat, sizes = self._as_bytes(flat, np.repeat(np.arange(len(sizes)), sizes), len(sizes))
+            leaves[group] = trees.leaf.data[node] = trees.ends(flat, sizes)
+        return leaves
+
+    def _as_bytes(self, flat: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Characters without a piece as the pieces of their bytes."""
+        out, rows = [], []
+        for value, row in zip(flat.tolist(), owner.tolist()):
+            found = [value] if value < self.merges.n else [self.vocab.bytes_at[b] for b in chr(value - self.merges.n).encode()]
+            out.extend(found)
+            rows.extend([row] * len(found))
+        return np.array(out, np.int32), np.bincount(rows, minlength=n)
+
+    def encode_flat(self, texts: list[str | None], keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, bounds of each text); keys tell apart texts whose words may be cut
+        differently."""
+        trees = self.trees
+        if trees.size() > self.remembered:
+            self.trees = trees = _Trees()
+        each = [_WORD.findall(" " + t) if t else [] for t in texts]
+        counts = np.array([len(w) for w in each], np.int64)
+        words = list(chain.from_iterable(each))
+        codes = self._codes(keys, counts)
+        get = trees.roots.get
+        node = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+        fresh = np.nonzero(node < 0)[0].tolist()
+        trees.plant(list({words[r] for r in fresh}))
+        node[fresh] = [get(words[r], trees.long) for r in fresh]
+        leaf, stuck = trees.walk(node, codes, self.limit)
+        missing = np.nonzero((leaf < 0) & (node != trees.long))[0]
+        while len(missing):
+            # Of the places that take the same new branch one goes first, and the others follow it.
+            ahead = np.unique(stuck[missing], return_index=True)[1]
+            rows = missing[ahead]
+            leaf[rows] = self._grow([words[r] for r in rows.tolist()], node[rows], codes[rows])
+            missing = np.delete(missing, ahead)
+            leaf[missing], stuck[missing] = trees.walk(node[missing], codes[missing], self.limit)
+            missing = missing[leaf[missing] < 0]
+        rest = np.nonzero(node == trees.long)[0].tolist()
+        if rest:
+            cut = [segment(words[r].replace(" ", _SPACE), self.vocab, self.dropout, int(codes[r])) for r in rest]
+            leaf[rest] = trees.ends(np.array(list(chain.from_iterable(cut)), np.int32), np.array([len(c) for c in cut]))
+        start, stop = trees.bounds.data[leaf], trees.bounds.data[leaf + 1]
+        ends = np.cumsum(stop - start)
+        total = int(ends[-1]) if len(ends) else 0
+        flat = trees.pieces.data[np.repeat(start - (ends - (stop - start)), stop - start) + np.arange(total)]
+        return flat, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
 
     def encode(self, texts: list[str | None], keys: list[str]) -> list[bytes | None]:
-        """Packed ids of texts; keys tell apart texts whose words may be cut differently."""
-        words = [_WORD.findall(" " + t) if t else [] for t in texts]
-        if sum(map(len, self.known)) > REMEMBERED:
-            self.known = [{} for _ in self.keys]
-        known = self.known
-        recall = [k.get for k in known]
-        orders = [self._order(key) for key in keys]
-
-        def look_up(row: int) -> list[bytes | None]:
-            return list(map(call, cycle([recall[v] for v in orders[row]]), words[row]))
-
-        found = [look_up(row) for row in range(len(texts))]
-        partly = [row for row, parts in enumerate(found) if None in parts]
-        self._learn(
-            list({(v, w) for row in partly for v, w, p in zip(cycle(orders[row]), words[row], found[row]) if p is None})
-        )
-        for row in partly:
-            found[row] = look_up(row)
-        return [None if t is None else b"".join(parts) for t, parts in zip(texts, found)]
+        """Packed ids of each text."""
+        flat, bounds = self.encode_flat(texts, keys)
+        return [None if t is None else flat[a:b].tobytes() for t, a, b in zip(texts, bounds.tolist(), bounds[1:].tolist())]
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -307,18 +447,6 @@ def worker_encoder(vocab: Vocabulary, dropout: float, seed: int) -> Encoder:
     return _ENCODERS[key]
 
 
-def _lists(packed: list[bytes | None]) -> pa.Array:
-    sizes = np.array([0, *(0 if p is None else len(p) // 4 for p in packed)], np.int64)
-    offsets = np.cumsum(sizes)
-    values = pa.array(np.frombuffer(b"".join([p for p in packed if p]), np.int32))
-    lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
-    if None not in packed:
-        return lists
-    return pa.ListArray.from_arrays(
-        pa.array(offsets.astype(np.int32)), values, mask=pa.array([p is None for p in packed])
-    )
-
-
 def encode_pieces(
     docs: DataFrame, model_path: str, dropout: float = DROPOUT, seed: int = 11, text: str = "text", out: str = "ids"
 ) -> DataFrame:
@@ -329,18 +457,25 @@ def encode_pieces(
     through. `doc_id` only serves to vary the cuts, and may be null.
     """
     vocab = Vocabulary.load(model_path)
-    kept = [c for c in docs.columns if c != out]
-    rows = docs.select(*kept, F.col(text).cast("string").alias("_piece_text"), F.col("doc_id").cast("string").alias("_piece_key"))
+    kept = [c for c in docs.columns if c.lower() != out.lower()]
+    # The text goes to the workers once: as the column that is kept, or beside it.
+    sent = text in kept and docs.schema[text].dataType == T.StringType()
+    shown, key = text if sent else free(docs.columns, "_text"), free(docs.columns, "_key")
+    own = [] if sent else [F.col(text).cast("string").alias(shown)]
+    rows = docs.select(*kept, *own, F.col("doc_id").cast("string").alias(key))
 
     def run(batches):
         encoder = worker_encoder(vocab, dropout, seed)
         for batch in batches:
-            _, bounds = text_bytes(batch.column("_piece_text"))
-            for first, last in spans(bounds):
+            _, bounds = text_bytes(batch.column(shown))
+            for first, last in spans(bounds, ENCODED_AT_ONCE):
                 part = batch.slice(first, last - first)
-                keys = [k or "" for k in part.column("_piece_key").to_pylist()]
-                packed = encoder.encode(part.column("_piece_text").to_pylist(), keys)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), _lists(packed)], names=[*kept, out])
+                keys = [k or "" for k in part.column(key).to_pylist()]
+                flat, ends = encoder.encode_flat(part.column(shown).to_pylist(), keys)
+                nulls = part.column(shown).is_null() if part.column(shown).null_count else None
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat), mask=nulls)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), lists], names=[*kept, out])
+            pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, docs.select(*kept).schema.add(out, T.ArrayType(T.IntegerType())))
 
@@ -348,19 +483,25 @@ def encode_pieces(
 def decode_pieces(df: DataFrame, model_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """`df` with `out`, the text of the piece ids in `ids`; null for null ids."""
     outputs = Vocabulary.load(model_path).outputs()
-    kept = [c for c in df.columns if c != out]
+    kept = [c for c in df.columns if c.lower() != out.lower()]
 
     def run(batches):
         pool = pa.array(outputs, pa.large_binary())
         for batch in batches:
-            lists = batch.column(ids)
-            # The bytes of all pieces stand one after another; a text ends where its list does.
-            _, starts, data = pool.take(lists.values).buffers()
-            ends = np.frombuffer(starts, np.int64, len(lists.values) + 1)[lists.offsets.to_numpy()]
-            texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends), data])
-            # The first space is the one that encoding puts before every text.
-            texts = pc.utf8_slice_codeunits(texts.cast(pa.large_string()), 1).cast(pa.string())
-            texts = pc.if_else(lists.is_valid(), texts, pa.scalar(None, pa.string()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), texts], names=[*kept, out])
+            bounds = batch.column(ids).offsets.to_numpy().astype(np.int64)
+            for first, last in spans(bounds, DECODED_AT_ONCE):
+                part = batch.slice(first, last - first)
+                lists = part.column(ids)
+                # The bytes of all pieces stand one after another; a text ends where its list does.
+                pieces = pool.take(lists.flatten())
+                _, starts, data = pieces.buffers()
+                sizes = np.where(lists.is_valid(), np.diff(bounds[first : last + 1]), 0)
+                ends = np.frombuffer(starts, np.int64, len(pieces) + 1)[np.concatenate([[0], np.cumsum(sizes)])]
+                texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends), data])
+                # The first space is the one that encoding puts before every text.
+                texts = pc.utf8_slice_codeunits(texts.cast(pa.large_string()), 1).cast(pa.string())
+                texts = pc.if_else(lists.is_valid(), texts, pa.scalar(None, pa.string()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), texts], names=[*kept, out])
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, df.select(*kept).schema.add(out, "string"))
