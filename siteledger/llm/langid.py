@@ -16,14 +16,15 @@ from pyspark.sql import Window
 from siteledger.llm.common import held_out
 from siteledger.llm.words import LOWER, spans, text_bytes
 
-#: Bounds of the labelled sample: documents of each language, and characters of each.
-SAMPLE_DOCS = 64
-EXCERPT_CHARS = 256
+#: Bounds of the labelled sample of each language: rows, and bytes of all of them. Rows are
+#: taken whole or not at all.
+SAMPLE_DOCS = 256
+SAMPLE_BYTES = 128_000
 #: Slots of the transition table that are tried for a state before the first ones are left.
 TRIES = 32
-#: A phrase ends at the latest where a block of this many bytes ends. Blocks are read
-#: side by side.
+#: Bytes of a text that are read side by side, and of all texts that are read at once.
 BLOCK_BYTES = 512
+AT_ONCE = 1 << 20
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -119,37 +120,82 @@ class CrossParser:
             for s, to in edges[root].items():
                 self.restart[row, s] = base[to]
 
-    def phrases(self, data: np.ndarray, bounds: np.ndarray, block: int) -> np.ndarray:
-        """Phrases of each text (rows) in each language (columns)."""
+    def phrases(self, data: np.ndarray, bounds: np.ndarray, block: int = BLOCK_BYTES) -> np.ndarray:
+        """Phrases of each text (rows) in each language (columns).
+
+        Blocks of a text are read side by side, each as if a phrase began with it. The phrase
+        that is open where a block ends goes on into the next, phrase by phrase, until one
+        begins where one of that block's own does; from there on both readings are the same,
+        and what the block counted before it is left out."""
         sizes = np.diff(bounds)
         blocks = -(-sizes // block)
         doc = np.repeat(np.arange(len(sizes)), blocks)
         nth = np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         start = bounds[:-1][doc] + nth * block
-        length = np.minimum(block, bounds[1:][doc] - start)
-        order = np.argsort(-length, kind="stable")
-        doc, start, length = doc[order], start[order], length[order]
+        stop = np.minimum(start + block, bounds[1:][doc])
+        order = np.argsort(start - stop, kind="stable")
+        length = (stop - start)[order]
         symbols = LOWER[data]
+        n_lang = len(self.languages)
         state = np.repeat(self.roots[:, None], len(doc), 1)
-        ended = np.ones(state.shape, np.int32)
+        begins = np.zeros((n_lang, len(symbols)), bool)
         active = np.searchsorted(-length, -np.arange(1, block + 1), "right")
+        at = start[order]
         for t in range(int(length[0]) if len(length) else 0):
             n = active[t]
-            now, symbol = state[:, :n], symbols[start[:n] + t]
+            here = at[:n] + t
+            now, symbol = state[:, :n], symbols[here]
             entry = self.table[now + symbol]
             ends = entry >> 32 != now
-            ended[:, :n] += ends
+            begins[:, here] = ends
             state[:, :n] = np.where(ends, self.restart[:, symbol], entry & 0xFFFFFFFF)
-        out = np.zeros((len(self.languages), len(sizes)))
-        for row, counts in zip(out, ended):
-            row += np.bincount(doc, counts, len(sizes))
+        out = np.zeros((n_lang, len(sizes)))
+        if not len(doc):
+            return out.T
+        ended = np.empty_like(state)
+        ended[:, order] = state
+        begins[:, start] |= nth == 0
+        for row in range(n_lang):
+            own = begins[row]
+            count = np.concatenate([[0], np.cumsum(own)])
+            # Where the reading of each block that others follow meets theirs, and its phrases until then.
+            place, open_ones = stop.copy(), np.nonzero(nth + 1 < blocks[doc])[0]
+            now, extra, limit = ended[row].copy(), np.zeros(len(doc), np.int64), bounds[1:][doc]
+            block_start = np.zeros(len(symbols) + 1, bool)
+            block_start[start] = True
+            while len(open_ones):
+                p = place[open_ones]
+                symbol = symbols[p]
+                entry = self.table[now[open_ones] + symbol]
+                ends = entry >> 32 != now[open_ones]
+                now[open_ones] = np.where(ends, self.restart[row, symbol], entry & 0xFFFFFFFF)
+                extra[open_ones] += ends
+                met = ends & (own[p] | block_start[p])
+                place[open_ones[~met]] += 1
+                open_ones = open_ones[~met]
+                open_ones = open_ones[place[open_ones] < limit[open_ones]]
+            # From its first phrase that counts, a block counts all it has; met at `place`, in this block.
+            last = nth + 1 == blocks[doc]
+            target = np.searchsorted(start, place, "right") - 1
+            target = np.where(last | (place >= limit), -1, target)
+            total = np.zeros(len(sizes))
+            if (target[~last] == np.nonzero(~last)[0] + 1).all():
+                enter = np.where(nth == 0, start - 1, np.concatenate([[0], place[:-1]]))
+                total = np.bincount(doc, count[stop] - count[enter + 1] + extra, len(sizes))
+            else:
+                for d in np.nonzero(sizes)[0].tolist():
+                    k, enter = int(np.searchsorted(doc, d)), int(bounds[d]) - 1
+                    while k >= 0:
+                        total[d] += count[stop[k]] - count[enter + 1] + extra[k]
+                        k, enter = int(target[k]), int(place[k])
+            out[row] = total
         return out.T
 
-    def predict(self, texts: pa.Array, block: int):
+    def predict(self, texts: pa.Array, block: int = BLOCK_BYTES):
         """(language index, score) of each text; the first language wins ties."""
         raw, every = text_bytes(texts)
         best, score = [], []
-        for first, last in spans(every):
+        for first, last in spans(every, AT_ONCE):
             bounds = every[first : last + 1] - every[first]
             cost = self.phrases(raw[every[first] : every[last]], bounds, block) * np.array(self.bits)
             winner = cost.argmin(1)
@@ -163,26 +209,34 @@ class CrossParser:
         return (np.concatenate(best), np.concatenate(score)) if best else (np.zeros(0, int), np.zeros(0))
 
 
-def language_samples(labelled: DataFrame, docs: int = SAMPLE_DOCS, chars: int = EXCERPT_CHARS) -> dict[str, bytes]:
-    """Labelled text of each language: an excerpt, from a place the id's hash picks, of the
-    `docs` rows of each language that come first by that hash."""
-    size = F.length("text")
+def language_samples(labelled: DataFrame, docs: int = SAMPLE_DOCS, size: int = SAMPLE_BYTES) -> dict[str, bytes]:
+    """Labelled texts of each language, whole: those rows, of the `docs` that come first by a hash
+    of their id, that fit into `size` bytes, taken in this order. A language whose first rows are
+    all longer has its shortest of them."""
     pick = F.xxhash64("doc_id", F.lit(7))
-    at = F.pmod(pick, F.greatest(F.lit(1), size - chars)).cast("int") + 1
-    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select(
-        F.col("lang").cast("string").alias("lang"), pick.alias("pick"), F.substring(F.col("text"), at, F.lit(chars)).alias("part")
+    rows = labelled.filter("lang IS NOT NULL AND text <> ''").select(
+        F.col("lang").cast("string").alias("lang"), pick.alias("pick"), F.octet_length("text").alias("size"), "text"
     )
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("pick", "part"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("pick", F.xxhash64("text"), "text"))
     # Spark keeps `docs` rows of a language per task before the shuffle.
-    chosen = rows.withColumn("place", place).filter(F.col("place") <= docs).collect()
+    first = rows.withColumn("place", place).filter(F.col("place") <= docs)
+    fits = F.aggregate(
+        F.sort_array(F.collect_list(F.struct("place", "size"))),
+        F.struct(F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<int>").alias("taken")),
+        lambda so_far, row: F.when(so_far["sum"] + row["size"] <= size, F.struct((so_far["sum"] + row["size"]).alias("sum"), F.array_append(so_far["taken"], row["place"]).alias("taken"))).otherwise(so_far),
+        lambda so_far: so_far["taken"],
+    )
+    shortest = F.array(F.min_by("place", F.struct("size", "place")))
+    taken = first.groupBy("lang").agg(fits.alias("fits"), shortest.alias("one")).select("lang", F.explode(F.when(F.size("fits") > 0, F.col("fits")).otherwise(F.col("one"))).alias("place"))
+    chosen = first.join(taken, ["lang", "place"]).select("lang", "place", "text").collect()
     parts: dict[str, list[str]] = {}
     for row in sorted(chosen, key=lambda r: (r["lang"], r["place"])):
-        parts.setdefault(row["lang"], []).append(row["part"])
-    return {lang: "\n".join(p).encode() for lang, p in parts.items() if any(p)}
+        parts.setdefault(row["lang"], []).append(row["text"])
+    return {lang: "\n".join(p).encode() for lang, p in parts.items()}
 
 
 def identify_language(
-    docs: DataFrame, docs_per_language: int = SAMPLE_DOCS, chars: int = EXCERPT_CHARS, block: int = BLOCK_BYTES
+    docs: DataFrame, docs_per_language: int = SAMPLE_DOCS, size: int = SAMPLE_BYTES
 ) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of each row of `docs(doc_id, text, lang)`.
 
@@ -192,7 +246,7 @@ def identify_language(
     automata know all bytes of the samples; they have two states and three transitions per
     byte of sample at most, and their table 8 bytes per transition and for each gap.
     """
-    samples = language_samples(docs.filter(~held_out()), docs_per_language, chars)
+    samples = language_samples(docs.filter(~held_out()), docs_per_language, size)
     parser = CrossParser(samples)
     names = pa.array([*parser.languages, "und"])
 
@@ -200,7 +254,7 @@ def identify_language(
         for batch in batches:
             letters = np.array(batch.column("letters").to_pylist(), bool)
             if parser.languages:
-                best, score = parser.predict(batch.column("text"), block)
+                best, score = parser.predict(batch.column("text"))
             else:
                 best, score, letters = np.zeros(len(letters), int), np.zeros(len(letters)), letters & False
             best = np.where(letters, best, len(parser.languages))

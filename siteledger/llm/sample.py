@@ -2,39 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from siteledger.llm.common import held_out
 
 
-#: Stretches that are drawn from a text over the character bound.
-STRETCHES = 8
+def fitting(rows: list[tuple], size: int) -> list:
+    """Of (key, bytes), the keys that fit into `size` bytes, taken in order; one that does not fit is
+    passed over. If none fits, the smallest alone."""
+    taken, total = [], 0
+    for key, own in rows:
+        if total + own <= size:
+            taken.append(key)
+            total += own
+    return taken or [min(rows, key=lambda r: r[1])[0] for _ in rows[:1]]
 
 
-def drawn(text: Column, key: Column, chars: int) -> Column:
-    """`text`, or of a text over `chars` characters as many as fit from whole words: one stretch
-    from each of STRETCHES equal parts of it, at places that follow from `key`."""
-    each = max(1, chars // STRETCHES - 1)
-    part = F.floor(F.length(text) / STRETCHES).cast("int")
-    stretches = [
-        F.regexp_replace(
-            F.substring(text, part * k + F.pmod(F.xxhash64(key, F.lit(k)), F.greatest(F.lit(1), part - each + 1)).cast("int") + 1, F.lit(each)),
-            r"^\S*\s|\s\S*$",
-            "",
-        )
-        for k in range(STRETCHES)
-    ]
-    return F.when(F.length(text) <= chars, text).otherwise(F.concat_ws("\n", *stretches))
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, size: int, per_class: bool) -> DataFrame:
+    """(doc_id, label, text): labelled documents, none of them held out, with whole texts.
 
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int, per_class: bool) -> DataFrame:
-    """(doc_id, label, text): at most `rows` labelled documents (of each class if `per_class`)
-    none of them held out, first by a hash of their id. Of a text over `chars` characters,
-    `text` holds as many, drawn from all its parts.
-
-    A text is taken once. The ids are bounded by `rows`, so that side may be broadcast."""
+    At most `rows` (of each class if `per_class`: label 1, and all other labels), those that come
+    first by a hash of their id, and of them those that fit into `size` bytes of text, in
+    this order. A text is taken once, and of rows that share a doc_id one. All that is collected
+    here or broadcast is bounded by `rows`."""
     marks = (
         labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
         .filter(~held_out())
@@ -42,11 +33,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, c
         .agg(F.max(label).cast("int").alias("label"))
     )
     pick = F.xxhash64("doc_id", F.lit(29))
-    if per_class:
-        place = F.row_number().over(Window.partitionBy("label").orderBy(pick, "doc_id"))
-        ids = marks.withColumn("_place", place).filter(F.col("_place") <= rows).drop("_place")
-    else:
-        ids = marks.orderBy(pick, "doc_id").limit(rows)
-    chosen = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
-    fits = chosen.filter(F.col("text").isNotNull()).withColumn("text", drawn(F.col("text"), F.col("doc_id"), chars))
-    return fits.groupBy("text").agg(F.min(F.struct("doc_id", "label")).alias("_one")).select("_one.*", "text")
+    own = F.col("label") == 1
+    classes = [marks.filter(own), marks.filter(~own)] if per_class else [marks]
+    # An ordered limit keeps `rows` rows per task, whatever the size of a class.
+    ids = None
+    for part in classes:
+        part = part.orderBy(pick, "doc_id").limit(rows)
+        ids = part if ids is None else ids.unionByName(part)
+    chosen = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
+    chosen = chosen.join(F.broadcast(ids), "doc_id")
+    first = F.min_by(F.struct("label", "text"), F.struct(F.xxhash64("text"), "text"))
+    chosen = chosen.groupBy("doc_id").agg(first.alias("one")).select("doc_id", "one.*")
+    chosen = chosen.groupBy("text").agg(F.min(F.struct("doc_id", "label")).alias("one")).select("one.*", "text")
+    sizes = chosen.select("doc_id", "label", pick.alias("pick"), F.octet_length("text").alias("size")).collect()
+    taken = []
+    for flag in (True, False) if per_class else (None,):
+        part = sorted((r for r in sizes if flag is None or (r["label"] == 1) == flag), key=lambda r: (r["pick"], r["doc_id"]))
+        taken += fitting([(r["doc_id"], r["size"]) for r in part], size)
+    kept = docs.sparkSession.createDataFrame([(i,) for i in taken], docs.select("doc_id").schema)
+    return chosen.join(F.broadcast(kept), "doc_id", "left_semi")

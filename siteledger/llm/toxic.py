@@ -22,14 +22,15 @@ from siteledger.llm.words import grams, mix, pieces
 _DELIMITERS = np.ones(256, dtype=bool)
 _DELIMITERS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
-#: Bounds of the labelled sample: documents of each class, and characters of each.
+#: Bounds of the labelled sample of each class: rows, and bytes of all of them. Texts are taken whole
+#: or not at all.
 SAMPLE_ROWS = 1200
-SAMPLE_CHARS = 8_000
+SAMPLE_BYTES = 6 << 20
 #: A sign of toxicity is in this share of the toxic documents at least, and makes up this
 #: many times as large a share of their tokens as of the others'.
 MIN_SHARE, MIN_RATIO = 0.03, 10
 THRESHOLD = 0.5
-BLOCK_TOKENS = 128
+LINK = 128
 BITS, STEPS, RATE, DECAY = 16, 60, 0.5, 1e-6
 #: Bytes of the beginnings that are features.
 HEADS = (4, 5, 6, 7, 8)
@@ -57,22 +58,29 @@ def token_features(piece, hashes: np.ndarray) -> np.ndarray:
 
 
 class Chains:
-    """Tokens cut into chains of at most BLOCK_TOKENS within their text, to be run side by side.
+    """The chains of texts, one each, in links of at most LINK tokens that are run side by side.
 
-    `at[t, c]` is token t of chain c; chains are ordered by length, and only the first
-    `active[t]` have a token t."""
+    Links are ordered by length, and only the first `active[t]` have a token t. `before` and
+    `after` are a link's neighbours in its chain, -1 at its ends, `nth` its place there."""
 
     def __init__(self, words: np.ndarray):
         sizes = np.diff(words)
-        blocks = -(-sizes // BLOCK_TOKENS)
-        doc = np.repeat(np.arange(len(sizes)), blocks)
-        nth = np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        start = words[:-1][doc] + nth * BLOCK_TOKENS
-        length = np.minimum(BLOCK_TOKENS, words[1:][doc] - start)
+        links = -(-sizes // LINK)
+        doc = np.repeat(np.arange(len(sizes)), links)
+        nth = np.arange(len(doc)) - np.repeat(np.cumsum(links) - links, links)
+        start = words[:-1][doc] + nth * LINK
+        length = np.minimum(LINK, words[1:][doc] - start)
         order = np.argsort(-length, kind="stable")
-        self.start, self.length = start[order], length[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        along = np.arange(len(doc))
+        self.before = np.where(nth > 0, place[np.maximum(along - 1, 0)], -1)[order]
+        self.after = np.where(nth + 1 < links[doc], place[np.minimum(along + 1, len(doc) - 1)], -1)[order]
+        self.start, self.length, self.nth = start[order], length[order], nth[order]
+        self.left = (links[doc] - 1 - nth)[order]
         self.longest = int(self.length[0]) if len(order) else 0
         self.active = [int(np.searchsorted(-self.length, -(t + 1), "right")) for t in range(self.longest)]
+        self.first = start[nth == 0]
 
 
 def _log_add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -80,31 +88,82 @@ def _log_add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return high + np.log1p(np.exp(-np.abs(a - b)))
 
 
+_NEVER = -1e30
+
+
+def _forward(unary, pair, chains, f0, f1, out):
+    """Run all links from the messages (f0, f1) of the tokens before them; `out` gets those of
+    every token, and what the last one of each link says is returned."""
+    starts = chains.before < 0
+    f0, f1 = f0.copy(), f1.copy()
+    for t in range(chains.longest):
+        n = chains.active[t]
+        at = chains.start[:n] + t
+        g0 = _log_add(f0[:n] + pair[0, 0], f1[:n] + pair[1, 0])
+        g1 = _log_add(f0[:n] + pair[0, 1], f1[:n] + pair[1, 1]) + unary[at]
+        if not t:
+            g0, g1 = np.where(starts, 0.0, g0), np.where(starts, unary[at], g1)
+        f0[:n], f1[:n] = g0, g1
+        if out is not None:
+            out[0, at], out[1, at] = g0, g1
+    return f0, f1
+
+
+def _backward(unary, pair, chains, b0, b1, out):
+    """The same from the right: (b0, b1) are the messages of the tokens after each link, with
+    their own scores; returned are those of its first token, with its score."""
+    ends = chains.after < 0
+    b0, b1 = b0.copy(), b1.copy()
+    last = chains.start + chains.length - 1
+    # Links end side by side: step t is the token t before the last one.
+    for t in range(chains.longest):
+        n = chains.active[t]
+        at = last[:n] - t
+        g0 = _log_add(b0[:n] + pair[0, 0], b1[:n] + pair[0, 1])
+        g1 = _log_add(b0[:n] + pair[1, 0], b1[:n] + pair[1, 1])
+        if not t:
+            g0, g1 = np.where(ends, 0.0, g0), np.where(ends, 0.0, g1)
+        if out is not None:
+            out[0, at], out[1, at] = g0, g1
+        b0[:n], b1[:n] = g0, g1 + unary[at]
+    return b0, b1
+
+
+def _entering(run, unary, pair, chains, neighbour, nth):
+    """The message that enters each link: links are run from either tag alone, which gives what
+    they make of any message, and messages are handed on from link to link."""
+    n = len(chains.start)
+    m0, m1 = np.zeros(n), np.zeros(n)
+    if not (neighbour >= 0).any():
+        return m0, m1
+    sure, never = np.zeros(n), np.full(n, _NEVER)
+    (a00, a01), (a10, a11) = run(unary, pair, chains, sure, never, None), run(unary, pair, chains, never, sure, None)
+    order = np.argsort(nth, kind="stable")
+    bounds = np.searchsorted(nth[order], np.arange(int(nth.max()) + 2))
+    for k in range(1, len(bounds) - 1):
+        links = order[bounds[k] : bounds[k + 1]]
+        frm = neighbour[links]
+        # A link at the end of a chain says the same whatever enters it.
+        p0, p1 = (np.where(nth[frm] == 0, v, m[frm]) for v, m in ((0.0, m0), (_NEVER, m1)))
+        m0[links] = _log_add(p0 + a00[frm], p1 + a10[frm])
+        m1[links] = _log_add(p0 + a01[frm], p1 + a11[frm])
+    return m0, m1
+
+
 def marginals(unary: np.ndarray, pair: np.ndarray, chains: Chains) -> tuple[np.ndarray, np.ndarray]:
     """(probability that a token is tagged, expected counts of the four transitions).
 
-    `unary` is the score of the tag over no tag, `pair[a, b]` that of tag b after a."""
-    forward = np.zeros((2, len(unary)))
-    backward = np.zeros((2, len(unary)))
-    for t in range(chains.longest):
-        at = chains.start[: chains.active[t]] + t
-        if t:
-            f0, f1 = forward[0, at - 1], forward[1, at - 1]
-            forward[0, at] = _log_add(f0 + pair[0, 0], f1 + pair[1, 0])
-            forward[1, at] = _log_add(f0 + pair[0, 1], f1 + pair[1, 1]) + unary[at]
-        else:
-            forward[1, at] = unary[at]
-    for t in range(chains.longest - 2, -1, -1):
-        at = chains.start[: chains.active[t + 1]] + t
-        b0, b1 = backward[0, at + 1], backward[1, at + 1] + unary[at + 1]
-        backward[0, at] = _log_add(b0 + pair[0, 0], b1 + pair[0, 1])
-        backward[1, at] = _log_add(b0 + pair[1, 0], b1 + pair[1, 1])
+    `unary` is the score of the tag over no tag, `pair[a, b]` that of tag b after a. A chain is
+    the whole text; that it is run in links changes nothing but the time."""
+    forward, backward = np.zeros((2, len(unary))), np.zeros((2, len(unary)))
+    _forward(unary, pair, chains, *_entering(_forward, unary, pair, chains, chains.before, chains.nth), forward)
+    _backward(unary, pair, chains, *_entering(_backward, unary, pair, chains, chains.after, chains.left), backward)
     both = forward + backward
     total = _log_add(both[0], both[1])
     tagged = np.exp(both[1] - total)
     moves = np.zeros((2, 2))
     inner = np.ones(len(unary), bool)
-    inner[chains.start] = False
+    inner[chains.first] = False
     at = np.nonzero(inner)[0]
     for a in (0, 1):
         for b in (0, 1):
@@ -129,7 +188,7 @@ class TagField:
         """Adagrad on the log likelihood of the tags, all chains at once."""
         chains = Chains(words)
         inner = np.ones(len(tags), bool)
-        inner[chains.start] = False
+        inner[chains.first] = False
         at = np.nonzero(inner)[0]
         seen = np.bincount(tags[at - 1] * 2 + tags[at], minlength=4).reshape(2, 2)
         squares = [np.full_like(self.weights, 1e-6), np.full(1, 1e-6), np.full((2, 2), 1e-6)]
@@ -201,11 +260,11 @@ def _apart(found: pa.Table) -> pa.Table:
     return found.take(pa.array(keep))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> TagField:
-    """The field fitted on at most `rows` documents of each class and at most `chars` characters
-    drawn from each."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> TagField:
+    """The field fitted on at most `rows` whole documents of each class, of at most `size` bytes
+    together. Label 1 is toxic, every other is not."""
     field = TagField()
-    found = labelled_sample(docs, labels, "toxic", rows, chars, per_class=True).toArrow()
+    found = labelled_sample(docs, labels, "toxic", rows, size, per_class=True).toArrow()
     if not found.num_rows:
         return field
     found = _apart(found.sort_by([("doc_id", "ascending"), ("text", "ascending")]))
@@ -235,7 +294,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, ch
     tagged, _ = marginals(field.unary(features), field.pair, Chains(bounds))
     # The sample holds as many toxic documents as others; weights restore their shares.
     counts = {r["toxic"]: r["n"] for r in labels.filter(~held_out()).groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = counts[0] / max(1, counts[1]) * toxic.sum() / (~toxic).sum()
+    others = sum(n for mark, n in counts.items() if mark is not None and mark != 1)
+    share = others / max(1, counts.get(1, 0)) * toxic.sum() / (~toxic).sum()
     field.fit_document(field.gathered(tagged, docs_of, len(toxic)), toxic, np.where(toxic, 1.0, share))
     return field
 

@@ -49,7 +49,7 @@ def test_every_byte_of_the_samples_is_known():
             # A symbol the sample lacks is a phrase that is counted with the one that it ends.
             if set(text) <= set(sample):
                 assert found[row, column] == phrases_of(text, sample)
-    best, _ = parser.predict(pa.array(other.values()), 512)
+    best, _ = parser.predict(pa.array(other.values()))
     assert [parser.languages[i] for i in best] == list(other)
 
 
@@ -58,5 +58,5 @@ def test_rare_scripts_are_told_apart(spark):
     rows = [(i, t, lang) for lang, t in learned.items() for i in (1, 2, 3, 4)]
     rows += [(1000 + i, t, None) for i, t in enumerate(other.values())]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    found = {r.doc_id: r.lang_pred for r in langid.identify_language(docs, chars=4000).collect() if r.doc_id >= 1000}
+    found = {r.doc_id: r.lang_pred for r in langid.identify_language(docs).collect() if r.doc_id >= 1000}
     assert [found[1000 + i] for i in range(len(other))] == list(other)
