@@ -23,7 +23,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), "siteledger-bench")
     # The derived input tables are written before the clock starts.
-    for table in (B.modules, B.site_index, B.captures, B.audit_pages, B.sitemaps, B.request_log):
+    for table in (B.modules_again, B.site_index, B.recaptures, B.audit_pages_again, B.sitemaps, B.request_log):
         table(spark, sf_dir).count()
     counts = {
         "pages": B.table(spark, sf_dir, "pages").count(),

@@ -35,35 +35,45 @@ def _index_entries(sitemaps: DataFrame) -> DataFrame:
     )
 
 
+#: Rounds of the search after which the places found so far are written as one table.
+ROUNDS_KEPT = 10
+
+
+def document_places(roots: DataFrame, entries: DataFrame) -> DataFrame:
+    """(site, url, path): each document reachable from `roots(site, url)` over `entries(url, pos,
+    child)`, once, at its first place in depth-first order: the smallest list of positions
+    that leads to it.
+
+    Places only ever get smaller: a round follows the documents whose place did, and compares
+    what they list with the places known. So it costs one row per document and round that moves
+    it, however many paths lead there, and a document that lists itself or one above it ends,
+    as its path would be longer."""
+    start = F.array().cast("array<int>")
+    moved = roots.select("site", "url", start.alias("path")).distinct()
+    known, rounds = moved, 0
+    while True:
+        listed = (
+            moved.join(entries, "url")
+            .groupBy("site", F.col("child").alias("url"))
+            .agg(F.min(F.array_append("path", F.col("pos"))).alias("path"))
+        )
+        before = known.join(listed.select("site", "url"), ["site", "url"], "left_semi").groupBy("site", "url").agg(F.min("path").alias("_before"))
+        nearer = F.col("_before").isNull() | (F.col("path") < F.col("_before"))
+        moved = durable(listed.join(before, ["site", "url"], "left").filter(nearer).select("site", "url", "path"))
+        if moved.isEmpty():
+            return known.groupBy("site", "url").agg(F.min("path").alias("path"))
+        known, rounds = known.unionByName(moved), rounds + 1
+        if rounds % ROUNDS_KEPT == 0:
+            known = durable(known.groupBy("site", "url").agg(F.min("path").alias("path")))
+
+
 def expand_sitemap_index(roots: DataFrame, sitemaps: DataFrame) -> DataFrame:
     """(site, path, loc): page URLs reachable from `roots(site, url)` through index documents
     of any depth. `path` lists positions from the root, so sorting by it gives depth-first
-    order; a document listed in several places is given for each. Documents that were not
-    captured add nothing, and one that lists itself or a document above it is not followed
-    there. The levels end where no site finds a further document."""
-    entries = _index_entries(sitemaps)
-    locs = sitemap_locs(sitemaps)
-    level = roots.select(
-        "site", "url", F.array().cast("array<int>").alias("path"), F.array("url").alias("_above")
-    )
-    found = None
-    while True:
-        pages = level.join(locs, "url").select(
-            "site", F.array_append("path", F.col("pos")).alias("path"), "loc"
-        )
-        found = pages if found is None else found.unionByName(pages)
-        level = durable(
-            level.join(entries, "url")
-            .filter(~F.array_contains("_above", F.col("child")))
-            .select(
-                "site",
-                F.col("child").alias("url"),
-                F.array_append("path", F.col("pos")).alias("path"),
-                F.array_append("_above", F.col("child")).alias("_above"),
-            )
-        )
-        if level.isEmpty():
-            return found
+    order. A document listed in several places is given at the first of them. Documents that
+    were not captured add nothing; the search ends where no document moves."""
+    places = document_places(roots, durable(_index_entries(sitemaps)))
+    return places.join(sitemap_locs(sitemaps), "url").select("site", F.array_append("path", F.col("pos")).alias("path"), "loc")
 
 
 def first_n_urls(found: DataFrame, n: int | None = None) -> DataFrame:

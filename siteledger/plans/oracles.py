@@ -400,7 +400,7 @@ SELECT p_partkey, variant, variant IN (0, 1, 2, 7) AS is_schema, variant = 4 AS
 SELECT p_partkey, variant, CASE variant WHEN 0 THEN p_type WHEN 1 THEN '//schema.org/' || p_type WHEN 2 THEN p_type ELSE '' END AS name FROM (SELECT p_partkey, p_type, unnest(range(0, 4)) AS variant FROM part) x""",
     "type_from_itemtype": "SELECT p_partkey, variant, CASE WHEN variant < 2 THEN p_type END AS type FROM (SELECT p_partkey, p_type, unnest(range(0, 4)) AS variant FROM part) x",
     "sitemap_locs": _sql("SELECT site || CASE WHEN b % 4 = 3 THEN '/sm/d' ELSE '/sm/c' END || b || '.xml' AS url, CAST(i AS BIGINT) AS pos, loc FROM sml"),
-    "expand_sitemap_index": _sql("SELECT site, array_to_string(path, '.') AS path, loc FROM smp"),
+    "expand_sitemap_index": _sql("SELECT site, array_to_string(min(path), '.') AS path, loc FROM smp GROUP BY site, loc"),
     "first_n_urls": _sql("SELECT site, ord, url FROM smf WHERE ord < 10"),
     "extract_links": r"""
 SELECT page_id, CAST(n AS BIGINT) AS n, h[n] AS href, root || array_to_string(list_transform(regexp_extract_all(h[n], '[\x21-\x7e]+|[^\x21-\x7e]+'),

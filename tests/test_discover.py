@@ -26,6 +26,40 @@ def test_sitemaps(spark):
     assert [r.url for r in D.first_n_urls(found, 10).orderBy("ord").collect()] == want[:10]
 
 
+def plain_order(docs, root, path=(), above=()):
+    """(path, url) of every page location, by a walk over every path."""
+    import re
+    xml = docs.get(root, "")
+    if "<sitemap>" in xml:
+        out = []
+        for k, block in enumerate(re.findall(r"<sitemap>([\s\S]*?)</sitemap>", xml)):
+            child = re.search("<loc>([^<]+)</loc>", block).group(1)
+            if child not in (*above, root):
+                out += plain_order(docs, child, (*path, k), (*above, root))
+        return out
+    return [((*path, k), loc) for k, loc in enumerate(re.findall("<loc>([^<]+)</loc>", xml))]
+
+
+def test_documents_are_placed_first_in_depth_first_order(spark):
+    import random
+    for seed in range(3):
+        r = random.Random(seed)
+        docs = {f"d{k}": xml_index(*(f"d{r.randrange(9)}" for _ in range(r.randrange(1, 4)))) if k < 6 else xml(*(f"p{r.randrange(9)}" for _ in range(3))) for k in range(9)}
+        sitemaps = spark.createDataFrame(list(docs.items()), "url string, xml string")
+        roots = spark.createDataFrame([("s", "d0"), ("t", "d1"), ("u", "none")], "site string, url string")
+        found = D.first_n_urls(D.expand_sitemap_index(roots, sitemaps)).collect()
+        for site, root in (("s", "d0"), ("t", "d1"), ("u", "none")):
+            want = list(dict.fromkeys(loc for _, loc in sorted(plain_order(docs, root))))
+            assert [x.url for x in sorted((f for f in found if f.site == site), key=lambda x: x.ord)] == want
+
+
+def test_an_index_that_lists_the_next_twice(spark):
+    levels = 24
+    docs = [(f"i{k}", xml_index(f"i{k + 1}", f"i{k + 1}", "i0")) for k in range(levels)] + [(f"i{levels}", xml("page"))]
+    rows = D.expand_sitemap_index(spark.createDataFrame([(S, "i0")], "site string, url string"), spark.createDataFrame(docs, "url string, xml string")).collect()
+    assert [(len(r.path), set(r.path), r.loc) for r in rows] == [(levels + 1, {0}, "page")]
+
+
 def links(*hrefs):
     return "".join(f'<a href="{h}">x</a>' for h in hrefs)
 
