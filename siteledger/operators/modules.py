@@ -9,8 +9,10 @@ from siteledger.functions import json as J
 from siteledger.functions import urls as U
 from siteledger.functions.events import read_index
 from siteledger.functions.plan import settled
+from siteledger.functions.text import filled
 from siteledger.operators.captures import latest
 from siteledger.operators.merkle import merkle_roots
+from siteledger.session import stored
 
 # Outcome texts.
 INDEX_MISSING = "This website is not ready: site index not found."
@@ -18,6 +20,15 @@ NO_MODULES = "This website is not ready: no modules found in the site index."
 EMPTY_MODULES = "The modules array in the site index is empty. Merkle root cannot be confirmed."
 MODULE_UNREADABLE = "Module could not be read."
 NULL_ELEMENT = "Cannot read properties of null (reading 'url')"
+MALFORMED = "Malformed schema object for module {url}: expected array or object, got {kind}"
+DIFFERING = (
+    "Schema array for module {url} contains objects with differing 'url' fields."
+    " All schemas in a module must have the same url."
+)
+TRUST_UNREADABLE = f"Error fetching module {{path}}: {MODULE_UNREADABLE} "
+TRUST_NOT_A_LIST = "Module {path} is not a valid array with checksum."
+TRUST_NO_CHECKSUM = "Module {path} missing checksum object."
+TRUST_MISMATCH = "Checksum mismatch for {path}. "
 TRUST_NO_MODULES = "No modules found in the site index."
 TRUST_NO_INDEX = "Could not fetch the site index."
 
@@ -176,24 +187,12 @@ def read_modules(modules: DataFrame) -> DataFrame:
             "error": F.when(F.col("shape") == "missing", MODULE_UNREADABLE)
             .when(
                 F.col("shape") == "malformed",
-                F.concat(
-                    F.lit("Malformed schema object for module "),
-                    "module_url",
-                    F.lit(": expected array or object, got "),
-                    "json_kind",
-                ),
+                filled(MALFORMED, url=F.col("module_url"), kind=F.col("json_kind")),
             )
             .when(has_null, NULL_ELEMENT)
             .when(
                 ~single_url,
-                F.concat(
-                    F.lit("Schema array for module "),
-                    "module_url",
-                    F.lit(
-                        " contains objects with differing 'url' fields."
-                        " All schemas in a module must have the same url."
-                    ),
-                ),
+                filled(DIFFERING, url=F.col("module_url")),
             ),
         }
     )
@@ -269,19 +268,12 @@ def validate_modules(located: DataFrame) -> DataFrame:
         ),
     )
     df = df.withColumn("checksum_valid", F.col("checksum") == F.col("calculated_checksum"))
-    name = F.concat(F.lit("Module "), "path")
     return df.withColumns(
         {
-            "detail": F.when(
-                F.col("raw").isNull(),
-                F.concat(F.lit("Error fetching module "), "path", F.lit(f": {MODULE_UNREADABLE} ")),
-            )
-            .when(~F.col("_list"), F.concat(name, F.lit(" is not a valid array with checksum.")))
-            .when(F.col("checksum").isNull(), F.concat(name, F.lit(" missing checksum object.")))
-            .when(
-                ~F.col("checksum_valid"),
-                F.concat(F.lit("Checksum mismatch for "), "path", F.lit(". ")),
-            ),
+            "detail": F.when(F.col("raw").isNull(), filled(TRUST_UNREADABLE))
+            .when(~F.col("_list"), filled(TRUST_NOT_A_LIST))
+            .when(F.col("checksum").isNull(), filled(TRUST_NO_CHECKSUM))
+            .when(~F.col("checksum_valid"), filled(TRUST_MISMATCH)),
             "fetched": F.col("checksum").isNotNull(),
             "module": F.when(F.col("checksum").isNotNull(), J.array_text(F.col("_canons"))),
         }
@@ -339,7 +331,7 @@ def site_trust_report(index: DataFrame, modules: DataFrame) -> DataFrame:
     """The trust check as one table: per site a row per module and a closing row, in
     `pos` order (the closing row has pos NULL and comes last)."""
     parsed = parse_index(index)
-    validated = validate_modules(locate_listed(parsed, modules))
+    validated = stored(validate_modules(locate_listed(parsed, modules)), "validated")
     rows = validated.select(
         "site", "pos", "path", "checksum", "calculated_checksum", "checksum_valid", "module",
         "detail",

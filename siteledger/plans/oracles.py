@@ -38,6 +38,12 @@ def _hash_of(items: str) -> str:
     return f"sha256('{{' || array_to_string(list_transform({keys}, {member}), ',') || '}}')"
 
 
+def _text(template: str, **values: str) -> str:
+    """SQL for a text with SQL values for the names in braces."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return " || ".join(values[p] if i % 2 else "'" + p.replace("'", "''") + "'" for i, p in enumerate(parts) if p)
+
+
 TAIL_CANON = """'{"checksum":"' || declared || '"}'"""
 HAS_TAIL = "kind NOT IN ('missing', 'text', 'single', 'notail')"
 NONE = "CAST([] AS VARCHAR[])"
@@ -51,9 +57,9 @@ CTES: dict[str, str] = {
     CASE WHEN kind IN ('differ', 'nourl', 'nullelem', 'text', 'missing') THEN {NONE} ELSE data END AS kept,
     CASE WHEN kind IN ('differ', 'nullelem', 'text', 'missing') THEN 'error' ELSE 'success' END AS status,
     CASE kind WHEN 'missing' THEN '{MOD.MODULE_UNREADABLE}'
-      WHEN 'text' THEN 'Malformed schema object for module ' || module_url || ': expected array or object, got string'
-      WHEN 'nullelem' THEN 'Cannot read properties of null (reading ''url'')'
-      WHEN 'differ' THEN 'Schema array for module ' || module_url || ' contains objects with differing ''url'' fields. All schemas in a module must have the same url.'
+      WHEN 'text' THEN {_text(MOD.MALFORMED, url='module_url', kind="'string'")}
+      WHEN 'nullelem' THEN {_text(MOD.NULL_ELEMENT)}
+      WHEN 'differ' THEN {_text(MOD.DIFFERING, url='module_url')}
       END AS error,
     CASE WHEN kind IN ('differ', 'nullelem', 'text', 'missing') THEN module_url WHEN kind = 'nourl' THEN NULL ELSE u END AS page_url
   FROM m""",
@@ -541,8 +547,8 @@ CANON_DOC = f"""CASE kind WHEN 'text' THEN '"just text"' WHEN 'single' THEN sing
   ELSE '[' || array_to_string(data, ',') || ',' || {TAIL_CANON} || ']' END"""
 ORACLES["canonical_json"] = _sql(f"SELECT site, pos, {CANON_DOC} AS canon FROM f WHERE kind <> 'missing'")
 ORACLES["json_bytes"] = _sql(f"SELECT site, pos, CAST(strlen({CANON_DOC}) AS BIGINT) AS bytes FROM f WHERE kind <> 'missing'")
-TRUST_DETAIL = f"""CASE WHEN kind = 'missing' THEN 'Error fetching module ' || path || ': {MOD.MODULE_UNREADABLE} '
-  WHEN kind IN ('text', 'single', 'notail') THEN 'Module ' || path || ' is not a valid array with checksum.' WHEN bad THEN 'Checksum mismatch for ' || path || '. ' END"""
+TRUST_DETAIL = f"""CASE WHEN kind = 'missing' THEN {_text(MOD.TRUST_UNREADABLE, path='path')}
+  WHEN kind IN ('text', 'single', 'notail') THEN {_text(MOD.TRUST_NOT_A_LIST, path='path')} WHEN bad THEN {_text(MOD.TRUST_MISMATCH, path='path')} END"""
 ORACLES["split_checksum_trust"] = _sql(f"SELECT site, pos, {HAS_TAIL} AS fetched, CASE WHEN {HAS_TAIL} THEN declared END AS checksum, {TRUST_DETAIL} AS detail FROM f")
 
 
