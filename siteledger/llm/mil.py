@@ -11,15 +11,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from siteledger.functions.names import free
 from siteledger.llm.common import held_out
 from siteledger.llm.sample import labelled_sample
 from siteledger.llm.words import grams, pieces
 
 PASSAGE_WORDS = 64
-#: Bounds of the labelled sample the network is fitted on.
+#: Bytes of text encoded at once; several numbers are held for each of them.
+AT_ONCE = 1 << 18
+#: Bounds of the labelled sample the network is fitted on: rows, and bytes of all of them. Texts
+#: are taken whole or not at all.
 SAMPLE_ROWS = 5000
-SAMPLE_CHARS = 40_000
+SAMPLE_BYTES = 24 << 20
 THRESHOLD = 0.3
 HIDDEN, GATE, STEPS, RATE, DECAY = 24, 12, 250, 0.02, 1e-4
 
@@ -48,7 +53,7 @@ def _first_seen(keys: np.ndarray) -> np.ndarray:
 def passages(texts: pa.Array, words_each: int = PASSAGE_WORDS):
     """(row of each passage, features of each passage) per piece. A text without words is
     one passage whose features are 0."""
-    for piece in pieces(texts, lower=False):
+    for piece in pieces(texts, limit=AT_ONCE):
         n_docs = piece.last - piece.first
         n_words = np.diff(piece.words)
         count = np.maximum(1, -(-n_words // words_each))
@@ -156,11 +161,11 @@ def _features(batches):
             yield pa.RecordBatch.from_arrays([ids, labels, lists], names=["doc_id", "label", "x"])
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> AttentionBag:
-    """The network fitted on a bounded sample: `rows` documents and at most `chars` characters
-    drawn from each, so at most rows * (chars / 2 / PASSAGE_WORDS + 1) passages reach the driver."""
+def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> AttentionBag:
+    """The network fitted on at most `rows` whole documents of at most `size` bytes together, so at
+    most rows + size / 2 / PASSAGE_WORDS passages reach the driver."""
     model = AttentionBag()
-    sample = labelled_sample(docs, labels, "quality", rows, chars, per_class=False)
+    sample = labelled_sample(docs, labels, "quality", rows, size, per_class=False)
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = sample.mapInArrow(_features, f"doc_id {kind}, label int, x array<float>").toArrow()
     if not found.num_rows:
@@ -191,15 +196,19 @@ def classify_quality(
     """
     model = fit_quality(docs, labels, rows)
     added = ["held_out", "score", "predicted"]
-    kept = [c for c in docs.columns if c not in added] if keep else ["doc_id"]
-    out = docs.select(*kept, held_out().alias("held_out"), F.col("text").cast("string").alias("_text"))
+    kept = [c for c in docs.columns if c.lower() not in added] if keep else ["doc_id"]
+    # The text goes to the workers once: as the column that is kept, or beside it.
+    sent = "text" in kept and docs.schema["text"].dataType == T.StringType()
+    text = "text" if sent else free(kept, "text")
+    own = [] if sent else [F.col("text").cast("string").alias(text)]
+    rows = docs.select(*kept, held_out().alias("held_out"), *own)
 
     def run(batches):
         for batch in batches:
-            score = pa.array(model.score(batch.column("_text")))
+            score = pa.array(model.score(batch.column(text)))
             columns = [*(batch.column(c) for c in [*kept, "held_out"]), score]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "held_out", "score"])
 
-    shape = out.drop("_text").schema.add("score", "double")
-    scored = out.mapInArrow(run, shape)
+    shape = rows.select(*kept, "held_out").schema.add("score", "double")
+    scored = rows.mapInArrow(run, shape)
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

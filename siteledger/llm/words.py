@@ -122,10 +122,10 @@ def spans(bounds: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int, i
         first = last
 
 
-def pieces(texts: pa.Array, lower: bool = False, delimiters: np.ndarray = SPACES) -> Iterator[Piece]:
+def pieces(texts: pa.Array, lower: bool = False, delimiters: np.ndarray = SPACES, limit: int = PIECE_BYTES) -> Iterator[Piece]:
     """The words of `texts`, piece by piece."""
     raw, every = text_bytes(texts)
-    for first, last in spans(every):
+    for first, last in spans(every, limit):
         bounds = every[first : last + 1] - every[first]
         data = raw[every[first] : every[last]]
         if lower:
