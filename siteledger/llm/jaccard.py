@@ -71,12 +71,12 @@ def prefix_base(n: int, percent: int) -> int:
 
 def _sets(width: int, percent: int):
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("n", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("prefix", pa.list_(pa.int64()))]
+        [("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("prefix", pa.list_(pa.int64()))]
     )
 
     def run(batches):
         for batch in batches:
-            ids, rows = batch.column("doc_id"), []
+            rows = []
             for row, found in shingle_sets(batch.column("text"), width):
                 n = len(found)
                 # The partner may be larger, and ask for more.
@@ -87,7 +87,8 @@ def _sets(width: int, percent: int):
                 tokens = np.concatenate([r[3] for r in rows])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids,
+                        batch.column("doc_id"),
+                        batch.column("row"),
                         pa.array([r[0] for r in rows], pa.int32()),
                         pa.array([r[1] for r in rows], pa.int64()),
                         pa.array([r[2] for r in rows], pa.int64()),
@@ -176,11 +177,11 @@ def jaccard_components(
     """(doc_id, n_shingles, component_id) for each row of `docs(doc_id, text)`.
 
     Links join rows whose sets of distinct `width`-word shingles have a Jaccard similarity
-    of at least `percent` / 100; component_id is the smallest doc_id reachable by links.
-    Null and empty texts have no shingles and no links. Rows with equal sets are one class
-    from the start, whatever their number. Rows that repeat a doc_id are judged by their
-    own text; a row without doc_id gets the component of its class, or null. Other columns
-    of `docs` are ignored.
+    of at least `percent` / 100; component_id is the smallest doc_id reachable by links, null if
+    no row reached has one. Null and empty texts have no shingles and no links. Rows with equal
+    sets are one class from the start, whatever their number. Rows that repeat a doc_id or have
+    none are judged by their own text, and link others like any row. Other columns of `docs` are
+    ignored.
 
     1. Classes: rows with equal sets, by two 64-bit hashes of the set.
     2. Live tokens: those in prefixes of two classes or more. A class stays only if, at each
@@ -196,22 +197,23 @@ def jaccard_components(
     """
     work = Workspace(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # Rows may share a doc_id or have none; a class finds its text by a row of its own.
+    texts = texts.withColumn("row", F.xxhash64("doc_id", "text"))
     rows = work.keep(
         "rows",
-        texts.mapInArrow(_sets(width, percent), "doc_id long, n int, k1 long, k2 long, prefix array<long>"),
+        texts.mapInArrow(_sets(width, percent), "doc_id long, row long, n int, k1 long, k2 long, prefix array<long>"),
     )
     classes = work.keep(
         "classes",
         rows.filter("n > 0")
         .groupBy("k1", "k2", "n")
-        .agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
-        .select(F.col("k1").alias("cls"), "k2", "n", "rep", "prefix"),
+        .agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.first("prefix").alias("prefix"))
+        .select(F.col("k1").alias("cls"), "k2", "n", "rep", "row", "prefix"),
     )
     live = work.keep("live", _live(classes, percent))
-    wanted = live.select("cls", F.col("rep").alias("doc_id"))
     sets = work.keep(
         "sets",
-        texts.join(wanted, "doc_id")
+        texts.join(live.select("cls", "row"), "row")
         .select("cls", "text")
         .mapInArrow(_full_sets(width), "cls long, k1 long, tokens array<long>")
         .filter("cls = k1")
@@ -249,9 +251,9 @@ def _base(percent: int) -> Column:
 
 
 def _live(classes: DataFrame, percent: int) -> DataFrame:
-    """(cls, n, rep, live): the classes that may have partners, with their live prefix tokens
+    """(cls, n, row, live): the classes that may have partners, with their live prefix tokens
     (token, pos)."""
-    tokens = classes.select("cls", "n", "rep", F.posexplode("prefix").alias("pos", "token"))
+    tokens = classes.select("cls", "n", "row", F.posexplode("prefix").alias("pos", "token"))
     shared = (
         tokens.groupBy("token")
         .agg(F.count(F.lit(1)).alias("df"))
@@ -259,7 +261,7 @@ def _live(classes: DataFrame, percent: int) -> DataFrame:
     )
     per_class = (
         tokens.join(shared, "token")
-        .groupBy("cls", "n", "rep")
+        .groupBy("cls", "n", "row")
         .agg(
             F.collect_list(F.struct("token", "pos")).alias("live"),
             F.sum(F.when(F.col("pos") <= _base(percent), F.col("df") - 1).otherwise(0)).alias("_cost"),
