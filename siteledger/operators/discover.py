@@ -67,12 +67,37 @@ def document_places(roots: DataFrame, entries: DataFrame) -> DataFrame:
             known = durable(known.groupBy("site", "url").agg(F.min("path").alias("path")))
 
 
-def expand_sitemap_index(roots: DataFrame, sitemaps: DataFrame) -> DataFrame:
+def every_place(roots: DataFrame, entries: DataFrame) -> DataFrame:
+    """(site, url, path): each document reachable from `roots(site, url)` over `entries(url, pos,
+    child)`, once for every path that leads to it. A document that lists itself or one above it
+    is not followed there. Levels end where no path goes on; there are as many rows as paths."""
+    start = F.array().cast("array<int>")
+    level = roots.select("site", "url", start.alias("path"), F.array("url").alias("_above"))
+    found = level
+    while True:
+        level = durable(
+            level.join(entries, "url")
+            .filter(~F.array_contains("_above", F.col("child")))
+            .select(
+                "site",
+                F.col("child").alias("url"),
+                F.array_append("path", F.col("pos")).alias("path"),
+                F.array_append("_above", F.col("child")).alias("_above"),
+            )
+        )
+        if level.isEmpty():
+            return found.drop("_above")
+        found = found.unionByName(level)
+
+
+def expand_sitemap_index(roots: DataFrame, sitemaps: DataFrame, every: bool = False) -> DataFrame:
     """(site, path, loc): page URLs reachable from `roots(site, url)` through index documents
     of any depth. `path` lists positions from the root, so sorting by it gives depth-first
-    order. A document listed in several places is given at the first of them. Documents that
-    were not captured add nothing; the search ends where no document moves."""
-    places = document_places(roots, durable(_index_entries(sitemaps)))
+    order. A document listed in several places is given for each with `every`, else at the first
+    of them, which is all that the order of distinct URLs needs and costs no more where paths
+    multiply. Documents that were not captured add nothing."""
+    entries = durable(_index_entries(sitemaps))
+    places = every_place(roots, entries) if every else document_places(roots, entries)
     return places.join(sitemap_locs(sitemaps), "url").select("site", F.array_append("path", F.col("pos")).alias("path"), "loc")
 
 

@@ -60,6 +60,19 @@ def test_an_index_that_lists_the_next_twice(spark):
     assert [(len(r.path), set(r.path), r.loc) for r in rows] == [(levels + 1, {0}, "page")]
 
 
+def test_every_place_of_a_document(spark):
+    import random
+    r = random.Random(5)
+    docs = {f"d{k}": xml_index(*(f"d{r.randrange(9)}" for _ in range(r.randrange(1, 4)))) if k < 6 else xml(*(f"p{r.randrange(9)}" for _ in range(3))) for k in range(9)}
+    docs["d0"] = xml_index("d1", "d7", "d7")
+    sitemaps = spark.createDataFrame(list(docs.items()), "url string, xml string")
+    roots = spark.createDataFrame([("s", "d0"), ("u", "none")], "site string, url string")
+    found = D.expand_sitemap_index(roots, sitemaps, every=True).collect()
+    want = sorted(("s", path, loc) for path, loc in plain_order(docs, "d0"))
+    assert sorted((f.site, tuple(f.path), f.loc) for f in found) == want
+    assert len({path[:-1] for _, path, _ in want}) > 2
+
+
 def links(*hrefs):
     return "".join(f'<a href="{h}">x</a>' for h in hrefs)
 
