@@ -182,7 +182,18 @@ class TagField:
         self.document = np.array([-3.0, 0.0, 0.0, 0.0])
 
     def unary(self, features: np.ndarray) -> np.ndarray:
-        return self.weights[features].sum(0) + self.bias[0]
+        # Kind by kind: all at once would take eight numbers a token beside the sum.
+        total = self.weights[features[0]]
+        for row in features[1:]:
+            total += self.weights[row]
+        return total + self.bias[0]
+
+    def _gathered_by_feature(self, features: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """The sum of `values` over the tokens that have each feature, kind by kind."""
+        total = np.zeros_like(self.weights)
+        for row in features:
+            total += np.bincount(row, values, len(self.weights))
+        return total
 
     def fit(self, features: np.ndarray, tags: np.ndarray, words: np.ndarray) -> None:
         """Adagrad on the log likelihood of the tags, all chains at once."""
@@ -196,7 +207,7 @@ class TagField:
             tagged, moves = marginals(self.unary(features), self.pair, chains)
             wrong = tags - tagged
             steps = [
-                np.bincount(features.ravel(), np.tile(wrong, _KINDS), len(self.weights)) - DECAY * self.weights,
+                self._gathered_by_feature(features, wrong) - DECAY * self.weights,
                 np.array([wrong.sum()]),
                 seen - moves,
             ]
@@ -275,7 +286,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, si
     for piece in pieces(found.column("text"), lower=True, delimiters=_DELIMITERS):
         hashes.append(token_hashes(piece))
         docs_of.append(piece.doc + piece.first)
-        features.append(token_features(piece, hashes[-1]))
+        features.append(token_features(piece, hashes[-1]).astype(np.int32))
         bounds.append(piece.words[1:] + base)
         base += len(piece.start)
     hashes, docs_of = np.concatenate(hashes, 1), np.concatenate(docs_of)
@@ -290,6 +301,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, si
         rest = np.bincount(code, ~bad) / max(1, (~bad).sum())
         marked = (holders >= max(3, MIN_SHARE * toxic.sum())) & (rate >= MIN_RATIO * rest)
         signs |= marked[code]
+    del hashes, code, once
     field.fit(features, (signs & bad).astype(np.int64), bounds)
     tagged, _ = marginals(field.unary(features), field.pair, Chains(bounds))
     # The sample holds as many toxic documents as others; weights restore their shares.

@@ -124,3 +124,23 @@ def test_learned_operators_take_odd_rows(spark, docs):
         assert langid.identify_language(table).count() == n
         assert mil.classify_quality(table, labels).count() == n
         assert toxic.score_toxicity(table, labels).count() == n
+
+
+def test_a_tag_field_gathers_kind_by_kind():
+    import tracemalloc
+
+    import numpy as np
+
+    from siteledger.llm.toxic import _KINDS, BITS, TagField
+
+    rng = np.random.default_rng(1)
+    n = 200_000
+    features = (rng.integers(0, 1 << BITS, (_KINDS, n)) + (np.arange(_KINDS) << BITS)[:, None]).astype(np.int32)
+    field, values = TagField(), rng.normal(size=n)
+    field.weights = rng.normal(size=len(field.weights))
+    want = field.weights[features].sum(0) + field.bias[0]
+    tracemalloc.start()
+    assert (field.unary(features) == want).all()
+    assert tracemalloc.get_traced_memory()[1] < 5 * 8 * n
+    tracemalloc.stop()
+    assert (field._gathered_by_feature(features, values) == np.bincount(features.ravel(), np.tile(values, _KINDS), len(field.weights))).all()

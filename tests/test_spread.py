@@ -7,7 +7,7 @@ from siteledger.plans import bridges as B
 
 def test_documents_derived_from_one_file_are_made_by_many_tasks(spark, tmp_path):
     part = "id AS p_partkey, 'n' AS p_name, 'b' AS p_brand, CAST(1 AS INT) AS p_size"
-    spark.range(0, 400, 1, 1).selectExpr(part).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(0, 400, 1, 1).selectExpr(*part.split(", ")).write.parquet(f"{tmp_path}/part.parquet")
     spark.range(0, 8, 1, 8).selectExpr("id AS page_id").write.parquet(f"{tmp_path}/pages.parquet")
     for table in (B.deep_modules, B.all_modules):
         files = table(spark, str(tmp_path)).select(F.input_file_name()).distinct().count()
