@@ -18,8 +18,7 @@ def test_members_of_a_deep_object(spark):
     deep = "[" * 3000 + "]" * 3000
     text = '{"deep":' + deep + ',"og:url":5,"url":"\\ud800é"}'
     assert members_named(text, ["url", "og:url", "none"]) == [{"json": '"\\ud800é"', "text": "?é"}, {"json": "5", "text": "5"}, None]
-    value = nested = []
+    value = {"b": [], "a": {}}
     for _ in range(3000):
-        nested.append([{"b": [], "a": {}}])
-        nested = nested[0]
-    assert value_text(value) == "[" * 3001 + '{"a":{},"b":[]}' + "]" * 3001
+        value = [value]
+    assert value_text(value) == "[" * 3000 + '{"a":{},"b":[]}' + "]" * 3000
