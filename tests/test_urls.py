@@ -69,3 +69,12 @@ def test_domain_of(spark):
     cases = {"https://www.Example.com/x": "example.com", "http://a.b:80": "a.b", "x": "output", None: "output"}
     df = spark.createDataFrame([(u,) for u in cases], "u string")
     assert {r.u: r.d for r in df.select("u", U.domain_of(F.col("u")).alias("d")).collect()} == cases
+
+
+def test_resolvable_among_is_the_same_as_each(spark):
+    paths = ["/m/1.json", "/", "//", "//a", "/\\a", "\\/a", "/ x", " /x", "/x\n", "/x y", "/é", "null", "", "http://", "http://[", "mailto:a", "a:b", "https:/x", "//b.example:x/", "/a:b?c#d", "\t//["]
+    sites = ["https://a.example", "http://", "mailto:x", "none", "", None, "file:///x", "https://a.example:99999"]
+    rows = spark.createDataFrame([(s, paths) for s in sites] + [("https://a.example", None), ("none", None)], "s string, p array<string>")
+    each = F.filter("p", lambda m: U.is_resolvable(m, F.col("s")))
+    found = rows.select(each.alias("each"), U.resolvable_among(F.col("p"), F.col("s")).alias("among")).collect()
+    assert all(r.each == r.among for r in found) and any(r.among for r in found) and any(r.among == [] for r in found)
