@@ -11,9 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from siteledger.functions.names import free
+from siteledger.functions.plan import settled
 from siteledger.llm.common import held_out
 from siteledger.llm.sample import labelled_sample
 from siteledger.llm.words import grams, pieces
@@ -197,18 +197,13 @@ def classify_quality(
     model = fit_quality(docs, labels, rows)
     added = ["held_out", "score", "predicted"]
     kept = [c for c in docs.columns if c.lower() not in added] if keep else ["doc_id"]
-    # The text goes to the workers once: as the column that is kept, or beside it.
-    sent = "text" in kept and docs.schema["text"].dataType == T.StringType()
-    text = "text" if sent else free(kept, "text")
-    own = [] if sent else [F.col("text").cast("string").alias(text)]
-    rows = docs.select(*kept, held_out().alias("held_out"), *own)
-
-    def run(batches):
-        for batch in batches:
-            score = pa.array(model.score(batch.column(text)))
-            columns = [*(batch.column(c) for c in [*kept, "held_out"]), score]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "held_out", "score"])
-
-    shape = rows.select(*kept, "held_out").schema.add("score", "double")
-    scored = rows.mapInArrow(run, shape)
+    text = free([*kept, *added], "_text")
+    rows = docs.select(*kept, held_out().alias("held_out"), F.col("text").cast("string").alias(text))
+
+    # Only texts go to the workers and only scores come back; the rows stay where they are.
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(model.score(texts))
+
+    scored = settled(rows.withColumn("score", score(F.col(text))).drop(text), "score")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
