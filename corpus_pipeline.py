@@ -91,7 +91,7 @@ def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text, with whether they decode to it."""
-    both = pieces.decode_pieces(pieces.encode_pieces(docs.select(*COLUMNS), PIECE_MODEL), PIECE_MODEL)
+    both = pieces.encode_and_decode(docs.select(*COLUMNS), PIECE_MODEL, COLUMNS)
     return both.select(
         "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless")
     )

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from siteledger.llm.common import Workspace
+from siteledger.llm.common import Workspace, giving_back
 from siteledger.llm.words import grams, mix, pieces, range_hashes
 
 SHINGLE_WORDS = 4
@@ -27,16 +27,20 @@ LEVELS = (0, 40, 20)
 COST_STEP = 2.0
 #: Centres each class is verified against before the completion.
 STAR_TRIES = 2
+#: Bytes of rows that a Python worker gets at once.
+AT_ONCE = 1 << 22
 
 
 def shingle_sets(texts: pa.Array, width: int):
-    """(row, sorted distinct shingle hashes) of each text, A-Z in lower case.
+    """Piece by piece: its first row, and the sorted distinct shingle hashes of each of its texts,
+    A-Z in lower case.
 
     A text with fewer words than `width` has its whole word sequence as one shingle; one
     without words has none."""
     for piece in pieces(texts, lower=True):
         words = piece.word_hashes()
         runs = grams(words, width)
+        sets = []
         for d in range(piece.last - piece.first):
             a, b = piece.words[d], piece.words[d + 1]
             if b - a >= width:
@@ -45,7 +49,8 @@ def shingle_sets(texts: pa.Array, width: int):
                 found = range_hashes(words[a:b], np.array([0]), np.array([b - a]))
             else:
                 found = words[:0]
-            yield piece.first + d, found
+            sets.append(found)
+        yield piece.first, sets
 
 
 def set_keys(found: np.ndarray) -> tuple[int, int]:
@@ -69,33 +74,27 @@ def prefix_base(n: int, percent: int) -> int:
     return n - (n * percent + 99) // 100
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).view(np.int64), pa.int64()))
+
+
 def _sets(width: int, percent: int):
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("prefix", pa.list_(pa.int64()))]
-    )
+    names = ["doc_id", "row", "n", "k1", "k2", "prefix"]
+
+    def prefix(found):
+        # The partner may be larger, and ask for more.
+        matches = level_matches(len(found) * 100 // percent + 1, len(LEVELS) - 1)
+        return found[: prefix_base(len(found), percent) + matches]
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for row, found in shingle_sets(batch.column("text"), width):
-                n = len(found)
-                # The partner may be larger, and ask for more.
-                matches = level_matches(n * 100 // percent + 1, len(LEVELS) - 1)
-                rows.append((n, *set_keys(found), found[: prefix_base(n, percent) + matches].view(np.int64)))
-            if rows:
-                lengths = np.cumsum([0, *(len(r[3]) for r in rows)], dtype=np.int32)
-                tokens = np.concatenate([r[3] for r in rows])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id"),
-                        batch.column("row"),
-                        pa.array([r[0] for r in rows], pa.int32()),
-                        pa.array([r[1] for r in rows], pa.int64()),
-                        pa.array([r[2] for r in rows], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(lengths), pa.array(tokens, pa.int64())),
-                    ],
-                    schema=schema,
-                )
+            for first, sets in shingle_sets(batch.column("text"), width):
+                keys = np.array([set_keys(found) for found in sets], dtype=np.int64)
+                sizes = pa.array([len(found) for found in sets], pa.int32())
+                own = [batch.column(c).slice(first, len(sets)) for c in ("doc_id", "row")]
+                columns = [*own, sizes, pa.array(keys[:, 0]), pa.array(keys[:, 1]), _lists([prefix(found) for found in sets])]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
@@ -103,17 +102,9 @@ def _sets(width: int, percent: int):
 def _full_sets(width: int):
     def run(batches):
         for batch in batches:
-            rows = [(set_keys(found)[0], found.view(np.int64)) for _, found in shingle_sets(batch.column("text"), width)]
-            lengths = np.cumsum([0, *(len(r[1]) for r in rows)], dtype=np.int32)
-            tokens = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("cls"),
-                    pa.array([r[0] for r in rows], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(lengths), pa.array(tokens, pa.int64())),
-                ],
-                names=["cls", "k1", "tokens"],
-            )
+            for first, sets in shingle_sets(batch.column("text"), width):
+                keys = pa.array([set_keys(found)[0] for found in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("cls").slice(first, len(sets)), keys, _lists(sets)], names=["cls", "k1", "tokens"])
 
     return run
 
@@ -201,7 +192,8 @@ def jaccard_components(
     texts = texts.withColumn("row", F.xxhash64("doc_id", "text"))
     rows = work.keep(
         "rows",
-        texts.mapInArrow(_sets(width, percent), "doc_id long, row long, n int, k1 long, k2 long, prefix array<long>"),
+        texts.mapInArrow(giving_back(_sets(width, percent)), "doc_id long, row long, n int, k1 long, k2 long, prefix array<long>"),
+        AT_ONCE,
     )
     classes = work.keep(
         "classes",
@@ -215,10 +207,11 @@ def jaccard_components(
         "sets",
         texts.join(live.select("cls", "row"), "row")
         .select("cls", "text")
-        .mapInArrow(_full_sets(width), "cls long, k1 long, tokens array<long>")
+        .mapInArrow(giving_back(_full_sets(width)), "cls long, k1 long, tokens array<long>")
         .filter("cls = k1")
         .groupBy("cls")
         .agg(F.first("tokens").alias("tokens")),
+        AT_ONCE,
     )
     held = work.keep("held", _held(sets, percent))
     meets = work.keep("meets", live.join(held, "cls").select("cls", "n", "held", F.inline("live")))
@@ -325,8 +318,10 @@ def _across(work: Workspace, sets: DataFrame, held: DataFrame, roots: DataFrame,
     )
     base = _base(percent)
     free = F.col("n") - F.size("live")
+    # Only the shortest prefix is taken apart: each of its tokens carries the longer one.
+    shortest = F.slice("live", F.lit(1), F.greatest(F.lit(0), base + 1 - free))
     cost = F.aggregate(
-        F.slice("live", F.lit(1), F.greatest(F.lit(0), base + 1 - free)),
+        shortest,
         F.lit(0.0),
         lambda total, t: total + t["df"] - 1,
     )
@@ -334,11 +329,9 @@ def _across(work: Workspace, sets: DataFrame, held: DataFrame, roots: DataFrame,
     level = F.when(cost > COST_STEP * F.col("n"), len(LEVELS) - 2).otherwise(0)
     longest = base + level_matches(F.floor(F.col("n") * 100 / percent) + 1, len(LEVELS) - 2)
     longer = F.transform(F.slice("live", F.lit(1), F.greatest(F.lit(0), longest - free)), lambda t: t["token"])
-    prefix = (
-        ranked.select("cls", "n", "comp", level.alias("level"), free.alias("free"), longer.alias("longer"), F.posexplode("live").alias("_at", "_t"))
-        .select("cls", "n", "comp", "level", "longer", (F.col("free") + F.col("_at")).alias("pos"), F.col("_t.token").alias("token"))
-        .filter(F.col("pos") <= base)
-    )
+    prefix = ranked.select(
+        "cls", "n", "comp", level.alias("level"), free.alias("free"), longer.alias("longer"), F.posexplode(F.transform(shortest, lambda t: t["token"])).alias("_at", "token")
+    ).select("cls", "n", "comp", "level", "longer", (F.col("free") + F.col("_at")).alias("pos"), "token")
     prefix = work.keep("prefix", prefix)
     sides = [
         prefix.select("token", *(F.col(c).alias(f"{c}{i}") for c in ("cls", "n", "comp", "level", "longer", "pos")))

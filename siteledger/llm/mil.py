@@ -7,6 +7,8 @@ scored. Only documents have labels; which passages matter is learned from them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from siteledger.functions.names import free
 from siteledger.functions.plan import settled
-from siteledger.llm.common import held_out
+from siteledger.llm.common import giving_back, held_out
 from siteledger.llm.sample import labelled_sample
 from siteledger.llm.words import grams, pieces
 
@@ -167,7 +169,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, siz
     model = AttentionBag()
     sample = labelled_sample(docs, labels, "quality", rows, size, per_class=False)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = sample.mapInArrow(_features, f"doc_id {kind}, label int, x array<float>").toArrow()
+    found = sample.mapInArrow(giving_back(_features), f"doc_id {kind}, label int, x array<float>").toArrow()
     if not found.num_rows:
         return model
     ids = np.array(found.column("doc_id").to_pylist())
@@ -202,8 +204,8 @@ def classify_quality(
 
     # Only texts go to the workers and only scores come back; the rows stay where they are.
     @F.arrow_udf("double")
-    def score(texts: pa.Array) -> pa.Array:
-        return pa.array(model.score(texts))
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from giving_back(lambda each: (pa.array(model.score(texts)) for texts in each))(batches)
 
     scored = settled(rows.withColumn("score", score(F.col(text))).drop(text), "score")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from siteledger.functions.names import free
-from siteledger.llm.common import Workspace
+from siteledger.llm.common import Workspace, giving_back
 from siteledger.llm.words import Ranges, grams, pieces, range_hashes
 
 WINDOW_WORDS = 20
@@ -290,7 +290,7 @@ def remove_repeats(
     spans = work.keep(
         "spans",
         texts.mapInArrow(
-            _spans(width, anchor), "shard int, row long, doc_id long, start int, len int, times int, anchor long, span long"
+            giving_back(_spans(width, anchor)), "shard int, row long, doc_id long, start int, len int, times int, anchor long, span long"
         ),
     )
     anchors = spans.groupBy("anchor").agg(F.sum("times").alias("n")).filter("n > 1").select("anchor")
@@ -322,7 +322,7 @@ def remove_repeats(
         "windows",
         texts.join(places, "row")
         .select("shard", "row", "doc_id", "text", "places")
-        .mapInArrow(_windows(width), "anchor long, window long, shard int, row long, doc_id long, start int"),
+        .mapInArrow(giving_back(_windows(width)), "anchor long, window long, shard int, row long, doc_id long, start int"),
     )
     earliest = (
         windows.groupBy("anchor", "window")

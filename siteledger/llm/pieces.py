@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siteledger.functions.names import free
+from siteledger.llm.common import giving_back
 from siteledger.llm.words import mix, spans, text_bytes
 
 DROPOUT = 0.1
@@ -456,8 +457,14 @@ def encode_pieces(
     plain merge encoding. Rows with equal doc_id and text are cut alike; other columns pass
     through. `doc_id` only serves to vary the cuts, and may be null.
     """
+    rows, kept, run = _encoding(docs, model_path, dropout, seed, text, out, docs.columns)
+    return rows.mapInArrow(giving_back(run), docs.select(*kept).schema.add(out, T.ArrayType(T.IntegerType())))
+
+
+def _encoding(docs: DataFrame, model_path: str, dropout: float, seed: int, text: str, out: str, keep: list[str]):
+    """Rows, the columns of them that stay, and what a worker does to encode them."""
     vocab = Vocabulary.load(model_path)
-    kept = [c for c in docs.columns if c.lower() != out.lower()]
+    kept = [c for c in keep if c.lower() != out.lower()]
     # The text goes to the workers once: as the column that is kept, or beside it.
     sent = text in kept and docs.schema[text].dataType == T.StringType()
     shown, key = text if sent else free(docs.columns, "_text"), free(docs.columns, "_key")
@@ -477,13 +484,30 @@ def encode_pieces(
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), lists], names=[*kept, out])
             pa.default_memory_pool().release_unused()
 
-    return rows.mapInArrow(run, docs.select(*kept).schema.add(out, T.ArrayType(T.IntegerType())))
+    return rows, kept, run
 
 
 def decode_pieces(df: DataFrame, model_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """`df` with `out`, the text of the piece ids in `ids`; null for null ids."""
-    outputs = Vocabulary.load(model_path).outputs()
     kept = [c for c in df.columns if c.lower() != out.lower()]
+    run = _decoding(model_path, kept, ids, out)
+    return df.mapInArrow(giving_back(run), df.select(*kept).schema.add(out, "string"))
+
+
+def encode_and_decode(
+    docs: DataFrame, model_path: str, keep: list[str], dropout: float = DROPOUT, seed: int = 11, text: str = "text", ids: str = "ids", out: str = "decoded"
+) -> DataFrame:
+    """The columns `keep` of `docs`, with `ids` and `out` as `encode_pieces` and `decode_pieces` give
+    them. One worker of a task does both."""
+    keep = [c for c in keep if c.lower() != out.lower()]
+    rows, kept, encoded = _encoding(docs, model_path, dropout, seed, text, ids, keep)
+    decoded = _decoding(model_path, [*kept, ids], ids, out)
+    schema = docs.select(*kept).schema.add(ids, T.ArrayType(T.IntegerType())).add(out, "string")
+    return rows.mapInArrow(giving_back(lambda batches: decoded(encoded(batches))), schema)
+
+
+def _decoding(model_path: str, kept: list[str], ids: str, out: str):
+    outputs = Vocabulary.load(model_path).outputs()
 
     def run(batches):
         pool = pa.array(outputs, pa.large_binary())
@@ -504,4 +528,4 @@ def decode_pieces(df: DataFrame, model_path: str, ids: str = "ids", out: str = "
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), texts], names=[*kept, out])
             pa.default_memory_pool().release_unused()
 
-    return df.mapInArrow(run, df.select(*kept).schema.add(out, "string"))
+    return run

@@ -33,9 +33,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     sha = lambda text: F.sha2(F.col(text).cast("binary"), 256)
-    # Of the text, only its digest goes through decoding.
+    # Of the text, only its digest stays.
     docs = _documents(spark, sf_dir).select("doc_id", "text", sha("text").alias("_digest"))
-    both = pieces.decode_pieces(pieces.encode_pieces(docs, PIECE_MODEL).drop("text"), PIECE_MODEL)
+    both = pieces.encode_and_decode(docs, PIECE_MODEL, ["doc_id", "_digest"])
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", sha("decoded").alias("decoded_sha256"), sha("decoded").eqNullSafe(F.col("_digest")).alias("lossless")
     )
